@@ -10,12 +10,13 @@ from pyspark.sql.window import Window
 
 from riskmill.functions.features import FEATURES
 from riskmill.functions.numeric import ratio
+from riskmill.operators.scaling import Fitted
 from riskmill.params import MAX_EXPLAINED_ALERTS, REASONS_PER_ALERT, ZERO_ATTRIBUTION
 
 PREFIX = "c_"
 
 
-def linear_contributions(rows: DataFrame, coefficients: Mapping[str, float], fitted: Column | Mapping[str, Column],
+def linear_contributions(rows: DataFrame, coefficients: Mapping[str, float], fitted: Fitted,
                          names: Sequence[str] = FEATURES) -> DataFrame:
     """Adds one ``c_<feature>`` column per feature: coefficient times the scaled value.
 
@@ -75,10 +76,7 @@ def alert_queue(scored: DataFrame, flagged: Column, max_alerts: int = MAX_EXPLAI
 
 
 def top_reasons(names: Sequence[str] = FEATURES, count: int = REASONS_PER_ALERT) -> Column:
-    """The row's strongest contributions as an array of (feature, contribution, value); ties in feature order.
-
-    Plain array functions only: contributions may hold a scalar subquery, which lambdas do not accept.
-    """
+    """The row's strongest contributions as an array of (feature, contribution, value); ties in feature order."""
     ordered = F.array(*[
         F.struct((-F.abs(PREFIX + name)).alias("order"), F.lit(place).alias("place"), F.lit(name).alias("feature"),
                  F.col(PREFIX + name).alias("contribution"), F.col(name).cast("double").alias("value"))

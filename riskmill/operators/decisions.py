@@ -11,6 +11,7 @@ from riskmill.functions.features import FEATURES
 from riskmill.functions.numeric import count_where, ratio
 from riskmill.functions.rules import Rule, decision, default_rules, first_matching_rule
 from riskmill.operators.attribution import linear_contributions, margin, probability, top_reasons
+from riskmill.operators.scaling import Fitted
 from riskmill.params import REASONS_PER_ALERT, SCORE_BUCKETS, TRACKED_LATENCIES
 
 
@@ -36,7 +37,7 @@ def rule_effectiveness(ruled: DataFrame, label: str = "isFraud") -> DataFrame:
 
 
 def score_linear(features: DataFrame, coefficients: Mapping[str, float], intercept: float,
-                 fitted: Column | Mapping[str, Column], threshold: float, digits: int | None = None,
+                 fitted: Fitted, threshold: float, digits: int | None = None,
                  names: Sequence[str] = FEATURES, reasons: int = REASONS_PER_ALERT) -> DataFrame:
     """Scale, score and flag with a logistic model given as numbers, with the strongest reasons per row."""
     explained = linear_contributions(features, coefficients, fitted, names)

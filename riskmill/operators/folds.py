@@ -37,7 +37,7 @@ def assign_folds(rows: DataFrame, cuts: Column, folds: int) -> DataFrame:
     for i in range(folds):
         role = F.when(F.col("step") <= cuts[i], "train").when(F.col("step") <= cuts[i + 1], "test")
         roles.append(F.when(role.isNotNull(), F.struct(F.lit(i + 1).alias("fold"), role.alias("role"))))
-    placed = rows.withColumn("_place", F.explode(F.filter(F.array(*roles), lambda place: place.isNotNull())))
+    placed = rows.withColumn("_place", F.explode(F.array(*roles))).where("_place IS NOT NULL")
     return placed.select(*rows.columns, F.col("_place.fold").alias("fold"), F.col("_place.role").alias("role"))
 
 

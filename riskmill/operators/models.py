@@ -17,7 +17,7 @@ from riskmill.operators.folds import class_weight, positive_weight
 from riskmill.operators.metrics import average_precision, evaluate
 from riskmill.operators.ranking import cumulative_histogram
 from riskmill.operators.sampling import undersample_negatives
-from riskmill.operators.scaling import apply_scaler, fit_scaler
+from riskmill.operators.scaling import apply_scaler, fit_scaler, fitted_values
 from riskmill.params import NEGATIVES_PER_POSITIVE, REVIEWS_PER_DAY, SEED
 
 # The four feature sets of the ablation.
@@ -63,8 +63,8 @@ def prepare_fold(folded: DataFrame, fold: int, per_positive: float = NEGATIVES_P
     part = folded.where(F.col("fold") == fold)
     train = cut_lineage(undersample_negatives(part.where("role = 'train'"), per_positive, seed))
     test = part.where("role = 'test'")
-    scaler = fit_scaler(train)
-    ready = [cut_lineage(apply_scaler(rows, scaler).withColumnRenamed("isFraud", "is_fraud").drop("fold", "role"))
+    fitted = fitted_values(fit_scaler(train))
+    ready = [cut_lineage(apply_scaler(rows, fitted).withColumnRenamed("isFraud", "is_fraud").drop("fold", "role"))
              for rows in (train, test)]
     weights = [
         rows.agg(positive_weight(F.count("*") - F.sum("is_fraud"), F.sum("is_fraud")).alias("w")).first().w

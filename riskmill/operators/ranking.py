@@ -46,9 +46,10 @@ class ScoreBuckets:
 def score_buckets(scored: DataFrame, score: str = "score", bucket_rows: int = BUCKET_ROWS,
                   max_buckets: int = MAX_BUCKETS) -> ScoreBuckets:
     """One small job: the row count and ``max_buckets`` approximate quantiles of the score."""
-    shares = [i / max_buckets for i in range(1, max_buckets)]
+    shares = f"transform(sequence(1, {max_buckets - 1}), i -> i / {float(max_buckets)}D)"
     seen = scored.agg(
-        F.count("*").alias("rows"), F.percentile_approx(score, shares, 10 * max_buckets).alias("edges"),
+        F.count("*").alias("rows"),
+        F.expr(f"percentile_approx(`{score}`, {shares}, {10 * max_buckets})").alias("edges"),
     ).first()
     wanted = min(max_buckets, math.ceil(seen.rows / bucket_rows))
     if wanted <= 1:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from riskmill.functions.features import FEATURES
 
+Fitted = Mapping[str, Mapping[str, Column]]
+
 
 def fit_scaler(train: DataFrame, by: Sequence[str] = (), names: Sequence[str] = FEATURES,
                digits: int | None = None) -> DataFrame:
@@ -35,34 +37,35 @@ def scaler_table(scaler: DataFrame, by: Sequence[str] = (), names: Sequence[str]
     return scaler.select(*by, F.inline(F.array(*entries)))
 
 
-def scaler_struct(scaler: DataFrame, names: Sequence[str] = FEATURES) -> Column:
-    """A single-group scaler as a scalar subquery, usable inside any projection."""
-    return scaler.select(F.struct(*names)).scalar()
+def fitted_values(scaler: DataFrame, names: Sequence[str] = FEATURES) -> Fitted:
+    """Run the fit of a single-group scaler: two numbers per feature, which then enter plans as literals."""
+    row = scaler.first()
+    return {name: {"mean": F.lit(row[name]["mean"]), "scale": F.lit(row[name]["scale"])} for name in names}
 
 
-def scaled(fitted: Mapping[str, Column] | Column, names: Sequence[str] = FEATURES) -> dict[str, Column]:
+def scaled(fitted: Fitted | Column, names: Sequence[str] = FEATURES) -> dict[str, Column]:
     return {name: (F.col(name) - fitted[name]["mean"]) / fitted[name]["scale"] for name in names}
 
 
-def unscaled(fitted: Mapping[str, Column] | Column, names: Sequence[str] = FEATURES) -> dict[str, Column]:
+def unscaled(fitted: Fitted | Column, names: Sequence[str] = FEATURES) -> dict[str, Column]:
     return {name: F.col(name) * fitted[name]["scale"] + fitted[name]["mean"] for name in names}
 
 
-def apply_scaler(rows: DataFrame, scaler: DataFrame, by: Sequence[str] = (),
-                 names: Sequence[str] = FEATURES) -> DataFrame:
-    """Scale in place. With ``by`` (folds) the scaler has one row per fold and is joined as such a small table."""
-    others = [name for name in rows.columns if name not in names]
-    if by:
-        packed = scaler.select(*by, F.struct(*names).alias("_fit"))
-        source = rows.join(F.broadcast(packed), list(by))
-    else:
-        source = rows.withColumn("_fit", scaler_struct(scaler, names))
-    made = scaled(F.col("_fit"), names)
-    return source.select(*others, *[made[name].alias(name) for name in names])
+def apply_scaler(rows: DataFrame, fitted: Fitted, names: Sequence[str] = FEATURES) -> DataFrame:
+    """Scale in place; a projection that keeps the scan's pruning."""
+    made = scaled(fitted, names)
+    return rows.select(*[made[name].alias(name) if name in names else F.col(name) for name in rows.columns])
+
 
+def invert_scaler(rows: DataFrame, fitted: Fitted, names: Sequence[str] = FEATURES) -> DataFrame:
+    made = unscaled(fitted, names)
+    return rows.select(*[made[name].alias(name) if name in names else F.col(name) for name in rows.columns])
 
-def invert_scaler(rows: DataFrame, scaler: DataFrame, names: Sequence[str] = FEATURES) -> DataFrame:
-    others = [name for name in rows.columns if name not in names]
-    made = unscaled(F.col("_fit"), names)
-    return rows.withColumn("_fit", scaler_struct(scaler, names)) \
-        .select(*others, *[made[name].alias(name) for name in names])
+
+def apply_scaler_by(rows: DataFrame, scaler: DataFrame, by: Sequence[str],
+                    names: Sequence[str] = FEATURES) -> DataFrame:
+    """Scale every group (fold) with its own fit; the broadcast side has one row per fold."""
+    packed = scaler.select(*by, F.struct(*names).alias("_fit"))
+    made = scaled(F.col("_fit"), names)
+    return rows.join(F.broadcast(packed), list(by)).select(
+        *[made[name].alias(name) if name in names else F.col(name) for name in rows.columns])

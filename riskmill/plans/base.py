@@ -10,7 +10,7 @@ from riskmill.operators.decisions import score_linear
 from riskmill.operators.folds import time_folds
 from riskmill.operators.history import build_features
 from riskmill.operators.metrics import capacity_sweep
-from riskmill.operators.scaling import fit_scaler, scaler_struct
+from riskmill.operators.scaling import Fitted, fit_scaler, fitted_values
 from riskmill.params import FOLD_BOUNDARIES, SEED
 from riskmill.sources.events import ledger_from_events, scored_ledger
 
@@ -93,17 +93,16 @@ def _score(multiplier: int, lift: int) -> Column:
     return ((F.col("row_id") * multiplier) % 997 + raised) / F.lit(997.0 + lift)
 
 
-def final_scaler(spark: SparkSession, sf_dir: str) -> DataFrame:
+def final_scaler(spark: SparkSession, sf_dir: str) -> Fitted:
     train = folded_features(spark, sf_dir).where((F.col("fold") == FOLDS) & (F.col("role") == "train"))
-    return fit_scaler(train, digits=SCALER_DIGITS)
+    return fitted_values(fit_scaler(train, digits=SCALER_DIGITS))
 
 
 def explained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features of every row with contributions, score, flag and reasons of the numeric model."""
-    fitted = scaler_struct(final_scaler(spark, sf_dir))
-    rows = features(spark, sf_dir).withColumn("_fit", fitted)
-    made = score_linear(rows, COEFFICIENTS, INTERCEPT, F.col("_fit"), DECISION_THRESHOLD, SCORE_DIGITS)
-    return made.withColumn("is_fraud", F.col("isFraud")).drop("_fit")
+    made = score_linear(features(spark, sf_dir), COEFFICIENTS, INTERCEPT, final_scaler(spark, sf_dir),
+                        DECISION_THRESHOLD, SCORE_DIGITS)
+    return made.withColumn("is_fraud", F.col("isFraud"))
 
 
 def rounded(frame: DataFrame, names: tuple[str, ...] | list[str], digits: int = 6) -> DataFrame:

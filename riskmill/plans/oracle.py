@@ -407,9 +407,9 @@ _add("f4_class_weight", """
         CAST(count(*) - sum(isFraud) AS DOUBLE) / greatest(sum(isFraud), 1) AS pos_weight FROM folded GROUP BY fold, role""",
      "folded")
 _cte("undersampled", f"""
-    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fold, isFraud ORDER BY {_HASH}) AS at,
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fold, isFraud ORDER BY {_HASH}) AS nth,
             sum(isFraud) OVER (PARTITION BY fold) AS fraud FROM folded WHERE role = 'train')
-    WHERE isFraud = 1 OR at <= CAST(floor(fraud * 5e0) AS BIGINT)""", "folded")
+    WHERE isFraud = 1 OR nth <= CAST(floor(fraud * 5e0) AS BIGINT)""", "folded")
 _add("f5_undersample", "SELECT fold, row_id, isFraud FROM undersampled", "undersampled")
 _D = base.SCALER_DIGITS
 _add("f6_scaler_fit", " UNION ALL ".join(
@@ -422,13 +422,13 @@ _add("f7_scaler_inverse", "SELECT row_id, step, " + ", ".join(
     f"round((({n} - m_{n}) / s_{n}) * s_{n} + m_{n}, 6) AS {n}" for n in FEATURES) + " FROM features, fit", "features", "fit")
 _add("f8_stratified_sample", f"""
     SELECT row_id, isFraud, amount FROM (
-        SELECT *, row_number() OVER (PARTITION BY isFraud ORDER BY {_HASH}) AS at,
+        SELECT *, row_number() OVER (PARTITION BY isFraud ORDER BY {_HASH}) AS nth,
             least(100, sum(isFraud) OVER ()) AS positives FROM folded WHERE role = 'test' AND fold = {base.FOLDS})
-    WHERE at <= CASE WHEN isFraud = 1 THEN positives ELSE 200 - positives END""", "folded")
+    WHERE nth <= CASE WHEN isFraud = 1 THEN positives ELSE 200 - positives END""", "folded")
 _add("f9_all_positives_filled", f"""
     SELECT row_id, isFraud, amount FROM (
-        SELECT *, row_number() OVER (PARTITION BY isFraud ORDER BY {_HASH}) AS at, sum(isFraud) OVER () AS positives FROM ledger)
-    WHERE isFraud = 1 OR at <= 5000 - positives""", "ledger")
+        SELECT *, row_number() OVER (PARTITION BY isFraud ORDER BY {_HASH}) AS nth, sum(isFraud) OVER () AS positives FROM ledger)
+    WHERE isFraud = 1 OR nth <= 5000 - positives""", "ledger")
 _add("f10_explanation_sample", f"SELECT row_id, score, is_fraud FROM explained ORDER BY {_HASH} LIMIT 300", "explained")
 
 # G
@@ -547,8 +547,8 @@ _add("k4_constraint_cost", _LOWHIGH + f"""
      "sweep", "avgfraud")
 _add("k5_ticket_crossover", f"""
     , v AS (SELECT amt, reviews_per_day, {_NET} AS net FROM sweep, (SELECT unnest({_list(base.TICKETS)}) AS amt)),
-    b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY amt ORDER BY net DESC, reviews_per_day) AS at FROM v)
-        WHERE at = 1)
+    b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY amt ORDER BY net DESC, reviews_per_day) AS nth FROM v)
+        WHERE nth = 1)
     SELECT amt AS avg_fraud_amount, reviews_per_day AS recommended_reviews_per_day,
         round(net, 6) AS net_value_at_recommendation,
         coalesce(reviews_per_day <> lag(reviews_per_day) OVER (ORDER BY amt), false) AS is_crossover FROM b""", "sweep")
@@ -556,8 +556,8 @@ _add("k6_saturation", f"""
     , v AS (SELECT recovery_rate, reviews_per_day,
             true_positives * amt * recovery_rate - n_flagged * {base.COST_PER_REVIEW}e0 - false_negatives * amt * 1e0 AS net
         FROM sweep, avgfraud, (SELECT unnest({_RECOVERY}) AS recovery_rate)),
-    b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY recovery_rate ORDER BY net DESC, reviews_per_day) AS at
-            FROM v) WHERE at = 1),
+    b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY recovery_rate ORDER BY net DESC, reviews_per_day) AS nth
+            FROM v) WHERE nth = 1),
     s AS (SELECT min(reviews_per_day) FILTER (WHERE recall >= 0.9999e0) AS sat FROM sweep)
     SELECT recovery_rate, sat AS saturation_reviews_per_day, reviews_per_day AS optimal_reviews_per_day,
         bool_and(coalesce(reviews_per_day >= sat, false)) OVER () AS always_reaches_saturation FROM b, s""",
