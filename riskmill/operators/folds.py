@@ -31,21 +31,32 @@ def fold_cuts(ledger: DataFrame, boundaries: Sequence[float] = FOLD_BOUNDARIES)
     return step_quantiles(ledger, boundaries).select(F.inline(F.array(*pairs)))
 
 
-def assign_folds(rows: DataFrame, cuts: Column, folds: int) -> DataFrame:
+def fitted_cuts(ledger: DataFrame, boundaries: Sequence[float] = FOLD_BOUNDARIES) -> list[float]:
+    """Compute the cuts now. A handful of numbers, which as literals can be pushed down to the scan."""
+    return [float(cut) for cut in step_quantiles(ledger, boundaries).first().cuts]
+
+
+def assign_folds(rows: DataFrame, cuts: Sequence[float]) -> DataFrame:
     """Each row once per fold it belongs to, with its ``role``: train up to the fold's cut, test in the next block."""
-    roles = []
-    for i in range(folds):
+    places = []
+    for i in range(len(cuts) - 1):
         role = F.when(F.col("step") <= cuts[i], "train").when(F.col("step") <= cuts[i + 1], "test")
-        roles.append(F.when(role.isNotNull(), F.struct(F.lit(i + 1).alias("fold"), role.alias("role"))))
-    placed = rows.withColumn("_place", F.explode(F.array(*roles))).where("_place IS NOT NULL")
+        places.append(F.when(role.isNotNull(), F.struct(F.lit(i + 1).alias("fold"), role.alias("role"))))
+    placed = rows.withColumn("_place", F.explode(F.array(*places))).where("_place IS NOT NULL")
     return placed.select(*rows.columns, F.col("_place.fold").alias("fold"), F.col("_place.role").alias("role"))
 
 
+def fold_part(rows: DataFrame, cuts: Sequence[float], fold: int, role: str) -> DataFrame:
+    """One fold's train or test rows as a plain range filter on ``step``."""
+    if role == "train":
+        return rows.where(F.col("step") <= cuts[fold - 1])
+    return rows.where((F.col("step") > cuts[fold - 1]) & (F.col("step") <= cuts[fold]))
+
+
 def time_folds(ledger: DataFrame, boundaries: Sequence[float] = FOLD_BOUNDARIES,
                rows: DataFrame | None = None) -> DataFrame:
     """Folds of ``rows`` (the ledger itself by default) with cuts taken from the ledger's steps."""
-    cuts = step_quantiles(ledger, boundaries).scalar()
-    return assign_folds(ledger if rows is None else rows, cuts, len(boundaries) - 1)
+    return assign_folds(ledger if rows is None else rows, fitted_cuts(ledger, boundaries))
 
 
 def positive_weight(negatives: Column, positives: Column) -> Column:

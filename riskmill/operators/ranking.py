@@ -45,15 +45,15 @@ class ScoreBuckets:
 
 def score_buckets(scored: DataFrame, score: str = "score", bucket_rows: int = BUCKET_ROWS,
                   max_buckets: int = MAX_BUCKETS) -> ScoreBuckets:
-    """One small job: the row count and ``max_buckets`` approximate quantiles of the score."""
-    shares = f"transform(sequence(1, {max_buckets - 1}), i -> i / {float(max_buckets)}D)"
-    seen = scored.agg(
-        F.count("*").alias("rows"),
-        F.expr(f"percentile_approx(`{score}`, {shares}, {10 * max_buckets})").alias("edges"),
-    ).first()
-    wanted = min(max_buckets, math.ceil(seen.rows / bucket_rows))
+    """Count the rows; when they exceed one bucket, sketch ``max_buckets`` quantiles of the score.
+
+    Both are map-side combined passes over one column. Rank stored scores: a model pipeline would run once more here.
+    """
+    wanted = min(max_buckets, math.ceil(scored.count() / bucket_rows))
     if wanted <= 1:
         return ScoreBuckets()
+    shares = "array(" + ", ".join(f"{i / max_buckets!r}D" for i in range(1, max_buckets)) + ")"
+    seen = scored.agg(F.expr(f"percentile_approx(`{score}`, {shares}, {10 * max_buckets})").alias("edges")).first()
     edges = [float(edge) for edge in seen.edges]
     repeated = {edge for edge, following in zip(edges, edges[1:]) if edge == following}
     chosen = set(edges[::max(1, max_buckets // wanted)])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from riskmill.functions.features import FEATURES
 from riskmill.operators.decisions import score_linear
-from riskmill.operators.folds import time_folds
+from riskmill.operators.folds import fitted_cuts, fold_part, time_folds
 from riskmill.operators.history import build_features
 from riskmill.operators.metrics import capacity_sweep
 from riskmill.operators.scaling import Fitted, fit_scaler, fitted_values
@@ -93,9 +93,19 @@ def _score(multiplier: int, lift: int) -> Column:
     return ((F.col("row_id") * multiplier) % 997 + raised) / F.lit(997.0 + lift)
 
 
+def final_part(spark: SparkSession, sf_dir: str, role: str) -> DataFrame:
+    """Features of the last fold's train or test rows.
+
+    History only looks back, so rows after the fold's end are dropped before the windows, down at the scan.
+    """
+    source = ledger(spark, sf_dir)
+    cuts = fitted_cuts(source)
+    end = cuts[FOLDS - 1] if role == "train" else cuts[FOLDS]
+    return fold_part(build_features(source.where(F.col("step") <= end)), cuts, FOLDS, role)
+
+
 def final_scaler(spark: SparkSession, sf_dir: str) -> Fitted:
-    train = folded_features(spark, sf_dir).where((F.col("fold") == FOLDS) & (F.col("role") == "train"))
-    return fitted_values(fit_scaler(train, digits=SCALER_DIGITS))
+    return fitted_values(fit_scaler(final_part(spark, sf_dir, "train"), digits=SCALER_DIGITS))
 
 
 def explained(spark: SparkSession, sf_dir: str) -> DataFrame:
