@@ -41,7 +41,7 @@ def hot_destinations(ledger: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
 
 
 def _block(row_block: int) -> Column:
-    return F.floor(F.col("row_id") / F.lit(row_block)).cast("bigint")
+    return F.expr(f"row_id DIV {int(row_block)}")
 
 
 def _cell_offsets(ledger: DataFrame, hot: DataFrame, row_block: int) -> DataFrame:

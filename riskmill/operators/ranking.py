@@ -117,7 +117,7 @@ def global_rank(scored: DataFrame, by: Sequence[str] = (), score: str = "score",
     buckets = buckets or score_buckets(scored, score)
     block = F.lit(-1).cast("bigint")
     if buckets.crowded:
-        block = F.when(F.col("_bucket").isin(*buckets.crowded), F.floor(F.col("row_id") / row_block).cast("bigint")) \
+        block = F.when(F.col("_bucket").isin(*buckets.crowded), F.expr(f"row_id DIV {int(row_block)}")) \
             .otherwise(F.lit(-1))
     placed = buckets.assign(scored, score).withColumn("_block", block)
 

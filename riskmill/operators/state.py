@@ -77,7 +77,7 @@ def features_from_state(resolved: DataFrame, keep: tuple[str, ...] = ("row_id",
 
 def with_batches(rows: DataFrame, seq: str = "seq", size: int = BATCH_MAX_ROWS) -> DataFrame:
     """Cut an upload into batches of ``size`` rows by its gap-free position column."""
-    return rows.withColumn("batch_id", F.floor(F.col(seq) / F.lit(size)).cast("bigint"))
+    return rows.withColumn("batch_id", F.expr(f"`{seq}` DIV {int(size)}"))
 
 
 def accumulate_in_batch(rows: DataFrame, snapshot: DataFrame, seq: str = "seq") -> DataFrame:
