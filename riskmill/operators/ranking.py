@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 
 from riskmill.operators.history import ROW_BLOCK
 
-BUCKET_ROWS = 2_000_000
+BUCKET_ROWS = 250_000
 MAX_BUCKETS = 4096
 
 
@@ -45,18 +45,20 @@ class ScoreBuckets:
 
 def score_buckets(scored: DataFrame, score: str = "score", bucket_rows: int = BUCKET_ROWS,
                   max_buckets: int = MAX_BUCKETS) -> ScoreBuckets:
-    """Count the rows; when they exceed one bucket, sketch ``max_buckets`` quantiles of the score.
+    """Count the rows; when they exceed one bucket, sketch enough quantiles of the score to cut and to spot ties.
 
     Both are map-side combined passes over one column. Rank stored scores: a model pipeline would run once more here.
     """
     wanted = min(max_buckets, math.ceil(scored.count() / bucket_rows))
     if wanted <= 1:
         return ScoreBuckets()
-    shares = "array(" + ", ".join(f"{i / max_buckets!r}D" for i in range(1, max_buckets)) + ")"
-    seen = scored.agg(F.expr(f"percentile_approx(`{score}`, {shares}, {10 * max_buckets})").alias("edges")).first()
+    # Four quantiles per bucket: a value that fills half a bucket repeats and is recognized as crowded.
+    steps = 4 * wanted
+    shares = "array(" + ", ".join(f"{i / steps!r}D" for i in range(1, steps)) + ")"
+    seen = scored.agg(F.expr(f"percentile_approx(`{score}`, {shares}, {10 * steps})").alias("edges")).first()
     edges = [float(edge) for edge in seen.edges]
     repeated = {edge for edge, following in zip(edges, edges[1:]) if edge == following}
-    chosen = set(edges[::max(1, max_buckets // wanted)])
+    chosen = set(edges[3::4])
     chosen |= repeated | {math.nextafter(edge, math.inf) for edge in repeated}
     splits = tuple(sorted(chosen))
     crowded = tuple(i + 1 for i, edge in enumerate(splits) if edge in repeated)
