@@ -606,3 +606,75 @@ _add("n6_prepare_fold", """
             CAST(count(*) - sum(isFraud) AS DOUBLE) / greatest(sum(isFraud), 1) AS train_pos_weight
         FROM undersampled GROUP BY fold)
     SELECT * FROM b JOIN u USING (fold) JOIN t USING (fold)""", "undersampled")
+
+# P
+_DRIFT = ("amount", "hour_of_day", "amount_to_balance_ratio", "dest_prior_avg_amount", "dest_txn_count_24h")
+_TENTHS = _list(i / 10 for i in range(1, 10))
+_cte("dlong", " UNION ALL ".join(
+    f"SELECT role, CAST(floor(step / 48) AS BIGINT) AS win, '{n}' AS feature, CAST({n} AS DOUBLE) AS x "
+    f"FROM folded_features WHERE fold = {base.FOLDS}" for n in _DRIFT), "folded_features")
+_add("p1_stability_index", f"""
+    , edges AS (SELECT feature, unnest(list_distinct(quantile_disc(x, {_TENTHS}))) AS edge
+        FROM dlong WHERE role = 'train' GROUP BY feature),
+    placed AS (SELECT role, win, feature,
+            (SELECT count(*) FROM edges e WHERE e.feature = d.feature AND d.x > e.edge) AS bin FROM dlong d),
+    slots AS (SELECT feature, unnest(range(count(*) + 1)) AS bin FROM edges GROUP BY feature),
+    wins AS (SELECT DISTINCT win, feature FROM placed WHERE role = 'test'),
+    shares AS (SELECT w.win, w.feature, s.bin,
+            (SELECT count(*) FROM placed p WHERE p.role = 'test' AND p.win = w.win AND p.feature = w.feature AND p.bin = s.bin)
+                / CAST((SELECT count(*) FROM placed p WHERE p.role = 'test' AND p.win = w.win AND p.feature = w.feature) AS DOUBLE) AS a,
+            (SELECT count(*) FROM placed p WHERE p.role = 'train' AND p.feature = w.feature AND p.bin = s.bin)
+                / CAST((SELECT count(*) FROM placed p WHERE p.role = 'train' AND p.feature = w.feature) AS DOUBLE) AS e
+        FROM wins w JOIN slots s USING (feature))
+    SELECT win AS "window", feature, round(sum((greatest(a, 1e-4) - greatest(e, 1e-4)) * ln(greatest(a, 1e-4) / greatest(e, 1e-4))), 6) AS psi,
+        sum((greatest(a, 1e-4) - greatest(e, 1e-4)) * ln(greatest(a, 1e-4) / greatest(e, 1e-4))) > 0.25e0 AS drifted
+    FROM shares GROUP BY win, feature""", "dlong")
+_TRAIN = f"(SELECT * FROM folded WHERE role = 'train' AND fold = {base.FOLDS})"
+_add("p2_destination_degrees", f"""
+    SELECT nameDest, count(DISTINCT nameOrig) AS dest_degree, count(*) AS n_transactions,
+        CAST(sum(CAST(amount AS {DEC})) AS DOUBLE) AS dest_weighted_degree FROM {_TRAIN} GROUP BY nameDest""", "folded")
+_add("p3_component_statistics", f"""
+    , linked AS (SELECT DISTINCT a.nameDest AS d, b.nameDest AS e FROM {_TRAIN} a JOIN {_TRAIN} b USING (nameOrig)),
+    per AS (SELECT nameDest, count(DISTINCT nameOrig) AS senders, count(*) AS n, CAST(sum(isFraud) AS BIGINT) AS fraud
+        FROM {_TRAIN} GROUP BY nameDest),
+    comp AS (SELECT d AS nameDest, min(e) AS component FROM linked GROUP BY d),
+    agg AS (SELECT component, sum(senders) + count(*) AS size, sum(fraud) / CAST(sum(n) AS DOUBLE) AS rate,
+        count(*) FILTER (WHERE fraud > 0) AS marks FROM comp JOIN per USING (nameDest) GROUP BY component)
+    SELECT nameDest, CAST(size AS BIGINT) AS dest_component_size,
+        CAST(marks - CASE WHEN fraud > 0 THEN 1 ELSE 0 END AS BIGINT) AS dest_flagged_neighbours,
+        rate AS dest_component_fraud_rate
+    FROM comp JOIN per USING (nameDest) JOIN agg USING (component)""", "folded")
+_add("p4_feedback", """
+    SELECT row_id, score, CASE WHEN isFraud = 1 THEN 'CONFIRMED_FRAUD' ELSE 'FALSE_POSITIVE' END AS label,
+        CAST(2 AS BIGINT) AS n_verdicts, CAST(isFraud AS INTEGER) AS confirmed
+    FROM decided WHERE decision = 'REVIEW' AND row_id % 3 <> 0""", "decided")
+_POISSON = " + ".join(f"CAST(u > {b}e0 AS INTEGER)" for b in (
+    0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676, 0.99998980))
+_cte("boot", f"""
+    SELECT replicate, CAST(sum(w) AS BIGINT) AS n_drawn, sum(w * is_fraud) / CAST(sum(w) AS DOUBLE) AS precision
+    FROM (SELECT *, {_POISSON} AS w FROM (SELECT is_fraud, CAST(replicate AS INTEGER) AS replicate,
+            CAST(('0x' || left(md5('{base.SAMPLE_SEED}-' || replicate || '-' || row_id), 8)) AS BIGINT) / 4294967296e0 AS u
+        FROM scored, range(1, 51) r(replicate) WHERE score >= (SELECT score FROM ranked WHERE rank = 300)))
+    GROUP BY replicate""", "ranked")
+_add("p5_bootstrap_precision", "SELECT replicate, n_drawn, precision FROM boot", "boot")
+_add("p5_precision_interval", """
+    SELECT round(avg(precision), 6) AS mean, round(quantile_cont(precision, 0.025), 6) AS low,
+        round(quantile_cont(precision, 0.975), 6) AS high FROM boot""", "boot")
+_add("p6_mcnemar", f"""
+    , j AS (SELECT a.row_id, (a.score >= 0.5e0) = (a.is_fraud = 1) AS a, (b.score >= 0.5e0) = (b.is_fraud = 1) AS b
+        FROM ms a JOIN ms b USING (row_id, fold) WHERE fold = {base.FOLDS} AND a.model = 'alpha' AND b.model = 'beta'),
+    c AS (SELECT count(*) FILTER (WHERE a AND b) AS "both", count(*) FILTER (WHERE a AND NOT b) AS only_left,
+        count(*) FILTER (WHERE b AND NOT a) AS only_right, count(*) FILTER (WHERE NOT a AND NOT b) AS neither FROM j)
+    SELECT *, round(power(greatest(abs(only_left - only_right) - 1, 0), 2) / nullif(CAST(only_left + only_right AS DOUBLE), 0), 6)
+        AS statistic FROM c""", "ms")
+_CASES = [("base", 1.0, (1, 1, 1))] + [
+    (name, f, tuple(f if i == j else 1 for j in range(3)))
+    for i, name in enumerate(("cost", "recovery", "liability")) for f in (0.5, 1.5)]
+_add("p7_rate_sensitivity", f"""
+    , v AS (SELECT shifted_rate, factor, reviews_per_day,
+            true_positives * amt * (0.5e0 * r) - n_flagged * ({base.COST_PER_REVIEW}e0 * c) - false_negatives * amt * (1e0 * l) AS net
+        FROM sweep, avgfraud, (VALUES {", ".join(
+            f"('{n}', {f}e0, {c}e0, {r}e0, {x}e0)" for n, f, (c, r, x) in _CASES)}) k(shifted_rate, factor, c, r, l))
+    SELECT shifted_rate, factor, reviews_per_day AS recommended_reviews_per_day, round(net, 6) AS net_value
+    FROM (SELECT *, row_number() OVER (PARTITION BY shifted_rate, factor ORDER BY net DESC, reviews_per_day) AS nth FROM v)
+    WHERE nth = 1""", "sweep", "avgfraud")
