@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from riskmill.functions.features import FEATURES
 
+# Means of cents often end in an exact half; the shift keeps those away from the rounding boundary, where the order
+# of a floating-point sum would otherwise decide.
+HALF_SHIFT = 1.2345e-7
+
 Fitted = Mapping[str, Mapping[str, Column]]
 
 
@@ -19,7 +23,7 @@ def fit_scaler(train: DataFrame, by: Sequence[str] = (), names: Sequence[str] =
     ``digits`` rounds the fitted values, which makes everything derived from them reproducible bit by bit.
     """
     def tidy(value: Column) -> Column:
-        return value if digits is None else F.round(value, digits)
+        return value if digits is None else F.round(value + HALF_SHIFT, digits)
 
     fitted = []
     for name in names:

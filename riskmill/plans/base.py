@@ -115,9 +115,9 @@ def explained(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumn("is_fraud", F.col("isFraud"))
 
 
-def rounded(frame: DataFrame, names: tuple[str, ...] | list[str], digits: int = 6) -> DataFrame:
+def rounded(frame: DataFrame, names: tuple[str, ...] | list[str], digits: int = 6, shift: float = 0.0) -> DataFrame:
     """Round order-dependent doubles for comparison between engines."""
-    return frame.withColumns({name: F.round(name, digits) for name in names})
+    return frame.withColumns({name: F.round(F.col(name) + shift, digits) for name in names})
 
 
 ALL_FEATURES = list(FEATURES)

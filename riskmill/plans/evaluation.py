@@ -177,7 +177,7 @@ def h5_mean_fraud_amount(spark, sf_dir):
 
 def i1_segment_profile(spark, sf_dir):
     made = errors.segment_profile(base.explained(spark, sf_dir), F.col("flagged"))
-    return base.rounded(made, [c for c in made.columns if c.endswith(("_mean", "_gap"))])
+    return base.rounded(made, [c for c in made.columns if c.endswith(("_mean", "_gap"))], shift=scaling.HALF_SHIFT)
 
 
 def i2_missed_fraud(spark, sf_dir):

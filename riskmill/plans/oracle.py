@@ -10,6 +10,7 @@ from riskmill.params import FOLD_BOUNDARIES
 from riskmill.plans import base
 
 DEC = "DECIMAL(28,6)"
+SHIFT = "1.2345e-7"
 
 
 def _list(values) -> str:
@@ -187,9 +188,9 @@ _cte("results", """
 
 # The numeric model
 _FIT = ", ".join(
-    f"round(avg(CAST({n} AS DOUBLE)), {base.SCALER_DIGITS}) AS m_{n}, "
-    f"CASE WHEN round(stddev_pop(CAST({n} AS DOUBLE)), {base.SCALER_DIGITS}) > 0 "
-    f"THEN round(stddev_pop(CAST({n} AS DOUBLE)), {base.SCALER_DIGITS}) ELSE 1e0 END AS s_{n}" for n in FEATURES)
+    f"round(avg(CAST({n} AS DOUBLE)) + {SHIFT}, {base.SCALER_DIGITS}) AS m_{n}, "
+    f"CASE WHEN round(stddev_pop(CAST({n} AS DOUBLE)) + {SHIFT}, {base.SCALER_DIGITS}) > 0 "
+    f"THEN round(stddev_pop(CAST({n} AS DOUBLE)) + {SHIFT}, {base.SCALER_DIGITS}) ELSE 1e0 END AS s_{n}" for n in FEATURES)
 _cte("fit", f"SELECT {_FIT} FROM folded_features WHERE fold = {base.FOLDS} AND role = 'train'", "folded_features")
 _CONTRIB = ", ".join(f"CAST({base.COEFFICIENTS[n]} AS DOUBLE) * (({n} - m_{n}) / s_{n}) AS c_{n}" for n in FEATURES)
 _cte("contrib", f"SELECT row_id, step, {_COLS}, isFraud, {_CONTRIB} FROM features, fit", "features", "fit")
@@ -413,8 +414,9 @@ _cte("undersampled", f"""
 _add("f5_undersample", "SELECT fold, row_id, isFraud FROM undersampled", "undersampled")
 _D = base.SCALER_DIGITS
 _add("f6_scaler_fit", " UNION ALL ".join(
-    f"SELECT fold, '{n}' AS feature, round(avg(CAST({n} AS DOUBLE)), {_D}) AS mean, "
-    f"CASE WHEN round(stddev_pop(CAST({n} AS DOUBLE)), {_D}) > 0 THEN round(stddev_pop(CAST({n} AS DOUBLE)), {_D}) "
+    f"SELECT fold, '{n}' AS feature, round(avg(CAST({n} AS DOUBLE)) + {SHIFT}, {_D}) AS mean, "
+    f"CASE WHEN round(stddev_pop(CAST({n} AS DOUBLE)) + {SHIFT}, {_D}) > 0 "
+    f"THEN round(stddev_pop(CAST({n} AS DOUBLE)) + {SHIFT}, {_D}) "
     "ELSE 1e0 END AS scale FROM folded_features WHERE role = 'train' GROUP BY fold" for n in FEATURES), "folded_features")
 _add("f7_scaler_apply", "SELECT row_id, step, " + ", ".join(
     f"round(({n} - m_{n}) / s_{n}, 6) AS {n}" for n in FEATURES) + " FROM features, fit", "features", "fit")
@@ -494,10 +496,10 @@ _add("h5_mean_fraud_amount", f"""
     FROM folded WHERE role = 'test' AND fold = {base.FOLDS} AND isFraud = 1""", "folded")
 
 # I, J
-_GAPS = [f"round(({g}_mean - true_positive_mean) / nullif(sd, 0), 6) AS {a}_vs_tp_std_gap"
+_GAPS = [f"round(({g}_mean - true_positive_mean) / nullif(sd, 0) + {SHIFT}, 6) AS {a}_vs_tp_std_gap"
          for g, a in (("false_positive", "fp"), ("false_negative", "fn"))]
-_add("i1_segment_profile", "SELECT feature, round(overall_mean, 6) AS overall_mean, " + ", ".join(
-    f"{g}_n, round({g}_mean, 6) AS {g}_mean" for g in ("true_positive", "false_positive", "false_negative"))
+_add("i1_segment_profile", f"SELECT feature, round(overall_mean + {SHIFT}, 6) AS overall_mean, " + ", ".join(
+    f"{g}_n, round({g}_mean + {SHIFT}, 6) AS {g}_mean" for g in ("true_positive", "false_positive", "false_negative"))
     + ", " + ", ".join(_GAPS) + " FROM profile", "profile")
 _add("i2_missed_fraud", """
     , q AS (SELECT count(*) AS k FROM scored WHERE score >= (SELECT score FROM ranked WHERE rank = 100)),
