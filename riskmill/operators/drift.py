@@ -7,20 +7,31 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskmill.operators.ranking import cumulative_histogram
 from riskmill.params import PSI_FEATURE_LIMIT, PSI_SCORE_LIMIT
 
 BINS = 10
-ACCURACY = 100_000
 FLOOR = 1e-4
 
 
 def bin_edges(reference: DataFrame, names: Sequence[str], bins: int = BINS) -> dict[str, list[float]]:
-    """Inner quantile edges per column from one sketch pass over the reference rows; duplicates collapse."""
-    shares = "array(" + ", ".join(f"{i / bins!r}D" for i in range(1, bins)) + ")"
-    row = reference.agg(*[
-        F.expr(f"percentile_approx(CAST(`{name}` AS DOUBLE), {shares}, {ACCURACY})").alias(name) for name in names
-    ]).first()
-    return {name: sorted({float(edge) for edge in row[name]}) for name in names}
+    """Inner quantile edges per column, exact; at most ``bins - 1`` numbers per column reach the driver.
+
+    All columns are counted in one cumulative histogram over (column, value) with bounded buckets.
+    """
+    values = reference.select(F.inline(F.array(*[
+        F.struct(F.lit(name).alias("feature"), F.col(name).cast("double").alias("score"), F.lit(1).alias("is_fraud"))
+        for name in names])))
+    counted = cumulative_histogram(values, ("feature",))
+    below = F.col("total_rows") - F.col("cum_rows")
+    wanted = [F.ceil(F.round(F.col("total_rows") * F.lit(i / bins), 6)) for i in range(1, bins)]
+    hit = F.lit(False)
+    for position in wanted:
+        hit = hit | ((below < position) & (position <= below + F.col("rows")))
+    edges: dict[str, list[float]] = {name: [] for name in names}
+    for row in counted.where(hit).select("feature", "score").collect():
+        edges[row.feature].append(row.score)
+    return {name: sorted(found) for name, found in edges.items()}
 
 
 def _shares(rows: DataFrame, edges: dict[str, list[float]], by: Sequence[str]) -> DataFrame:

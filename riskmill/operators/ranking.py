@@ -26,6 +26,7 @@ from riskmill.operators.history import ROW_BLOCK
 
 BUCKET_ROWS = 250_000
 MAX_BUCKETS = 4096
+SAMPLED_PER_STEP = 64
 
 
 @dataclass(frozen=True)
@@ -45,17 +46,22 @@ class ScoreBuckets:
 
 def score_buckets(scored: DataFrame, score: str = "score", bucket_rows: int = BUCKET_ROWS,
                   max_buckets: int = MAX_BUCKETS) -> ScoreBuckets:
-    """Count the rows; when they exceed one bucket, sketch enough quantiles of the score to cut and to spot ties.
+    """Count the rows; when they exceed one bucket, take enough quantiles of a sample to cut and to spot ties.
 
-    Both are map-side combined passes over one column. Rank stored scores: a model pipeline would run once more here.
+    The sample only places the boundaries, as a range partitioner's does: it bounds what reaches the sketch's final
+    task, and has no influence on results. Rank stored scores: a model pipeline would run again for each pass here.
     """
-    wanted = min(max_buckets, math.ceil(scored.count() / bucket_rows))
+    rows = scored.count()
+    wanted = min(max_buckets, math.ceil(rows / bucket_rows))
     if wanted <= 1:
         return ScoreBuckets()
     # Four quantiles per bucket: a value that fills half a bucket repeats and is recognized as crowded.
     steps = 4 * wanted
+    some = scored.select(score).sample(fraction=min(1.0, SAMPLED_PER_STEP * steps / rows), seed=17)
     shares = "array(" + ", ".join(f"{i / steps!r}D" for i in range(1, steps)) + ")"
-    seen = scored.agg(F.expr(f"percentile_approx(`{score}`, {shares}, {10 * steps})").alias("edges")).first()
+    seen = some.agg(F.expr(f"percentile_approx(`{score}`, {shares}, {10 * steps})").alias("edges")).first()
+    if seen.edges is None:
+        return ScoreBuckets()
     edges = [float(edge) for edge in seen.edges]
     repeated = {edge for edge, following in zip(edges, edges[1:]) if edge == following}
     chosen = set(edges[3::4])

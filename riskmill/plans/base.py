@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskmill.functions.features import FEATURES
 from riskmill.operators.decisions import score_linear
 from riskmill.operators.folds import fitted_cuts, fold_part, time_folds
 from riskmill.operators.history import build_features
@@ -118,6 +117,3 @@ def explained(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rounded(frame: DataFrame, names: tuple[str, ...] | list[str], digits: int = 6, shift: float = 0.0) -> DataFrame:
     """Round order-dependent doubles for comparison between engines."""
     return frame.withColumns({name: F.round(F.col(name) + shift, digits) for name in names})
-
-
-ALL_FEATURES = list(FEATURES)

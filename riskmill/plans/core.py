@@ -110,8 +110,7 @@ def _batched(spark, sf_dir):
 def e4_batch_accumulation(spark, sf_dir):
     snapshot = state.destination_snapshot(base.ledger(spark, sf_dir))
     merged = state.accumulate_in_batch(_batched(spark, sf_dir), snapshot)
-    return base.rounded(merged.select("row_id", "batch_id", *state.STATE_COLUMNS, "state_hit"),
-                        ["prior_avg_amount", "amount_sum_24h"])
+    return merged.select("row_id", "batch_id", *state.STATE_COLUMNS, "state_hit")
 
 
 def e5_batches(spark, sf_dir):

@@ -55,13 +55,13 @@ def f6_scaler_fit(spark, sf_dir):
 
 def f7_scaler_apply(spark, sf_dir):
     rows = base.features(spark, sf_dir).drop("isFraud")
-    return base.rounded(scaling.apply_scaler(rows, base.final_scaler(spark, sf_dir)), base.ALL_FEATURES)
+    return scaling.apply_scaler(rows, base.final_scaler(spark, sf_dir))
 
 
 def f7_scaler_inverse(spark, sf_dir):
     fitted = base.final_scaler(spark, sf_dir)
     there = scaling.apply_scaler(base.features(spark, sf_dir).drop("isFraud"), fitted)
-    return base.rounded(scaling.invert_scaler(there, fitted), base.ALL_FEATURES)
+    return scaling.invert_scaler(there, fitted)
 
 
 def f8_stratified_sample(spark, sf_dir):
@@ -202,12 +202,11 @@ def j2_alert_queue(spark, sf_dir):
 
 def j3_reason_codes(spark, sf_dir):
     alerts = attribution.alert_queue(base.explained(spark, sf_dir), F.col("flagged"))
-    return base.rounded(attribution.explain_alerts(alerts), ["value", "contribution"])
+    return attribution.explain_alerts(alerts)
 
 
 def j4_contributions(spark, sf_dir):
-    made = attribution.long_contributions(base.explained(spark, sf_dir))
-    return base.rounded(made, ["contribution", "value"])
+    return attribution.long_contributions(base.explained(spark, sf_dir))
 
 
 def j5_inert_features(spark, sf_dir):
@@ -277,7 +276,7 @@ def l4_score_rows(spark, sf_dir):
     made = base.explained(spark, sf_dir)
     first = F.col("reasons")[0]
     return made.select("row_id", "score", "flagged", F.size("reasons").alias("n_reasons"),
-                       first["feature"].alias("top_feature"), F.round(first["contribution"], 6).alias("top_contribution"))
+                       first["feature"].alias("top_feature"), first["contribution"].alias("top_contribution"))
 
 
 def l5_batch_summary(spark, sf_dir):

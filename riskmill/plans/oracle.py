@@ -347,10 +347,10 @@ _add("e3_state_features", "SELECT row_id, state_hit, " + ", ".join(
     f"{_SERVED.get(n, _ALL_SQL[n])} AS {n}" for n in FEATURES) + " FROM found", "found")
 _add("e4_batch_accumulation", """
     SELECT row_id, batch_id, CAST(prior_txn_count + acc_rows AS BIGINT) AS prior_txn_count,
-        round(CASE WHEN acc_rows = 0 THEN prior_avg_amount
-            ELSE (prior_avg_amount * prior_txn_count + acc_total) / (prior_txn_count + acc_rows) END, 6) AS prior_avg_amount,
+        CASE WHEN acc_rows = 0 THEN prior_avg_amount
+            ELSE (prior_avg_amount * prior_txn_count + acc_total) / (prior_txn_count + acc_rows) END AS prior_avg_amount,
         CAST(txn_count_24h + acc_rows AS BIGINT) AS txn_count_24h,
-        round(amount_sum_24h + acc_total, 6) AS amount_sum_24h, state_hit OR acc_rows > 0 AS state_hit
+        amount_sum_24h + acc_total AS amount_sum_24h, state_hit OR acc_rows > 0 AS state_hit
     FROM accumulated""", "accumulated")
 _add("e5_batches", f"""
     SELECT CAST(floor(row_id / {base.BATCH_ROWS}) AS BIGINT) AS batch_id, count(*) AS n_rows, min(row_id) AS first_seq,
@@ -419,9 +419,9 @@ _add("f6_scaler_fit", " UNION ALL ".join(
     f"THEN round(stddev_pop(CAST({n} AS DOUBLE)) + {SHIFT}, {_D}) "
     "ELSE 1e0 END AS scale FROM folded_features WHERE role = 'train' GROUP BY fold" for n in FEATURES), "folded_features")
 _add("f7_scaler_apply", "SELECT row_id, step, " + ", ".join(
-    f"round(({n} - m_{n}) / s_{n}, 6) AS {n}" for n in FEATURES) + " FROM features, fit", "features", "fit")
+    f"({n} - m_{n}) / s_{n} AS {n}" for n in FEATURES) + " FROM features, fit", "features", "fit")
 _add("f7_scaler_inverse", "SELECT row_id, step, " + ", ".join(
-    f"round((({n} - m_{n}) / s_{n}) * s_{n} + m_{n}, 6) AS {n}" for n in FEATURES) + " FROM features, fit", "features", "fit")
+    f"(({n} - m_{n}) / s_{n}) * s_{n} + m_{n} AS {n}" for n in FEATURES) + " FROM features, fit", "features", "fit")
 _add("f8_stratified_sample", f"""
     SELECT row_id, isFraud, amount FROM (
         SELECT *, row_number() OVER (PARTITION BY isFraud ORDER BY {_HASH}) AS nth,
@@ -519,12 +519,11 @@ _add("j1_global_importance", """
         round(share_of_total, 6) AS share_of_total, rank FROM importance""", "importance")
 _add("j2_alert_queue", "SELECT alert_rank, row_id, score, is_fraud FROM queue", "queue")
 _add("j3_reason_codes", """
-    SELECT alert_rank, row_id, q.score, q.is_fraud, reason_rank, feature, round(value, 6) AS value,
-        round(contribution, 6) AS contribution
+    SELECT alert_rank, row_id, q.score, q.is_fraud, reason_rank, feature, value, contribution
     FROM queue q JOIN (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY abs(contribution) DESC, place) AS reason_rank
         FROM long) l USING (row_id) WHERE reason_rank <= 4""", "queue", "long")
 _add("j4_contributions", """
-    SELECT row_id, feature, round(contribution, 6) AS contribution, round(value, 6) AS value FROM long""", "long")
+    SELECT row_id, feature, contribution, value FROM long""", "long")
 _add("j5_inert_features", "SELECT feature FROM importance WHERE mean_abs <= 1e-9", "importance")
 
 # K
@@ -575,7 +574,7 @@ _add("l3_rule_effectiveness", """
     FROM decided""", "decided")
 _add("l4_score_rows", """
     SELECT e.row_id, e.score, e.flagged, CAST(4 AS INTEGER) AS n_reasons, l.feature AS top_feature,
-        round(l.contribution, 6) AS top_contribution
+        l.contribution AS top_contribution
     FROM explained e JOIN (SELECT * FROM long
         QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY abs(contribution) DESC, place) = 1) l USING (row_id)""",
      "explained", "long")
