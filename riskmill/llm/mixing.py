@@ -33,7 +33,7 @@ from riskmill.llm.common import global_index, repeat_rows, whole_text, word_coun
 
 WEIGHTS = (1, 2, 3)
 MOST_REPEATS = 3
-RANGE_ROWS = 4096
+RANGE_ROWS = 1024
 SEED = 9
 
 

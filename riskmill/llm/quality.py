@@ -64,16 +64,17 @@ RULES = (
 )
 
 
-def measures(docs: DataFrame) -> DataFrame:
-    """One row per document with its counts over the whole text.
+def measures(docs: DataFrame, with_row: bool = False) -> DataFrame:
+    """One row per document with its counts over the whole text, and on demand the whole row as ``row``.
 
     n_repeat_words covers the words of 3-word windows that occur twice or more. Windows are compared as numbers made of
     a hash and the position, sorted; neighbours with equal hashes are checked word by word, and a text in which a hash
     deceives is compared by the words themselves.
     """
     text = whole_text()
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if with_row else []
     split = docs.select(
-        "doc_id", text.alias("text"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"),
+        *row, "doc_id", text.alias("text"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"),
         F.filter(F.split(text, "\n"), lambda line: line.rlike(WORD)).alias("lines"))
     windows = F.expr(
         f"transform(sequence(0, size(words) - 3), i -> "
@@ -98,7 +99,7 @@ def measures(docs: DataFrame) -> DataFrame:
     covered = pairs.withColumn("ordered", F.when(deceived, by_words)).withColumn(
         "covered", F.when(F.col("ordered").isNotNull(), from_words).otherwise(from_hashes))
     return covered.select(
-        "doc_id", "n_words",
+        *(["row"] if with_row else []), "doc_id", "n_words",
         F.char_length(F.regexp_replace("text", SPACE, "")).cast("bigint").alias("word_chars"),
         _removed(F.translate("text", SYMBOLS, "")).alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
@@ -156,12 +157,20 @@ def fit(patterns: Sequence[tuple[tuple[int, ...], int]], n_rules: int, rounds: i
     return trust
 
 
-def judge(measured: DataFrame, rules: Sequence[Rule] = RULES, rounds: int = ROUNDS) -> DataFrame:
-    """Adds base_failed, good_probability and kept. ``measured`` is read twice: hand over a stored table."""
-    names = [f"vote_{rule.name}" for rule in rules]
-    voted = measured.select("*", *[vote(rule).alias(name) for rule, name in zip(rules, names)])
-    counts = voted.groupBy(*names).count().collect()
-    trust = fit([(tuple(row[:-1]), row[-1]) for row in sorted(tuple(r) for r in counts)], len(rules), rounds)
-    probability = 1 / (1 + F.exp(-trust.log_odds([F.col(name) for name in names])))
-    return voted.withColumn("base_failed", base_failed()).withColumn("good_probability", probability) \
-        .withColumn("kept", ~F.col("base_failed") & (F.col("good_probability") >= 0.5)).drop(*names)
+def fit_trust(measured: DataFrame, rules: Sequence[Rule] = RULES, rounds: int = ROUNDS) -> Trust:
+    """What the agreement of the rules over all rows says about them."""
+    counts = measured.groupBy(*[vote(rule).alias(f"vote_{k}") for k, rule in enumerate(rules)]).count().collect()
+    return fit([(tuple(row[:-1]), row[-1]) for row in sorted(tuple(r) for r in counts)], len(rules), rounds)
+
+
+def judge(measured: DataFrame, trust: Trust, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """Adds base_failed, good_probability and kept."""
+    probability = 1 / (1 + F.exp(-trust.log_odds([vote(rule) for rule in rules])))
+    return measured.withColumn("base_failed", base_failed()).withColumn("good_probability", probability) \
+        .withColumn("kept", ~F.col("base_failed") & (F.col("good_probability") >= 0.5))
+
+
+def keep_good(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """The documents that are kept, with all their columns. Measures twice instead of moving any text."""
+    trust = fit_trust(measures(docs), rules)
+    return judge(measures(docs, with_row=True), trust, rules).where("kept").select("row.*")

@@ -3,15 +3,29 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from riskmill.lineage import cut_lineage
-from riskmill.llm import exact_dedup, mixing, quality, urls
-from riskmill.llm.common import table
+from riskmill.llm import (exact_dedup, mixing, quality, sentencepiece_codec, simhash, substring_dedup, token_counts,
+                          toxicity, urls, warc)
+from riskmill.llm.common import table, whole_text
+
+TOXIC_FROM = 0.3
+
+
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per repeated passage in a document; documents without any have none."""
+    return substring_dedup.repeated_spans(table(spark, sf_dir, "documents")).select(
+        "doc_id", "first_word", "n_words", "first_doc_id", "copies")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = cut_lineage(quality.measures(table(spark, sf_dir, "documents")))
-    return quality.judge(measured).select(
+    return quality.judge(measured, quality.fit_trust(measured)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
@@ -19,6 +33,28 @@ def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = toxicity.id_remainder(F.col("doc_id")) == 2
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out))
+    return toxicity.score(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs).select("doc_id", "n_tokens")
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and digest of each document's piece ids, and whether they decode to its text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = sentencepiece_codec.decode(sentencepiece_codec.encode(docs))
+    return both.select("doc_id", F.coalesce(F.size("piece_ids"), F.lit(0)).cast("bigint").alias("n_pieces"),
+                       F.xxhash64("piece_ids").alias("ids_digest"), F.octet_length(whole_text()).cast("bigint").alias("n_bytes"),
+                       F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -28,9 +64,22 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken", "position")
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.new_folder(spark)
+    warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    return warc.archived_pages(spark, folder).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_quality": op3_quality,
     "op4_urls": op4_urls,
+    "op5_toxicity": op5_toxicity,
+    "op6_token_counts": op6_token_counts,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mixing": op9_mixing,
+    "op10_warc": op10_warc,
 }

@@ -120,3 +120,11 @@ SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN CASE {
 
 
 ORACLE = {"op3_quality": quality_sql(), "op4_urls": URLS_SQL, "op8_exact_dedup": EXACT_SQL, "op9_mixing": mixing_sql()}
+
+ORACLE["op10_warc"] = """
+WITH payloads AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+hashed AS (SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha256(payload) AS payload_digest FROM payloads),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_page FROM hashed),
+told AS (SELECT *, payload_bytes >= 100 AND page_id IS DISTINCT FROM first_page AS again FROM firsts)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again THEN first_page END AS refers_to FROM told"""
