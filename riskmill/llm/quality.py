@@ -1,8 +1,9 @@
 """Quality rules by weak supervision. DataFrame only.
 
-Each rule looks at one measure of a whole text and votes good (1), bad (-1) or abstains (0). Nobody says how far a
-rule can be trusted: expectation-maximisation estimates the share of good documents and each rule's accuracy from how
-the rules agree over all documents, and the posterior probability of being good replaces all-must-pass filtering.
+Each rule looks at one measure of a whole text and votes good (1), bad (-1) or abstains (0). A document is good or bad
+in the way that one of the rules looks for. Nobody says how far a rule can be trusted: expectation-maximisation
+estimates the shares of good documents and of each kind of badness, and how accurate every rule is on each of them,
+from how the rules agree over all documents. The posterior probability of being good replaces all-must-pass filtering.
 
 The documents enter the estimation as counts of vote patterns, at most 3 to the number of rules, which are aggregated
 on the cluster. The fitted weights become literals of one expression, so the votes need no second pass in Python.
@@ -25,11 +26,12 @@ from riskmill.llm.common import SPACE, WORD, whole_text
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS = 50
 MOST_REPEATED_PERCENT = 50
-ROUNDS = 25
-START_ACCURACY = 0.8
+ROUNDS = 15
 START_GOOD = 0.8
-# A rule is never trusted blindly nor read as its opposite.
-ACCURACY_RANGE = (0.55, 0.99)
+# How often a rule votes bad: on good documents, on the kind of badness that it looks for, on other kinds.
+START_RATES = (0.02, 0.8, 0.2)
+LIMITS_GOOD, LIMITS_OWN, LIMITS_OTHER = (0.001, 0.02), (0.6, 0.99), (0.01, 0.99)
+LEAST_SHARE = 0.001
 POSITION_BITS = 28
 
 
@@ -56,7 +58,7 @@ MEASURES = {
 RULES = (
     Rule("few_symbols", "symbols", 5, 25),
     Rule("few_repeated_windows", "repeats", 10, 30),
-    Rule("lines_differ", "duplicate_lines", 10, 30),
+    Rule("lines_differ", "duplicate_lines", 20, 50),
     Rule("few_capitals", "capitals", 10, 30),
     Rule("few_marks", "marks", 10, 30),
     Rule("plausible_words", "word_length", 800, 1100),
@@ -126,34 +128,73 @@ def vote(rule: Rule) -> Column:
 
 @dataclass(frozen=True)
 class Trust:
-    """The share of good documents and each rule's accuracy where it votes."""
+    """Shares of the kinds (good first, then what each rule looks for); ``rates[kind][rule]``: how often it votes bad."""
 
-    good: float
-    accuracies: tuple[float, ...]
+    shares: tuple[float, ...]
+    rates: tuple[tuple[float, ...], ...]
 
-    def log_odds(self, votes: Sequence[Column | int]):
-        total = math.log(self.good / (1 - self.good))
-        for value, accuracy in zip(votes, self.accuracies):
-            total = total + value * math.log(accuracy / (1 - accuracy))
-        return total
+    def evidence(self, kind: int, rule: int) -> tuple[float, float]:
+        """What a good and a bad vote of the rule add to the log odds of this kind against good."""
+        own, good = self.rates[kind][rule], self.rates[0][rule]
+        return math.log((1 - own) / (1 - good)), math.log(own / good)
+
+    def odds(self, votes: Sequence[int]) -> list[float]:
+        """Each kind's odds against good."""
+        out = []
+        for kind, share in enumerate(self.shares):
+            total = math.log(share / self.shares[0])
+            for rule, value in enumerate(votes):
+                if value:
+                    total += self.evidence(kind, rule)[value < 0]
+            out.append(math.exp(total))
+        return out
+
+    def good_probability(self, votes: Sequence[Column]) -> Column:
+        whole = F.lit(1.0)
+        for kind in range(1, len(self.shares)):
+            total = F.lit(math.log(self.shares[kind] / self.shares[0]))
+            for rule, value in enumerate(votes):
+                for_good, for_bad = self.evidence(kind, rule)
+                total = total + F.when(value > 0, for_good).when(value < 0, for_bad).otherwise(0.0)
+            whole = whole + F.exp(total)
+        return 1 / whole
+
+
+def _within(value: float, limits: tuple[float, float]) -> float:
+    return min(limits[1], max(limits[0], value))
+
+
+def rate_limits(kind: int, rule: int) -> tuple[float, float]:
+    return LIMITS_GOOD if kind == 0 else LIMITS_OWN if kind == rule + 1 else LIMITS_OTHER
+
+
+def start_rate(kind: int, rule: int) -> float:
+    return START_RATES[0] if kind == 0 else START_RATES[1] if kind == rule + 1 else START_RATES[2]
 
 
 def fit(patterns: Sequence[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = ROUNDS) -> Trust:
     """Expectation-maximisation over (votes, number of documents), starting from fairly good rules."""
-    trust = Trust(START_GOOD, (START_ACCURACY,) * n_rules)
-    low, high = ACCURACY_RANGE
+    kinds = range(n_rules + 1)
+    trust = Trust((START_GOOD,) + ((1 - START_GOOD) / n_rules,) * n_rules,
+                  tuple(tuple(start_rate(kind, rule) for rule in range(n_rules)) for kind in kinds))
     total = sum(n for _, n in patterns)
     if not total:
         return trust
     for _ in range(rounds):
-        posteriors = [(votes, n, 1 / (1 + math.exp(-trust.log_odds(votes)))) for votes, n in patterns]
-        accuracies = []
-        for k in range(n_rules):
-            cast = sum(n for votes, n, _ in posteriors if votes[k])
-            right = sum(n * (p if votes[k] > 0 else 1 - p) for votes, n, p in posteriors if votes[k])
-            accuracies.append(min(high, max(low, right / cast)) if cast else START_ACCURACY)
-        good = sum(n * p for _, n, p in posteriors) / total
-        trust = Trust(min(high, max(1 - high, good)), tuple(accuracies))
+        expected = []
+        for votes, n in patterns:
+            odds = trust.odds(votes)
+            expected.append((votes, [n * part / sum(odds) for part in odds]))
+        rates = []
+        for kind in kinds:
+            row = []
+            for rule in range(n_rules):
+                cast = sum(parts[kind] for votes, parts in expected if votes[rule])
+                bad = sum(parts[kind] for votes, parts in expected if votes[rule] < 0)
+                row.append(_within(bad / cast if cast else start_rate(kind, rule), rate_limits(kind, rule)))
+            rates.append(tuple(row))
+        shares = [max(LEAST_SHARE, sum(parts[kind] for _, parts in expected) / total) for kind in kinds]
+        trust = Trust(tuple(share / sum(shares) for share in shares), tuple(rates))
     return trust
 
 
@@ -165,7 +206,7 @@ def fit_trust(measured: DataFrame, rules: Sequence[Rule] = RULES, rounds: int =
 
 def judge(measured: DataFrame, trust: Trust, rules: Sequence[Rule] = RULES) -> DataFrame:
     """Adds base_failed, good_probability and kept."""
-    probability = 1 / (1 + F.exp(-trust.log_odds([vote(rule) for rule in rules])))
+    probability = trust.good_probability([vote(rule) for rule in rules])
     return measured.withColumn("base_failed", base_failed()).withColumn("good_probability", probability) \
         .withColumn("kept", ~F.col("base_failed") & (F.col("good_probability") >= 0.5))
 

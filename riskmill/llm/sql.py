@@ -3,28 +3,35 @@
 from __future__ import annotations
 
 from riskmill.llm.mixing import CURRICULUM, MOST_REPEATS, SEED, WEIGHTS
-from riskmill.llm.quality import ACCURACY_RANGE, MEASURES, ROUNDS, RULES, START_ACCURACY, START_GOOD
+from riskmill.llm.quality import LEAST_SHARE, MEASURES, ROUNDS, RULES, START_GOOD, rate_limits, start_rate
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
 def quality_sql() -> str:
     """The measures, then the same rounds of estimation over vote patterns, one CTE a round."""
-    low, high = ACCURACY_RANGE
     votes = ", ".join(
         f"CASE WHEN {w} <= 0 THEN 0 WHEN {p} * 100 >= {w} * {r.bad} THEN -1 WHEN {p} * 100 <= {w} * {r.good} THEN 1 ELSE 0 END AS v{k}"
         for k, r in enumerate(RULES) for p, w in [MEASURES[r.measure]])
     names = ", ".join(f"v{k}" for k in range(len(RULES)))
-    odds = "ln(good / (1 - good)) + " + " + ".join(f"v{k} * ln(a{k} / (1 - a{k}))" for k in range(len(RULES)))
-    rounds = [f"t0 AS (SELECT {START_GOOD}::DOUBLE AS good, "
-              + ", ".join(f"{START_ACCURACY}::DOUBLE AS a{k}" for k in range(len(RULES))) + ")"]
+    rules, kinds = range(len(RULES)), range(len(RULES) + 1)
+    odds = ["1.0::DOUBLE"] + [
+        f"exp(ln(s{j} / s0) + " + " + ".join(
+            f"CASE WHEN v{k} > 0 THEN ln((1 - r{j}_{k}) / (1 - r0_{k})) WHEN v{k} < 0 THEN ln(r{j}_{k} / r0_{k}) ELSE 0.0 END" for k in rules) + ")"
+        for j in kinds if j]
+    whole = " + ".join(f"o{j}" for j in kinds)
+    given = ", ".join(f"{o} AS o{j}" for j, o in enumerate(odds))
+    rounds = [f"t0 AS (SELECT {START_GOOD}::DOUBLE AS s0, " + ", ".join(
+        [f"{(1 - START_GOOD) / len(RULES)!r}::DOUBLE AS s{j}" for j in kinds if j]
+        + [f"{start_rate(j, k)}::DOUBLE AS r{j}_{k}" for j in kinds for k in rules]) + ")"]
     for n in range(ROUNDS):
-        fitted = ", ".join(
-            f"CASE WHEN sum(n) FILTER (v{k} <> 0) > 0 THEN least({high}, greatest({low}, "
-            f"sum(n * CASE WHEN v{k} > 0 THEN p ELSE 1 - p END) FILTER (v{k} <> 0) / sum(n) FILTER (v{k} <> 0))) "
-            f"ELSE {START_ACCURACY} END AS a{k}" for k in range(len(RULES)))
-        rounds.append(f"t{n + 1} AS MATERIALIZED (SELECT least({high}, greatest({1 - high}, sum(n * p) / sum(n))) AS good, {fitted} "
-                      f"FROM (SELECT {names}, n, 1 / (1 + exp(-({odds}))) AS p FROM patterns, t{n}))")
+        sums = ", ".join([f"greatest({LEAST_SHARE}, sum(n * o{j} / ({whole})) / sum(n)) AS q{j}" for j in kinds] + [
+            f"least({high}, greatest({low}, coalesce(coalesce(sum(n * o{j} / ({whole})) FILTER (v{k} < 0), 0) / "
+            f"nullif(sum(n * o{j} / ({whole})) FILTER (v{k} <> 0), 0), {start_rate(j, k)}))) AS r{j}_{k}"
+            for j in kinds for k in rules for low, high in [rate_limits(j, k)]])
+        parts = " + ".join(f"q{j}" for j in kinds)
+        rounds.append(f"t{n + 1} AS MATERIALIZED (SELECT *, " + ", ".join(f"q{j} / ({parts}) AS s{j}" for j in kinds)
+                      + f" FROM (SELECT {sums} FROM (SELECT {names}, n, {given} FROM patterns, t{n})))")
     return rf"""
 WITH split AS (
     SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {WORDS} AS words,
@@ -45,7 +52,7 @@ measured AS (
 voted AS MATERIALIZED (SELECT *, {votes} FROM measured),
 patterns AS MATERIALIZED (SELECT {names}, count(*) AS n FROM voted GROUP BY ALL),
 {", ".join(rounds)},
-judged AS (SELECT voted.*, 1 / (1 + exp(-({odds}))) AS p, n_words < 50 OR n_repeat_words * 100 > n_words * 50 AS base_failed
+judged AS (SELECT voted.*, 1.0 / ({" + ".join(odds)}) AS p, n_words < 50 OR n_repeat_words * 100 > n_words * 50 AS base_failed
            FROM voted, t{ROUNDS})
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND p >= 0.5 AS kept
 FROM judged"""
