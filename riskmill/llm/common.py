@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -35,6 +38,14 @@ def small_side(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys
 
 
+def match(left: DataFrame, right: DataFrame, names: list[str], how: str) -> DataFrame:
+    """Join on columns of one name where null equals null; the right side's keys go."""
+    kept = [F.col(n) for n in right.columns if n not in names]
+    keys = right.select(*[F.col(n).alias(f"_key_{n}") for n in names], *kept)
+    condition = reduce(and_, [F.col(n).eqNullSafe(F.col(f"_key_{n}")) for n in names])
+    return left.join(keys, condition, how).drop(*[f"_key_{n}" for n in names])
+
+
 def repeat_rows(rows: DataFrame, times: str, number: str) -> DataFrame:
     """Each row ``times`` times, numbered from 0 in ``number``; rows with ``times`` below 1 go. No array is long."""
     block = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col(times) - 1) / REPEAT_BLOCK)))

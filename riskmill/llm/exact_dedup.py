@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskmill.lineage import cut_lineage
-from riskmill.llm.common import SPACE, repeat_rows, small_side, whole_text
+from riskmill.llm.common import SPACE, match, repeat_rows, small_side, whole_text
 
 
 def normal_text(column: str = "text") -> Column:
@@ -57,19 +57,19 @@ def keep_first(docs: DataFrame, hash_of: Callable[[Column], Column] = content_ha
     groups = _groups(texts)
     shared = groups.where("n_texts > 1").select("content")
     clash = not shared.isEmpty()
-    match = ["doc_id", "content", *(["normal"] if clash else [])]
+    names = ["doc_id", "content", *(["normal"] if clash else [])]
     kept = texts if clash else groups
     # Only what goes is looked up: ids that are not the smallest of their text, and ids that hold a text twice.
-    members = _members(keyed, *match[2:]).join(kept, match[1:])
-    leaving = cut_lineage(members.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(*match))
-    twice = cut_lineage(members.where(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copies") > 1)).select(*match))
+    members = _members(keyed, *names[2:]).join(kept, names[1:])
+    leaving = cut_lineage(members.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(*names))
+    twice = cut_lineage(members.where(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copies") > 1)).select(*names))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).select(
         "row", F.col("row.doc_id").alias("doc_id"), normal_text("row.text").alias("normal")) \
-        .withColumn("content", hash_of(F.col("normal"))).select("row", *match)
-    staying = _without(rows, leaving, match)
+        .withColumn("content", hash_of(F.col("normal"))).select("row", *names)
+    staying = _without(rows, leaving, names)
     if not twice.isEmpty():
-        again = _with(staying, twice, match).groupBy(*match).agg(F.min("row").alias("row"))
-        staying = _without(staying, twice, match).select("row").unionByName(again.select("row"))
+        again = _with(staying, twice, names).groupBy(*names).agg(F.min("row").alias("row"))
+        staying = _without(staying, twice, names).select("row").unionByName(again.select("row"))
     return staying.select("row.*")
 
 
@@ -88,20 +88,9 @@ def _members(rows: DataFrame, *more: str) -> DataFrame:
     return rows.groupBy("doc_id", "content", *more).agg(F.count("*").alias("copies"))
 
 
-def _on(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
-    return F.expr("true") if not names else _all([left[n].eqNullSafe(right[n]) for n in names])
-
-
-def _all(conditions: list[Column]) -> Column:
-    whole = conditions[0]
-    for condition in conditions[1:]:
-        whole = whole & condition
-    return whole
-
-
 def _without(rows: DataFrame, keys: DataFrame, names: list[str]) -> DataFrame:
-    return rows.join(small_side(keys) if "normal" not in names else keys, _on(rows, keys, names), "left_anti")
+    return match(rows, small_side(keys) if "normal" not in names else keys, names, "left_anti")
 
 
 def _with(rows: DataFrame, keys: DataFrame, names: list[str]) -> DataFrame:
-    return rows.join(small_side(keys) if "normal" not in names else keys, _on(rows, keys, names), "left_semi")
+    return match(rows, small_side(keys) if "normal" not in names else keys, names, "left_semi")

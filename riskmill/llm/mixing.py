@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from riskmill.lineage import cut_lineage
-from riskmill.llm.common import global_index, repeat_rows, whole_text, word_count
+from riskmill.llm.common import global_index, match, repeat_rows, whole_text, word_count
 
 WEIGHTS = (1, 2, 3)
 MOST_REPEATS = 3
@@ -164,9 +164,8 @@ def training_rows(docs: DataFrame, curriculum: Sequence[Schedule] = CURRICULUM,
         F.first("source_size").alias("source_size"), F.first("need").alias("need"), F.first("weight_no").alias("weight_no"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), word_count(whole_text()).alias("size")) \
         .select("row", F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), "size")
-    met = rows.join(plan, [rows[c].eqNullSafe(plan[c]) for c in ("doc_id", "source", "size")]).select(
-        "row", "times", "before", "source_size", "need", "weight_no", plan["doc_id"].alias("order_id"))
+    met = match(rows, plan, ["doc_id", "source", "size"], "inner")
     read = repeat_rows(met, "times", "round")
     position = position_of(F.col("before") + F.col("round") * F.col("source_size"), curriculum)
-    return read.select("row", position.alias("position"), "order_id") \
-        .repartitionByRange("position", "order_id").sortWithinPartitions("position", "order_id").select("row.*")
+    return read.select("row", position.alias("position"), "doc_id") \
+        .repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id").select("row.*")

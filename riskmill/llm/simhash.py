@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from riskmill.lineage import cut_lineage
-from riskmill.llm.common import small_side, whole_text
+from riskmill.llm.common import match, small_side, whole_text
 from riskmill.operators.graph import connected_components
 
 BITS = 64
@@ -250,5 +250,6 @@ def keep_one_of_each(docs: DataFrame, radius: int = RADIUS, block: int = BLOCK)
         "component", F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "text_key").alias("row"))
     first = placed.groupBy("component").agg(F.min("row").alias("first"))
     leaving = cut_lineage(placed.join(first, "component").where("row <> first").select("row.doc_id", "row.text_key").distinct())
-    key = F.xxhash64(whole_text())
-    return docs.join(small_side(leaving), docs["doc_id"].eqNullSafe(leaving["doc_id"]) & (key == leaving["text_key"]), "left_anti")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).select(
+        "row", F.col("row.doc_id").alias("doc_id"), F.xxhash64(whole_text("row.text")).alias("text_key"))
+    return match(rows, small_side(leaving), ["doc_id", "text_key"], "left_anti").select("row.*")

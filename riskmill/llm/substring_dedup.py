@@ -34,7 +34,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.window import Window
 
 from riskmill.lineage import cut_lineage
-from riskmill.llm.common import whole_text
+from riskmill.llm.common import match, whole_text
 
 CUT_BITS = 2
 LONGEST = 64
@@ -148,6 +148,6 @@ def without_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFram
     cuts = spans.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("first_word", "n_words")).alias("cuts"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).select(
         "row", F.col("row.doc_id").alias("doc_id"), F.hash(whole_text("row.text")).alias("tag"))
-    met = rows.join(cuts, [rows["doc_id"].eqNullSafe(cuts["doc_id"]), rows["tag"] == cuts["tag"]], "left")
+    met = match(rows, cuts, ["doc_id", "tag"], "left")
     text = F.when(F.col("cuts").isNull(), F.col("row.text")).otherwise(_cut_out(whole_text("row.text"), F.col("cuts")))
     return met.select(F.col("row").withField("text", text).alias("row")).select("row.*")
