@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named by the session; a private one is only acceptable when everything runs in this process."""
+    """Use the folder named by the session; a single process without one gets a folder in the warehouse."""
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         context.setCheckpointDir(shared)
-    elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="riskmill-checkpoints-"))
+    elif context.master.split("[")[0] == "local":
+        context.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
 

@@ -17,7 +17,7 @@ FLOOR = 1e-4
 def bin_edges(reference: DataFrame, names: Sequence[str], bins: int = BINS) -> dict[str, list[float]]:
     """Inner quantile edges per column, exact; at most ``bins - 1`` numbers per column reach the driver.
 
-    All columns are counted in one cumulative histogram over (column, value) with bounded buckets.
+    All columns are counted in one cumulative histogram over (column, value) with bounded parts.
     """
     values = reference.select(F.inline(F.array(*[
         F.struct(F.lit(name).alias("feature"), F.col(name).cast("double").alias("score"), F.lit(1).alias("is_fraud"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from riskmill.functions.numeric import count_where, ratio
 from riskmill.operators.capacity import capacity_k, days_between
-from riskmill.operators.ranking import ScoreBuckets, cumulative_histogram, global_rank, score_buckets
+from riskmill.operators.ranking import cumulative_histogram, global_rank
 from riskmill.params import (
     CEILING_TOLERANCE,
     FRAUD_MULTIPLES,
@@ -74,10 +74,9 @@ def staffing_ks(grid: Sequence[float]) -> Column:
     ])
 
 
-def capacity_sweep(scored: DataFrame, grid: Sequence[float], by: Sequence[str] = (),
-                   buckets: ScoreBuckets | None = None) -> DataFrame:
+def capacity_sweep(scored: DataFrame, grid: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Operating point per staffing level with the best precision any ranking could reach there."""
-    histogram = cumulative_histogram(scored, by, buckets=buckets)
+    histogram = cumulative_histogram(scored, by)
     points = operating_points(histogram, staffing_ks(grid), by, ("reviews_per_day", "window_days"))
     ceiling = F.least(F.lit(1.0), ratio(F.col("total_fraud"), F.col("n_flagged")))
     return points.drop("first_step", "last_step").withColumn("precision_ceiling", ceiling).withColumn(
@@ -112,9 +111,9 @@ def precision_recall_at_k(scored: DataFrame, ks: Sequence[int], by: Sequence[str
 
 
 def k_curve(scored: DataFrame, by: Sequence[str] = (), multiples: Sequence[int] = FRAUD_MULTIPLES,
-            buckets: ScoreBuckets | None = None, ranked: DataFrame | None = None) -> DataFrame:
+            ranked: DataFrame | None = None) -> DataFrame:
     """Precision and recall at multiples of the positive count."""
-    ranked = global_rank(scored, by, buckets=buckets) if ranked is None else ranked
+    ranked = global_rank(scored, by) if ranked is None else ranked
     hits = top_k_hits(ranked, {f"x{m}": multiple_k(m) for m in multiples}, by)
     entries = [F.struct(F.lit(int(m)).alias("k_multiplier"), F.col(f"x{m}_k").alias("k"),
                         F.col(f"x{m}_hits").alias("hits")) for m in multiples]
@@ -160,12 +159,10 @@ def balance_weight() -> Column:
     return (F.col("n_rows") - F.col("n_positive")) / F.greatest(F.col("n_positive"), F.lit(1))
 
 
-def evaluate(scored: DataFrame, reviews_per_day: float, by: Sequence[str] = ("model", "fold"),
-             buckets: ScoreBuckets | None = None) -> DataFrame:
+def evaluate(scored: DataFrame, reviews_per_day: float, by: Sequence[str] = ("model", "fold")) -> DataFrame:
     """The full result row per group: curve areas, loss, headline top-K, and the capacity operating point."""
     by = list(by)
-    buckets = buckets or score_buckets(scored)
-    histogram = cumulative_histogram(scored, by, buckets=buckets)
+    histogram = cumulative_histogram(scored, by)
     days = days_between(F.col("first_step"), F.col("last_step"))
     k = capacity_k(days, F.lit(float(reviews_per_day)), F.col("total_rows"))
     at = _inside_step(k)
@@ -177,7 +174,7 @@ def evaluate(scored: DataFrame, reviews_per_day: float, by: Sequence[str] = ("mo
         F.max(F.when(at, F.col("cum_rows"))).alias("_flagged"),
         F.max(F.when(at, F.col("cum_positives"))).alias("_caught"),
     )
-    top = top_k_hits(global_rank(scored, by, buckets=buckets), {"head": multiple_k(HEADLINE_MULTIPLE)}, by) \
+    top = top_k_hits(global_rank(scored, by), {"head": multiple_k(HEADLINE_MULTIPLE)}, by) \
         .select(*by, F.col("head_k").alias("k"), F.col("head_hits").alias("_hits"))
     rows, fraud = F.col("total_rows"), F.col("total_positives")
     weight = (rows - fraud) / F.greatest(fraud, F.lit(1))

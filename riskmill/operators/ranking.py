@@ -1,12 +1,9 @@
 """Global ranks and cumulative score histograms without a single-task sort.
 
-Both cut the score axis into buckets of bounded size, count the buckets, and add each bucket's offset to a window
-inside the bucket. Boundaries are taken once from an approximate quantile sketch and enter the plan as literals, so
-they cannot change between stages; the results are exact because the offsets are counted, not estimated. Buckets
-are cut over all groups together, hence no (group, bucket) pair can exceed a bucket's share of the rows.
-
-A score shared by very many rows shows up as repeated quantiles. It gets a bucket of its own, which ranking splits
-further by blocks of row ids; in the histogram such a score is a single row anyway.
+Rows are range-partitioned by their place in the order, the partitions are stored and counted, and each gets the rows
+before it as an offset to a window of its own. Partitions follow the row count, with at least as many as a shuffle
+has, so their size is bounded at any scale, and small tables take the same way as large ones. Equal scores are ordered
+by row id and may lie in several partitions. Boundaries come from a sample; offsets are counted, so results are exact.
 
 Scores must be neither NULL nor NaN.
 """
@@ -15,102 +12,60 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from riskmill.operators.history import ROW_BLOCK
-
-BUCKET_ROWS = 250_000
-MAX_BUCKETS = 4096
-SAMPLED_PER_STEP = 64
-
-
-@dataclass(frozen=True)
-class ScoreBuckets:
-    """Increasing inner boundaries, and the buckets that consist of one crowded score."""
-
-    splits: tuple[float, ...] = ()
-    crowded: tuple[int, ...] = ()
+from riskmill.lineage import cut_lineage
 
-    def assign(self, rows: DataFrame, score: str = "score") -> DataFrame:
-        if not self.splits:
-            return rows.withColumn("_bucket", F.lit(0))
-        edges = [-math.inf, *self.splits, math.inf]
-        binned = Bucketizer(splits=edges, inputCol=score, outputCol="_bin", handleInvalid="error").transform(rows)
-        return binned.withColumn("_bucket", F.col("_bin").cast("int")).drop("_bin")
+PART_ROWS = 250_000
 
 
-def score_buckets(scored: DataFrame, score: str = "score", bucket_rows: int = BUCKET_ROWS,
-                  max_buckets: int = MAX_BUCKETS) -> ScoreBuckets:
-    """Count the rows; when they exceed one bucket, take enough quantiles of a sample to cut and to spot ties.
-
-    The sample only places the boundaries, as a range partitioner's does: it bounds what reaches the sketch's final
-    task, and has no influence on results. Rank stored scores: a model pipeline would run again for each pass here.
-    """
-    rows = scored.count()
-    wanted = min(max_buckets, math.ceil(rows / bucket_rows))
-    if wanted <= 1:
-        return ScoreBuckets()
-    # Four quantiles per bucket: a value that fills half a bucket repeats and is recognized as crowded.
-    steps = 4 * wanted
-    some = scored.select(score).sample(fraction=min(1.0, SAMPLED_PER_STEP * steps / rows), seed=17)
-    shares = "array(" + ", ".join(f"{i / steps!r}D" for i in range(1, steps)) + ")"
-    seen = some.agg(F.expr(f"percentile_approx(`{score}`, {shares}, {10 * steps})").alias("edges")).first()
-    if seen.edges is None:
-        return ScoreBuckets()
-    edges = [float(edge) for edge in seen.edges]
-    repeated = {edge for edge, following in zip(edges, edges[1:]) if edge == following}
-    chosen = set(edges[3::4])
-    chosen |= repeated | {math.nextafter(edge, math.inf) for edge in repeated}
-    splits = tuple(sorted(chosen))
-    crowded = tuple(i + 1 for i, edge in enumerate(splits) if edge in repeated)
-    return ScoreBuckets(splits, crowded)
+def _ordered_parts(rows: DataFrame, order: Sequence[Column], part_rows: int) -> DataFrame:
+    """The rows, stored in range partitions of ``order``, with the number of their partition as ``_part``."""
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(least, math.ceil(rows.count() / part_rows))
+    return cut_lineage(rows.repartitionByRange(parts, *order)).withColumn("_part", F.spark_partition_id())
 
 
 def cumulative_histogram(scored: DataFrame, by: Sequence[str] = (), score: str = "score", label: str = "is_fraud",
-                         buckets: ScoreBuckets | None = None, bucket: Column | None = None) -> DataFrame:
+                         part_rows: int = PART_ROWS) -> DataFrame:
     """One row per (group, distinct score): rows, positives, and both accumulated from the highest score down.
 
-    Group totals (rows, positives, step range when there is a ``step``) ride along on the bucket offsets, so nothing
-    is ever shuffled by the group alone. ``bucket`` replaces the quantile buckets when the caller knows a bound.
+    Group totals (rows, positives, step range when there is a ``step``) ride along on the offsets, so nothing is ever
+    shuffled by the group alone.
     """
     by = list(by)
     stepped = "step" in scored.columns
     span = [F.min("step").alias("first_step"), F.max("step").alias("last_step")] if stepped else []
-    histogram = scored.groupBy(*by, F.col(score).alias("score")).agg(
-        F.count("*").alias("rows"), F.sum(label).cast("bigint").alias("positives"), *span)
-    if bucket is not None:
-        histogram = histogram.withColumn("_bucket", bucket)
-    else:
-        histogram = (buckets or score_buckets(scored, score)).assign(histogram)
-
-    higher = Window.partitionBy(*by).orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    histogram = _ordered_parts(scored.groupBy(*by, F.col(score).alias("score")).agg(
+        F.count("*").alias("rows"), F.sum(label).cast("bigint").alias("positives"), *span),
+        [*map(F.col, by), F.desc("score")], part_rows)
+
+    higher = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy(*by)
     span = [F.min("first_step").alias("first_step"), F.max("last_step").alias("last_step")] if stepped else []
-    offsets = histogram.groupBy(*by, "_bucket").agg(
+    offsets = histogram.groupBy(*by, "_part").agg(
         F.sum("rows").alias("_rows"), F.sum("positives").alias("_positives"), *span,
     )
     spans = [F.min("first_step").over(everything).alias("first_step"),
              F.max("last_step").over(everything).alias("last_step")] if stepped else []
     offsets = offsets.select(
-        *by, "_bucket",
+        *by, "_part",
         F.coalesce(F.sum("_rows").over(higher), F.lit(0)).alias("_rows_above"),
         F.coalesce(F.sum("_positives").over(higher), F.lit(0)).alias("_positives_above"),
         F.sum("_rows").over(everything).alias("total_rows"),
         F.sum("_positives").over(everything).alias("total_positives"),
         *spans,
     )
-    inside = Window.partitionBy(*by, "_bucket").orderBy(F.desc("score")) \
+    inside = Window.partitionBy(*by, "_part").orderBy(F.desc("score")) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = histogram.select(
-        *by, "_bucket", "score", "rows", "positives",
+        *by, "_part", "score", "rows", "positives",
         F.sum("rows").over(inside).alias("_rows"), F.sum("positives").over(inside).alias("_positives"),
     )
-    return local.join(offsets, [*by, "_bucket"]).select(
+    return local.join(offsets, [*by, "_part"]).select(
         *by, "score", "rows", "positives",
         (F.col("_rows") + F.col("_rows_above")).alias("cum_rows"),
         (F.col("_positives") + F.col("_positives_above")).alias("cum_positives"),
@@ -119,52 +74,31 @@ def cumulative_histogram(scored: DataFrame, by: Sequence[str] = (), score: str =
 
 
 def global_rank(scored: DataFrame, by: Sequence[str] = (), score: str = "score", label: str = "is_fraud",
-                buckets: ScoreBuckets | None = None, row_block: int = ROW_BLOCK) -> DataFrame:
+                part_rows: int = PART_ROWS) -> DataFrame:
     """Adds ``rank`` (1 = highest score, ties by row_id) and the group's total_rows and total_positives."""
     by = list(by)
-    buckets = buckets or score_buckets(scored, score)
-    block = F.lit(-1).cast("bigint")
-    if buckets.crowded:
-        block = F.when(F.col("_bucket").isin(*buckets.crowded), F.expr(f"row_id DIV {int(row_block)}")) \
-            .otherwise(F.lit(-1))
-    placed = buckets.assign(scored, score).withColumn("_block", block)
-
-    # Two prefix sums, over a bucket's blocks and over a group's buckets, keep both windows small.
-    cells = placed.groupBy(*by, "_bucket", "_block").agg(
-        F.count("*").alias("_rows"), F.sum(label).cast("bigint").alias("_positives"))
-    earlier = Window.partitionBy(*by, "_bucket").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    higher = Window.partitionBy(*by).orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    order = [F.desc(score), F.asc("row_id")]
+    placed = _ordered_parts(scored, [*map(F.col, by), *order], part_rows)
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy(*by)
-    totals = cells.groupBy(*by, "_bucket").agg(F.sum("_rows").alias("_rows"), F.sum("_positives").alias("_positives")) \
-        .select(
-            *by, "_bucket",
-            F.coalesce(F.sum("_rows").over(higher), F.lit(0)).alias("_above"),
-            F.sum("_rows").over(everything).alias("total_rows"),
-            F.sum("_positives").over(everything).alias("total_positives"),
-        )
-    offsets = cells.select(*by, "_bucket", "_block", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before")) \
-        .join(totals, [*by, "_bucket"]) \
-        .select(*by, "_bucket", "_block", (F.col("_before") + F.col("_above")).alias("_offset"),
-                "total_rows", "total_positives")
-
-    inside = Window.partitionBy(*by, "_bucket", "_block").orderBy(F.desc(score), F.asc("row_id"))
-    return (
-        placed.withColumn("_position", F.row_number().over(inside))
-        .join(offsets, [*by, "_bucket", "_block"])
-        .select(*[F.col(name) for name in scored.columns],
-                (F.col("_position") + F.col("_offset")).cast("bigint").alias("rank"),
-                "total_rows", "total_positives")
-    )
+    offsets = placed.groupBy(*by, "_part").agg(
+        F.count("*").alias("_rows"), F.sum(label).cast("bigint").alias("_positives")).select(
+        *by, "_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"),
+        F.sum("_rows").over(everything).alias("total_rows"),
+        F.sum("_positives").over(everything).alias("total_positives"))
+    inside = Window.partitionBy(*by, "_part").orderBy(*order)
+    return placed.withColumn("_position", F.row_number().over(inside)).join(offsets, [*by, "_part"]).select(
+        *[F.col(name) for name in scored.columns], (F.col("_position") + F.col("_offset")).cast("bigint").alias("rank"),
+        "total_rows", "total_positives")
 
 
-def exact_median_of_ranks(ranked: DataFrame, by: Sequence[str] = (), max_buckets: int = MAX_BUCKETS) -> DataFrame:
+def exact_median_of_ranks(ranked: DataFrame, by: Sequence[str] = (), slot_rows: int = PART_ROWS) -> DataFrame:
     """Median of distinct positions 1..total_rows per group, without gathering them in one task.
 
-    Positions are integers below a known total, so buckets of equal width are bounded by construction.
+    Positions are different integers, so a slot of ``slot_rows`` positions has no more rows, whatever the total.
     """
     by = list(by)
-    width = F.greatest(F.lit(1), F.ceil(F.col("total_rows") / max_buckets))
-    slots = ranked.select(*by, "rank", F.floor(F.col("rank") / width).cast("int").alias("_slot"))
+    slots = ranked.select(*by, "rank", F.floor(F.col("rank") / slot_rows).alias("_slot"))
     earlier = Window.partitionBy(*by).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     offsets = slots.groupBy(*by, "_slot").agg(F.count("*").alias("_rows")).select(
         *by, "_slot", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -11,8 +12,9 @@ from riskmill.functions.hashing import hash_bucket
 from riskmill.functions.numeric import count_where, ratio
 
 LABELS = {"CONFIRMED_FRAUD": 1, "FALSE_POSITIVE": 0}
-# Cumulative probabilities of a Poisson variable with mean 1 for 0, 1, 2, ... events.
-POISSON_ONE = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676, 0.99998980)
+# Cumulative probabilities of a Poisson variable with mean 1, up to where no 32-bit uniform number lies above.
+POISSON_ONE = tuple(math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)) for k in range(13))
+assert POISSON_ONE[-1] > 1 - 2.0 ** -32
 
 
 def labelled_predictions(predictions: DataFrame, feedback: DataFrame, key: str = "row_id") -> DataFrame:

@@ -1,8 +1,9 @@
 """Repeatable samples with exact sizes, without a global sort.
 
 Rows are ordered by a seeded digest of their id. A histogram over the leading digits of the digest tells in which
-bucket the quota is reached; only that bucket's digests are ranked, which yields one cutoff digest per group. The
-sample is then a plain filter over the rows: nothing wide is shuffled and nothing is gathered in one task.
+bucket the quota is reached; that bucket's digests are stored and cut again by their next digits, and only the bucket
+reached there is ranked, which yields one cutoff digest per group. The sample is then a plain filter over the rows:
+nothing wide is shuffled and nothing is gathered in one task.
 """
 
 from __future__ import annotations
@@ -14,9 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from riskmill.functions.hashing import hash_bucket, hash_key
+from riskmill.lineage import cut_lineage
 
-# 65,536 buckets per group: about 15 million of 10^12 rows are left for the exact ranking.
-BUCKET_DIGITS = 4
+# Hex digits of the first and the second histogram: of 10^12 rows about 15 million are stored and 60 are ranked.
+BUCKET_DIGITS, FINE_DIGITS = 4, 5
 
 
 def _cutoffs(keyed: DataFrame, by: list[str], quota: Column) -> DataFrame:
@@ -35,7 +37,15 @@ def _cutoffs(keyed: DataFrame, by: list[str], quota: Column) -> DataFrame:
         .select(*groups, "_edge._bucket", "_edge._need")
     )
     position = F.row_number().over(Window.partitionBy(*groups).orderBy("_digest"))
-    edge = keyed.select(*groups, "_bucket", "_digest").join(F.broadcast(reached), [*groups, "_bucket"])
+    fine = F.conv(F.substring("_digest", BUCKET_DIGITS + 1, FINE_DIGITS), 16, 10).cast("bigint")
+    near = cut_lineage(keyed.select(*groups, "_bucket", "_digest").join(F.broadcast(reached), [*groups, "_bucket"])
+                       .withColumn("_fine", fine).drop("_bucket"))
+    inner = Window.partitionBy(*groups).orderBy("_fine").rowsBetween(Window.unboundedPreceding, -1)
+    last = near.groupBy(*groups, "_fine").agg(F.count("*").alias("_n"), F.first("_need").alias("_need")) \
+        .withColumn("_need", F.col("_need") - F.coalesce(F.sum("_n").over(inner), F.lit(0))).where("_need > 0") \
+        .groupBy(*groups).agg(F.max_by(F.struct("_fine", "_need"), "_fine").alias("_edge")) \
+        .select(*groups, "_edge._fine", "_edge._need")
+    edge = near.drop("_need").join(F.broadcast(last), [*groups, "_fine"])
     return edge.withColumn("_at", position).where("_at <= _need").groupBy(*groups).agg(F.max("_digest").alias("_last"))
 
 

@@ -30,9 +30,9 @@ def destination_snapshot(ledger: DataFrame) -> DataFrame:
         exclude_merchants(ledger).select("nameDest", "step", "amount", last.alias("snapshot_step"))
         .groupBy(F.col("nameDest").alias("name_dest"))
         .agg(
-            F.count("*").cast("int").alias("prior_txn_count"),
+            F.count("*").alias("prior_txn_count"),
             (F.sum(exact("amount")).cast("double") / F.count("*")).alias("prior_avg_amount"),
-            count_where(recent).cast("int").alias("txn_count_24h"),
+            count_where(recent).alias("txn_count_24h"),
             sum_or_zero(F.when(recent, exact("amount"))).alias("amount_sum_24h"),
             F.max("snapshot_step").alias("snapshot_step"),
         )
@@ -132,9 +132,9 @@ def recomputed_state(ledger: DataFrame) -> DataFrame:
         .withColumn("late", F.col("step") >= last - (VELOCITY_HOURS - 1))
     )
     return steps.groupBy(F.col("nameDest").alias("name_dest")).agg(
-        F.sum("rows").cast("int").alias("prior_txn_count"),
+        F.sum("rows").alias("prior_txn_count"),
         (F.sum("total").cast("double") / F.sum("rows")).alias("prior_avg_amount"),
-        F.coalesce(F.sum(F.when(F.col("late"), F.col("rows"))), F.lit(0)).cast("int").alias("txn_count_24h"),
+        F.coalesce(F.sum(F.when(F.col("late"), F.col("rows"))), F.lit(0)).alias("txn_count_24h"),
         sum_or_zero(F.when(F.col("late"), F.col("total"))).alias("amount_sum_24h"),
     )
 
@@ -163,9 +163,9 @@ def path_parity(ledger: DataFrame, cut: Column | int) -> DataFrame:
     # The slice ends at the cut even if the cut step itself is empty.
     recent = F.col("step") > F.lit(cut) - VELOCITY_HOURS
     prefix = exclude_merchants(upto).groupBy(F.col("nameDest").alias("name_dest")).agg(
-        F.count("*").cast("int").alias("prior_txn_count"),
+        F.count("*").alias("prior_txn_count"),
         (F.sum(exact("amount")).cast("double") / F.count("*")).alias("prior_avg_amount"),
-        count_where(recent).cast("int").alias("txn_count_24h"),
+        count_where(recent).alias("txn_count_24h"),
         sum_or_zero(F.when(recent, exact("amount"))).alias("amount_sum_24h"),
     )
     target = exclude_merchants(ledger.where(F.col("step") == F.lit(cut) + 1))

@@ -164,9 +164,8 @@ def h2_curve_summary(spark, sf_dir):
 
 def h3_select_model(spark, sf_dir):
     scores = base.model_scores(spark, sf_dir)
-    buckets = ranking.score_buckets(scores)
-    made = compare.select_model(metrics.evaluate(scores, base.REVIEWS_PER_DAY, buckets=buckets),
-                                metrics.k_curve(scores, KEYS, buckets=buckets))
+    made = compare.select_model(metrics.evaluate(scores, base.REVIEWS_PER_DAY),
+                                metrics.k_curve(scores, KEYS))
     return base.rounded(made, ["capacity_precision_mean", "capacity_precision_std"])
 
 
@@ -177,7 +176,7 @@ def h5_mean_fraud_amount(spark, sf_dir):
 
 def i1_segment_profile(spark, sf_dir):
     made = errors.segment_profile(base.explained(spark, sf_dir), F.col("flagged"))
-    return base.rounded(made, [c for c in made.columns if c.endswith(("_mean", "_gap"))], shift=scaling.HALF_SHIFT)
+    return base.rounded(made, [c for c in made.columns if c.endswith(("_mean", "_gap"))], digits=8)
 
 
 def i2_missed_fraud(spark, sf_dir):

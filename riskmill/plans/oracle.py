@@ -6,11 +6,11 @@ Each query states its result directly (plain windows, correlated subqueries), no
 from __future__ import annotations
 
 from riskmill.functions.features import FEATURES
+from riskmill.operators.review import POISSON_ONE
 from riskmill.params import FOLD_BOUNDARIES
 from riskmill.plans import base
 
 DEC = "DECIMAL(28,6)"
-SHIFT = "1.2345e-7"
 
 
 def _list(values) -> str:
@@ -188,9 +188,9 @@ _cte("results", """
 
 # The numeric model
 _FIT = ", ".join(
-    f"round(avg(CAST({n} AS DOUBLE)) + {SHIFT}, {base.SCALER_DIGITS}) AS m_{n}, "
-    f"CASE WHEN round(stddev_pop(CAST({n} AS DOUBLE)) + {SHIFT}, {base.SCALER_DIGITS}) > 0 "
-    f"THEN round(stddev_pop(CAST({n} AS DOUBLE)) + {SHIFT}, {base.SCALER_DIGITS}) ELSE 1e0 END AS s_{n}" for n in FEATURES)
+    f"round(avg(CAST({n} AS DOUBLE)), {base.SCALER_DIGITS}) AS m_{n}, "
+    f"CASE WHEN round(stddev_pop(CAST({n} AS DOUBLE)), {base.SCALER_DIGITS}) > 0 "
+    f"THEN round(stddev_pop(CAST({n} AS DOUBLE)), {base.SCALER_DIGITS}) ELSE 1e0 END AS s_{n}" for n in FEATURES)
 _cte("fit", f"SELECT {_FIT} FROM folded_features WHERE fold = {base.FOLDS} AND role = 'train'", "folded_features")
 _CONTRIB = ", ".join(f"CAST({base.COEFFICIENTS[n]} AS DOUBLE) * (({n} - m_{n}) / s_{n}) AS c_{n}" for n in FEATURES)
 _cte("contrib", f"SELECT row_id, step, {_COLS}, isFraud, {_CONTRIB} FROM features, fit", "features", "fit")
@@ -228,9 +228,9 @@ _cte("importance", """
 
 # State
 _cte("snapshot", f"""
-    SELECT nameDest AS name_dest, CAST(count(*) AS INTEGER) AS prior_txn_count,
+    SELECT nameDest AS name_dest, count(*) AS prior_txn_count,
         CAST(sum(CAST(amount AS {DEC})) AS DOUBLE) / count(*) AS prior_avg_amount,
-        CAST(count(*) FILTER (WHERE step > last - 24) AS INTEGER) AS txn_count_24h,
+        count(*) FILTER (WHERE step > last - 24) AS txn_count_24h,
         coalesce(CAST(sum(CAST(amount AS {DEC})) FILTER (WHERE step > last - 24) AS DOUBLE), 0e0) AS amount_sum_24h,
         max(last) AS snapshot_step
     FROM ledger, (SELECT max(step) AS last FROM ledger) WHERE nameDest NOT LIKE 'M%' GROUP BY nameDest""", "ledger")
@@ -414,9 +414,9 @@ _cte("undersampled", f"""
 _add("f5_undersample", "SELECT fold, row_id, isFraud FROM undersampled", "undersampled")
 _D = base.SCALER_DIGITS
 _add("f6_scaler_fit", " UNION ALL ".join(
-    f"SELECT fold, '{n}' AS feature, round(avg(CAST({n} AS DOUBLE)) + {SHIFT}, {_D}) AS mean, "
-    f"CASE WHEN round(stddev_pop(CAST({n} AS DOUBLE)) + {SHIFT}, {_D}) > 0 "
-    f"THEN round(stddev_pop(CAST({n} AS DOUBLE)) + {SHIFT}, {_D}) "
+    f"SELECT fold, '{n}' AS feature, round(avg(CAST({n} AS DOUBLE)), {_D}) AS mean, "
+    f"CASE WHEN round(stddev_pop(CAST({n} AS DOUBLE)), {_D}) > 0 "
+    f"THEN round(stddev_pop(CAST({n} AS DOUBLE)), {_D}) "
     "ELSE 1e0 END AS scale FROM folded_features WHERE role = 'train' GROUP BY fold" for n in FEATURES), "folded_features")
 _add("f7_scaler_apply", "SELECT row_id, step, " + ", ".join(
     f"({n} - m_{n}) / s_{n} AS {n}" for n in FEATURES) + " FROM features, fit", "features", "fit")
@@ -496,10 +496,10 @@ _add("h5_mean_fraud_amount", f"""
     FROM folded WHERE role = 'test' AND fold = {base.FOLDS} AND isFraud = 1""", "folded")
 
 # I, J
-_GAPS = [f"round(({g}_mean - true_positive_mean) / nullif(sd, 0) + {SHIFT}, 6) AS {a}_vs_tp_std_gap"
+_GAPS = [f"round(({g}_mean - true_positive_mean) / nullif(sd, 0), 8) AS {a}_vs_tp_std_gap"
          for g, a in (("false_positive", "fp"), ("false_negative", "fn"))]
-_add("i1_segment_profile", f"SELECT feature, round(overall_mean + {SHIFT}, 6) AS overall_mean, " + ", ".join(
-    f"{g}_n, round({g}_mean + {SHIFT}, 6) AS {g}_mean" for g in ("true_positive", "false_positive", "false_negative"))
+_add("i1_segment_profile", f"SELECT feature, round(overall_mean, 8) AS overall_mean, " + ", ".join(
+    f"{g}_n, round({g}_mean, 8) AS {g}_mean" for g in ("true_positive", "false_positive", "false_negative"))
     + ", " + ", ".join(_GAPS) + " FROM profile", "profile")
 _add("i2_missed_fraud", """
     , q AS (SELECT count(*) AS k FROM scored WHERE score >= (SELECT score FROM ranked WHERE rank = 100)),
@@ -649,8 +649,7 @@ _add("p4_feedback", """
     SELECT row_id, score, CASE WHEN isFraud = 1 THEN 'CONFIRMED_FRAUD' ELSE 'FALSE_POSITIVE' END AS label,
         CAST(2 AS BIGINT) AS n_verdicts, CAST(isFraud AS INTEGER) AS confirmed
     FROM decided WHERE decision = 'REVIEW' AND row_id % 3 <> 0""", "decided")
-_POISSON = " + ".join(f"CAST(u > {b}e0 AS INTEGER)" for b in (
-    0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676, 0.99998980))
+_POISSON = " + ".join(f"CAST(u > {b!r}e0 AS INTEGER)" for b in POISSON_ONE)
 _cte("boot", f"""
     SELECT replicate, CAST(sum(w) AS BIGINT) AS n_drawn, sum(w * is_fraud) / CAST(sum(w) AS DOUBLE) AS precision
     FROM (SELECT *, {_POISSON} AS w FROM (SELECT is_fraud, CAST(replicate AS INTEGER) AS replicate,

@@ -14,6 +14,7 @@ SMALL = "/root/testdata/sf0.001"
 
 LEDGER_DDL = "row_id long, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in LEDGER_SCHEMA)
 
+# Hand-computed results exist for exactly these rows.
 # (row_id, step, type, amount, nameOrig, oldbalanceOrg, newbalanceOrig, nameDest, oldbalanceDest, newbalanceDest, isFraud)
 SIX_ROWS = [
     (1, 0, "TRANSFER", 100.0, "CORIG1", 1000.0, 900.0, "C1", 0.0, 100.0, 0, 0),

@@ -96,12 +96,9 @@ def crowded(spark):
                            .otherwise(F.col("score"))).withColumn("g", (F.col("row_id") % 2).cast("int"))
 
 
-@pytest.mark.parametrize("bucket_rows,max_buckets,row_block", [(10**9, 4096, 1 << 20), (100, 64, 50), (10, 512, 7), (1, 16, 1)])
-def test_bucketed_ranks_are_exact(crowded, bucket_rows, max_buckets, row_block):
-    buckets = ranking.score_buckets(crowded, bucket_rows=bucket_rows, max_buckets=max_buckets)
-    if bucket_rows <= 100:
-        assert len(buckets.splits) > 3 and len(buckets.crowded) >= 1
-    made = ranking.global_rank(crowded, ("g",), buckets=buckets, row_block=row_block)
+@pytest.mark.parametrize("part_rows", [10**9, 100, 7])
+def test_ranks_are_exact_whatever_the_parts(crowded, part_rows):
+    made = ranking.global_rank(crowded, ("g",), part_rows=part_rows)
     plain = {}
     for row in sorted(crowded.collect(), key=lambda r: (r.g, -r.score, r.row_id)):
         plain.setdefault(row.g, []).append(row.row_id)
@@ -111,23 +108,19 @@ def test_bucketed_ranks_are_exact(crowded, bucket_rows, max_buckets, row_block):
     assert all(totals[g][0] == len(ids) for g, ids in plain.items())
 
 
-@pytest.mark.parametrize("bucket_rows", [10**9, 20])
-def test_bucketed_histogram_is_exact(crowded, bucket_rows):
-    buckets = ranking.score_buckets(crowded, bucket_rows=bucket_rows, max_buckets=64)
+@pytest.mark.parametrize("part_rows", [10**9, 20])
+def test_histogram_is_exact_whatever_the_parts(crowded, part_rows):
     made = {(r.g, r.score): (r.cum_rows, r.cum_positives)
-            for r in ranking.cumulative_histogram(crowded, ("g",), buckets=buckets).collect()}
+            for r in ranking.cumulative_histogram(crowded, ("g",), part_rows=part_rows).collect()}
     rows = crowded.collect()
     for (g, score), (n, pos) in list(made.items())[::29]:
         above = [r for r in rows if r.g == g and r.score >= score]
         assert (n, pos) == (len(above), sum(r.is_fraud for r in above))
 
 
-def test_crowded_score_is_split_into_bounded_cells(crowded):
-    buckets = ranking.score_buckets(crowded, bucket_rows=50, max_buckets=64)
-    assert len(buckets.crowded) >= 1
-    largest = buckets.assign(crowded).where(~F.col("_bucket").isin(*buckets.crowded)).groupBy("_bucket").count() \
-        .agg(F.max("count")).first()[0]
-    assert largest < 100
+def test_crowded_score_is_split_into_bounded_parts(crowded):
+    parts = ranking._ordered_parts(crowded, [F.desc("score"), F.asc("row_id")], 50).groupBy("_part").count()
+    assert parts.agg(F.max("count")).first()[0] < 200 and parts.count() >= 10
 
 
 def test_evaluation_matches_the_single_metrics(spark):
@@ -182,8 +175,8 @@ def test_missed_fraud_with_ties_and_without_fraud(spark):
     assert errors.missed_fraud_ranking(scored_frame(spark, [0, 0], [.1, .2]), F.lit(1)).count() == 0
 
 
-@pytest.mark.parametrize("max_buckets", [1, 3, 4096])
-def test_median_of_ranks(spark, max_buckets):
+@pytest.mark.parametrize("slot_rows", [1, 3, 4096])
+def test_median_of_ranks(spark, slot_rows):
     ranks = spark.createDataFrame([(r, 100) for r in (3, 8, 20, 21, 77, 99)], "rank long, total_rows long")
-    assert ranking.exact_median_of_ranks(ranks, max_buckets=max_buckets).first().median_rank == 20.5
-    assert ranking.exact_median_of_ranks(ranks.where("rank < 99"), max_buckets=max_buckets).first().median_rank == 20.0
+    assert ranking.exact_median_of_ranks(ranks, slot_rows=slot_rows).first().median_rank == 20.5
+    assert ranking.exact_median_of_ranks(ranks.where("rank < 99"), slot_rows=slot_rows).first().median_rank == 20.0

@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from riskmill.operators import state
 
-SNAPSHOT = "name_dest string, prior_txn_count int, prior_avg_amount double, txn_count_24h int, amount_sum_24h double"
+SNAPSHOT = "name_dest string, prior_txn_count long, prior_avg_amount double, txn_count_24h long, amount_sum_24h double"
 
 
 def test_snapshot_values(six):
     made = state.destination_snapshot(six)
-    assert dict(made.dtypes)["prior_txn_count"] == "int"
+    assert dict(made.dtypes)["prior_txn_count"] == "bigint"
     assert rows_of(made, "name_dest", *state.STATE_COLUMNS, "snapshot_step") == [
         ("C1", 4, 187.5, 2, 600.0, 30), ("C2", 1, 75.0, 0, 0.0, 30)]
 
