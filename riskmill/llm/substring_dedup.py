@@ -9,7 +9,7 @@ A chunk starts at every cut and ends at the first cut that is ``CHUNK_WORDS`` wo
 and each is long enough to mean something: a short one would recur by chance in a large corpus. Chunks with equal
 64-bit digests in different documents repeat. Repeated chunks that follow each other in a document become one run, and
 runs of at least ``LEAST_WORDS`` words are reported with the smallest document that holds some of it. A repeated
-passage loses the words before its first cut and after its last; of passages of 51 words four in a thousand are missed
+passage loses the words before its first cut and after its last; of passages of 51 words one in a hundred is missed
 for that, of longer ones far fewer.
 
 Digests are counted with map-side combination and joined with the chunks from a stored table, so that a chunk that is
@@ -39,7 +39,7 @@ from riskmill.llm.common import match, whole_text
 CUT_BITS = 2
 LONGEST = 64
 CHUNK_WORDS = 16
-LEAST_WORDS = 20
+LEAST_WORDS = 24
 NO_ID = (1 << 63) - 1
 GEAR = np.random.default_rng(2).integers(0, 1 << 16, 256).astype(np.uint16)
 SPACE = 0x20
