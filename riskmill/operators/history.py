@@ -139,8 +139,8 @@ def feature_scan(features: DataFrame, names: Sequence[str] = FEATURES) -> DataFr
 def leakage_audit(ledger: DataFrame, row_block: int = ROW_BLOCK) -> DataFrame:
     """Restate the four history aggregates by another route and count disagreements with the window features.
 
-    The restatement never pairs rows: each (destination, step) total is handed to the 24 steps that may see it
-    (at most 24 copies of a pre-aggregated row), and earlier rows are counted from running totals over steps and
+    The restatement never pairs rows: each (destination, step) total enters and leaves a running sum, and earlier rows
+    are counted from running totals over steps and
     row-id blocks plus the position inside the block.
     """
     cell = ["nameDest", "step", "block"]
@@ -148,20 +148,27 @@ def leakage_audit(ledger: DataFrame, row_block: int = ROW_BLOCK) -> DataFrame:
     cells = rows.groupBy(*cell).agg(F.count("*").alias("rows"), F.sum(exact("amount")).alias("total"))
     steps = cells.groupBy("nameDest", "step").agg(F.sum("rows").alias("rows"), F.sum("total").alias("total"))
 
-    lagged = steps.select(
-        "nameDest", F.explode(F.sequence(F.col("step") + 1, F.col("step") + VELOCITY_HOURS)).alias("step"),
-        "rows", "total",
-    ).groupBy("nameDest", "step").agg(F.sum("rows").alias("r24"), F.sum("total").alias("t24"))
+    # A step's total enters the 24-hour sums one step later and leaves them after VELOCITY_HOURS steps: two entries,
+    # whose running sum is the window's content.
+    none = F.lit(0).cast("bigint"), F.lit(0).cast(steps.schema["total"].dataType)
+    changes = steps.select("nameDest", F.inline(F.array(
+        F.struct(F.col("step"), "rows", "total", none[0].alias("dr"), none[1].alias("dt")),
+        F.struct((F.col("step") + 1).alias("step"), none[0].alias("rows"), none[1].alias("total"),
+                 F.col("rows").alias("dr"), F.col("total").alias("dt")),
+        F.struct((F.col("step") + VELOCITY_HOURS + 1).alias("step"), none[0].alias("rows"), none[1].alias("total"),
+                 (-F.col("rows")).alias("dr"), (-F.col("total")).alias("dt"))))) \
+        .groupBy("nameDest", "step").agg(*[F.sum(c).alias(c) for c in ("rows", "total", "dr", "dt")])
 
     upto_step = Window.partitionBy("nameDest").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
     upto_block = Window.partitionBy("nameDest", "step").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
     upto_row = Window.partitionBy(*cell).orderBy("row_id").rowsBetween(Window.unboundedPreceding, 0)
 
-    running = steps.select(
-        "nameDest", "step",
+    running = changes.select(
+        "nameDest", "step", F.col("rows").alias("own"),
         (F.sum("rows").over(upto_step) - F.col("rows")).alias("sr"),
         (F.sum("total").over(upto_step) - F.col("total")).alias("st"),
-    ).join(lagged, ["nameDest", "step"], "left")
+        F.sum("dr").over(upto_step).alias("r24"), F.sum("dt").over(upto_step).alias("t24"),
+    ).where("own > 0").drop("own")
     placed = cells.select(
         *cell,
         (F.sum("rows").over(upto_block) - F.col("rows")).alias("br"),
@@ -175,8 +182,8 @@ def leakage_audit(ledger: DataFrame, row_block: int = ROW_BLOCK) -> DataFrame:
             "row_id",
             (F.col("rr") + F.col("br") + F.col("sr")).alias("count_again"),
             (F.col("rt") + F.col("bt") + F.col("st")).alias("total_again"),
-            F.coalesce("r24", F.lit(0)).alias("count24_again"),
-            F.coalesce("t24", F.lit(0)).alias("total24_again"),
+            F.col("r24").alias("count24_again"),
+            F.col("t24").alias("total24_again"),
         )
     )
     original = with_history(ledger).select(

@@ -78,6 +78,15 @@ def d7_leakage_audit(spark, sf_dir):
     return history.leakage_audit(base.ledger(spark, sf_dir))
 
 
+def d6_features_split(spark, sf_dir):
+    """The same features with destinations split from 50 rows on, as a hot destination is at scale."""
+    return history.build_features(base.ledger(spark, sf_dir), hot_rows=50, row_block=16)
+
+
+def d7_leakage_audit_split(spark, sf_dir):
+    return history.leakage_audit(base.ledger(spark, sf_dir), row_block=16)
+
+
 def d8_structure_profile(spark, sf_dir):
     return history.structure_profile(base.ledger(spark, sf_dir))
 
@@ -153,6 +162,7 @@ QUERIES: dict[str, Query] = {
     "d4_dest_txn_count_24h": _history("dest_txn_count_24h"),
     "d5_dest_amount_sum_24h": _history("dest_amount_sum_24h"),
     "d6_features": d6_features, "d7_leakage_audit": d7_leakage_audit,
+    "d6_features_split": d6_features_split, "d7_leakage_audit_split": d7_leakage_audit_split,
     "d8_structure_profile": d8_structure_profile, "d8_fraud_rate_by_type": d8_fraud_rate_by_type,
     "e1_snapshot": e1_snapshot, "e2_state_lookup": e2_state_lookup, "e3_state_features": e3_state_features,
     "e4_batch_accumulation": e4_batch_accumulation, "e5_batches": e5_batches, "e6_state_audit": e6_state_audit,

@@ -688,3 +688,5 @@ _add("n_fit_checks", """
     SELECT learner, CAST(fold AS INTEGER) AS fold, count(*) AS n_train, CAST(sum(isFraud) AS BIGINT) AS n_train_fraud,
         CAST(18 AS INTEGER) AS n_features, true AS repeats, true AS above_base_rate, true AS nonzero_counted
     FROM fitted_rows, (VALUES ('logistic'), ('ridge'), ('lasso')) l(learner) GROUP BY learner, fold""", "fitted_rows")
+ORACLE["d6_features_split"] = ORACLE["d6_features"]
+ORACLE["d7_leakage_audit_split"] = ORACLE["d7_leakage_audit"]
