@@ -1,61 +1,86 @@
 """Destination history carried across micro-batches.
 
 Each micro-batch is an ordinary DataFrame, so the history operator with its protection against hot destinations does
-the work inside the batch, and a table of running totals per destination supplies what came before. Outputs and
-state are written per batch number; a batch that is retried after a failure overwrites its own version and nothing
-else. Rows are processed on arrival: a row that comes late sees what had arrived by then.
+the work inside the batch, and totals per destination and step supply what came before. A batch writes only what it
+adds to them, under its number; when it is retried after a failure it overwrites its own files and nothing else. Rows are processed on arrival: a row that comes late sees what had arrived by then.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from riskmill.functions.numeric import exact
 from riskmill.operators.history import HOT_ROWS, ROW_BLOCK, with_history
+from riskmill.params import VELOCITY_HOURS
 
-STATE_DDL = "name_dest string, seen_rows long, seen_total decimal(38,6)"
+STATE_DDL = "name_dest string, at_step long, seen_rows long, seen_total decimal(38,6)"
+# Every so many batches the totals so far are folded into one table, so that a batch never reads more small ones.
+FOLD_EVERY = 16
 
 
 def state_before(spark: SparkSession, root: str, batch: int) -> DataFrame:
-    """Totals after the previous batch; empty before the first one."""
-    try:
-        return spark.read.schema(STATE_DDL).parquet(f"{root}/state/version={batch - 1}")
-    except AnalysisException:
-        if batch > 0:
-            raise
-        return spark.createDataFrame([], STATE_DDL)
+    """What arrived before this batch, as totals per destination and step: the last fold and the batches after it."""
+    return _stored(spark, root, batch, batch - batch % FOLD_EVERY)
+
+
+def _stored(spark: SparkSession, root: str, batch: int, folded: int) -> DataFrame:
+    paths = [f"{root}/state/batch={number}" for number in range(folded, batch)]
+    if folded:
+        paths.append(f"{root}/folded/before={folded}")
+    return spark.read.schema(STATE_DDL).parquet(*paths) if paths else spark.createDataFrame([], STATE_DDL)
 
 
 def batch_history(rows: DataFrame, state: DataFrame, hot_rows: int = HOT_ROWS, row_block: int = ROW_BLOCK) -> DataFrame:
-    """Prior count and average of every row: earlier batches' totals plus earlier rows of this batch."""
+    """The four history values of every row: what earlier batches brought plus earlier rows of this batch.
+
+    Only totals per destination and step meet: those of the state with the steps that the batch has of a destination.
+    """
     local = with_history(rows, hot_rows, row_block)
-    joined = local.join(state, F.col("nameDest") == F.col("name_dest"), "left")
-    count = F.col("prior_rows") + F.coalesce("seen_rows", F.lit(0))
-    total = F.col("prior_total") + F.coalesce("seen_total", F.lit(0))
+    asked = rows.select("nameDest", "step").distinct()
+    recent = (F.col("at_step") < F.col("step")) & (F.col("at_step") >= F.col("step") - VELOCITY_HOURS)
+    brought = asked.join(state, F.col("nameDest") == F.col("name_dest")).groupBy("nameDest", "step").agg(
+        F.sum("seen_rows").alias("_rows"), F.sum("seen_total").alias("_total"),
+        F.sum(F.when(recent, F.col("seen_rows"))).alias("_rows_24h"), F.sum(F.when(recent, F.col("seen_total"))).alias("_total_24h"))
+    joined = local.join(brought, ["nameDest", "step"], "left")
+
+    def both(own: str, before: str) -> Column:
+        return F.coalesce(own, F.lit(0)) + F.coalesce(before, F.lit(0))
+
+    count = both("prior_rows", "_rows")
     return joined.select(
         "row_id", "step", "nameDest", "amount", count.alias("dest_prior_txn_count"),
-        F.when(count > 0, total.cast("double") / count).otherwise(F.lit(0.0)).alias("dest_prior_avg_amount"))
+        F.when(count > 0, both("prior_total", "_total").cast("double") / count).otherwise(F.lit(0.0)).alias("dest_prior_avg_amount"),
+        both("recent_rows", "_rows_24h").alias("dest_txn_count_24h"),
+        both("recent_total", "_total_24h").cast("double").alias("dest_amount_sum_24h"))
 
 
-def next_state(rows: DataFrame, state: DataFrame) -> DataFrame:
-    """Old totals plus this batch's; both sides are aggregated before they meet."""
-    arrived = rows.groupBy(F.col("nameDest").alias("name_dest")).agg(
+def batch_totals(rows: DataFrame) -> DataFrame:
+    """What a batch adds to the state."""
+    return rows.groupBy(F.col("nameDest").alias("name_dest"), F.col("step").alias("at_step")).agg(
         F.count("*").alias("seen_rows"), F.sum(exact("amount")).cast("decimal(38,6)").alias("seen_total"))
-    return state.unionByName(arrived).groupBy("name_dest").agg(
+
+
+def fold(state: DataFrame) -> DataFrame:
+    return state.groupBy("name_dest", "at_step").agg(
         F.sum("seen_rows").alias("seen_rows"), F.sum("seen_total").cast("decimal(38,6)").alias("seen_total"))
 
 
 def start_history(transactions: DataFrame, root: str, hot_rows: int = HOT_ROWS,
                   row_block: int = ROW_BLOCK) -> StreamingQuery:
-    """Write history per micro-batch to ``root/history`` and the totals to ``root/state``, on shared storage."""
+    """Write history per micro-batch to ``root/history`` and its totals to ``root/state``, on shared storage."""
 
     def process(rows: DataFrame, batch: int) -> None:
-        state = state_before(rows.sparkSession, root, batch)
+        spark = rows.sparkSession
+        rows = rows.persist()  # read once; a lost executor reads its part again
+        state = state_before(spark, root, batch)
         batch_history(rows, state, hot_rows, row_block).write.mode("overwrite").parquet(f"{root}/history/batch={batch}")
-        next_state(rows, state).write.mode("overwrite").parquet(f"{root}/state/version={batch}")
+        batch_totals(rows).write.mode("overwrite").parquet(f"{root}/state/batch={batch}")
+        if (batch + 1) % FOLD_EVERY == 0:
+            whole = _stored(spark, root, batch + 1, batch + 1 - FOLD_EVERY)
+            fold(whole).write.mode("overwrite").parquet(f"{root}/folded/before={batch + 1}")
+        rows.unpersist()
 
     return transactions.writeStream.foreachBatch(process).option("checkpointLocation", f"{root}/checkpoint") \
         .trigger(availableNow=True).start()

@@ -40,24 +40,25 @@ def test_stream_scores_like_the_batch(spark, ledger, arriving, tmp_path):
     assert made == rows_of(batch, *names) and len({row[1] for row in made}) == 3
 
 
-@pytest.mark.parametrize("hot_rows", [10**9, 20])
-def test_history_across_batches_equals_one_batch(spark, ledger, arriving, tmp_path, hot_rows):
+@pytest.mark.parametrize("hot_rows,fold_every", [(10**9, 16), (20, 2)])
+def test_history_across_batches_equals_one_batch(spark, ledger, arriving, tmp_path, monkeypatch, hot_rows, fold_every):
+    monkeypatch.setattr(history, "FOLD_EVERY", fold_every)
     transactions = scoring.read_transactions(spark, arriving, files_per_trigger=1)
     history.start_history(transactions, str(tmp_path), hot_rows=hot_rows, row_block=16).awaitTermination()
     made = spark.read.parquet(str(tmp_path / "history"))
     assert made.select("batch").distinct().count() == 4
-    names = ("row_id", "dest_prior_txn_count", "dest_prior_avg_amount")
+    names = ("row_id", "dest_prior_txn_count", "dest_prior_avg_amount", "dest_txn_count_24h", "dest_amount_sum_24h")
     assert rows_of(made, *names) == rows_of(build_features(ledger), *names)
 
 
-def test_retried_batch_changes_nothing(spark, six, tmp_path):
-    state = spark.createDataFrame([("C1", 2, 300)], "name_dest string, seen_rows long, seen_total long") \
-        .withColumn("seen_total", F.col("seen_total").cast("decimal(38,6)"))
-    once = history.next_state(six, state)
-    assert {r.name_dest: (r.seen_rows, float(r.seen_total)) for r in once.collect()}["C1"] == (6, 1050.0)
-    assert rows_of(once, "*") == rows_of(history.next_state(six, state), "*")
+def test_state_is_what_batches_add(spark, six, tmp_path):
+    history.batch_totals(six).write.parquet(str(tmp_path / "state" / "batch=0"))
+    history.batch_totals(six).write.parquet(str(tmp_path / "state" / "batch=1"))
+    folded = history.fold(history.state_before(spark, str(tmp_path), 2)).where("name_dest = 'C1'")
+    assert {r.at_step: (r.seen_rows, float(r.seen_total)) for r in folded.collect()} == {
+        0: (4, 300.0), 10: (2, 400.0), 30: (2, 800.0)}
     with pytest.raises(Exception):
-        history.state_before(spark, str(tmp_path), 3)
+        history.state_before(spark, str(tmp_path), 4).count()
     assert history.state_before(spark, str(tmp_path), 0).count() == 0
 
 
