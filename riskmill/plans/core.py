@@ -13,25 +13,14 @@ from riskmill.operators import history, state, validation
 from riskmill.operators.decisions import decide
 from riskmill.operators.sampling import sample_rows
 from riskmill.plans import base
-from riskmill.sources import sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def a1_ingest(spark, sf_dir):
-    return base.ledger(spark, sf_dir)
-
-
 def a3_feature_scan(spark, sf_dir):
     return history.feature_scan(base.features(spark, sf_dir))
 
 
-def a6_audit_sink(spark, sf_dir):
-    made = base.explained(spark, sf_dir).withColumn("state_hit", F.col("dest_prior_txn_count") > 0)
-    decided = decide(made, F.col("flagged"), default_rules(base.HARD_BLOCK_AMOUNT))
-    return sinks.audit_records(decided, "linear", "v1", base.DECISION_THRESHOLD)
-
-
 def b1_validation_report(spark, sf_dir):
     return validation.validation_report(base.faulty_ledger(spark, sf_dir))
 
@@ -145,8 +134,7 @@ def e8_captured_fraud(spark, sf_dir):
 
 
 QUERIES: dict[str, Query] = {
-    "a1_ingest": a1_ingest, "a3_feature_scan": a3_feature_scan, "a6_audit_sink": a6_audit_sink,
-    "b1_validation_report": b1_validation_report, "b2_row_sample": b2_row_sample, "b3_admission": b3_admission,
+    "a3_feature_scan": a3_feature_scan, "b1_validation_report": b1_validation_report, "b2_row_sample": b2_row_sample, "b3_admission": b3_admission,
     "b4_exclude_merchants": b4_exclude_merchants, "b5_violations": b5_violations,
     "c1_amount": _stateless("amount"), "c2_hour_of_day": _stateless("hour_of_day"),
     "c3_is_night": _stateless("is_night"), "c4_orig_balance_delta": _stateless("orig_balance_delta"),

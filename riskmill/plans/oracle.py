@@ -273,7 +273,7 @@ def _add(name: str, body: str, *needs: str) -> None:
 
 
 # A, B
-_add("a1_ingest", "SELECT * FROM ledger", "ledger")
+_add("a1_ingest", "SELECT * EXCLUDE (row_id) FROM ledger", "ledger")
 _add("a3_feature_scan", "SELECT * FROM features", "features")
 _NONNEG = ("step", "amount", "oldbalanceOrg", "newbalanceOrig", "oldbalanceDest", "newbalanceDest")
 _LEDGER = ("step", "type", "amount", "nameOrig", "oldbalanceOrg", "newbalanceOrig", "nameDest", "oldbalanceDest",
@@ -690,3 +690,10 @@ _add("n_fit_checks", """
     FROM fitted_rows, (VALUES ('logistic'), ('ridge'), ('lasso')) l(learner) GROUP BY learner, fold""", "fitted_rows")
 ORACLE["d6_features_split"] = ORACLE["d6_features"]
 ORACLE["d7_leakage_audit_split"] = ORACLE["d7_leakage_audit"]
+_add("a2_materialize", "SELECT count(*) AS n_rows, false AS first_reused, true AS second_reused FROM features", "features")
+ORACLE["a4_snapshot_sink"] = ORACLE["e1_snapshot"]
+ORACLE["a5_result_tables"] = ORACLE["f3_fold_summary"]
+_add("t1_stream_scoring", f"SELECT row_id, state_hit, {_SERVED['dest_prior_txn_count']} AS dest_prior_txn_count, "
+     f"{_SERVED['dest_txn_count_24h']} AS dest_txn_count_24h FROM found", "found")
+_add("t2_stream_history", "SELECT row_id, dest_prior_txn_count, dest_prior_avg_amount, dest_txn_count_24h, dest_amount_sum_24h "
+     "FROM features", "features")
