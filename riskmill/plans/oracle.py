@@ -632,20 +632,29 @@ _add("p1_stability_index", f"""
         sum((greatest(a, 1e-4) - greatest(e, 1e-4)) * ln(greatest(a, 1e-4) / greatest(e, 1e-4))) > CASE feature WHEN 'score' THEN 0.1e0 ELSE 0.25e0 END AS drifted
     FROM shares GROUP BY win, feature""", "dlong")
 _TRAIN = f"(SELECT * FROM folded WHERE role = 'train' AND fold = {base.FOLDS})"
+_cte("edges", f"""
+    SELECT * REPLACE (CASE WHEN row_id % 7 = 0 THEN 'S' || (num // 2)
+        WHEN row_id % 7 = 1 AND num % 10 <> 9 THEN 'T' || ((num + 1) // 2) ELSE nameOrig END AS nameOrig)
+    FROM (SELECT *, CAST(regexp_extract(nameDest, '[0-9]+') AS BIGINT) AS num FROM {_TRAIN})""", "folded")
 _add("p2_destination_degrees", f"""
     SELECT nameDest, count(DISTINCT nameOrig) AS dest_degree, count(*) AS n_transactions,
-        CAST(sum(CAST(amount AS {DEC})) AS DOUBLE) AS dest_weighted_degree FROM {_TRAIN} GROUP BY nameDest""", "folded")
-_add("p3_component_statistics", f"""
-    , linked AS (SELECT DISTINCT a.nameDest AS d, b.nameDest AS e FROM {_TRAIN} a JOIN {_TRAIN} b USING (nameOrig)),
-    per AS (SELECT nameDest, count(DISTINCT nameOrig) AS senders, count(*) AS n, CAST(sum(isFraud) AS BIGINT) AS fraud
-        FROM {_TRAIN} GROUP BY nameDest),
-    comp AS (SELECT d AS nameDest, min(e) AS component FROM linked GROUP BY d),
-    agg AS (SELECT component, sum(senders) + count(*) AS size, sum(fraud) / CAST(sum(n) AS DOUBLE) AS rate,
+        CAST(sum(CAST(amount AS {DEC})) AS DOUBLE) AS dest_weighted_degree FROM edges GROUP BY nameDest""", "edges")
+# Every destination that can be reached, over any number of shared origins.
+_add("p3_component_statistics", """
+    , linked AS (SELECT DISTINCT a.nameDest AS d, b.nameDest AS e
+        FROM (SELECT DISTINCT nameDest, nameOrig FROM edges) a JOIN (SELECT DISTINCT nameDest, nameOrig FROM edges) b USING (nameOrig)),
+    reached AS (SELECT d, e FROM linked UNION SELECT r.d, l.e FROM reached r JOIN linked l ON r.e = l.d),
+    per AS (SELECT nameDest, count(*) AS n, CAST(sum(isFraud) AS BIGINT) AS fraud FROM edges GROUP BY nameDest),
+    comp AS (SELECT d AS nameDest, min(e) AS component FROM reached GROUP BY d),
+    sizes AS (SELECT component, count(DISTINCT nameOrig) + count(DISTINCT nameDest) AS size
+        FROM comp JOIN edges USING (nameDest) GROUP BY component),
+    agg AS (SELECT component, sum(fraud) / CAST(sum(n) AS DOUBLE) AS rate,
         count(*) FILTER (WHERE fraud > 0) AS marks FROM comp JOIN per USING (nameDest) GROUP BY component)
     SELECT nameDest, CAST(size AS BIGINT) AS dest_component_size,
         CAST(marks - CASE WHEN fraud > 0 THEN 1 ELSE 0 END AS BIGINT) AS dest_flagged_neighbours,
         rate AS dest_component_fraud_rate
-    FROM comp JOIN per USING (nameDest) JOIN agg USING (component)""", "folded")
+    FROM comp JOIN per USING (nameDest) JOIN agg USING (component) JOIN sizes USING (component)""", "edges")
+ORACLE["p3_component_statistics"] = ORACLE["p3_component_statistics"].replace("WITH ", "WITH RECURSIVE ", 1)
 _add("p4_feedback", """
     SELECT row_id, score, CASE WHEN isFraud = 1 THEN 'CONFIRMED_FRAUD' ELSE 'FALSE_POSITIVE' END AS label,
         CAST(2 AS BIGINT) AS n_verdicts, CAST(isFraud AS INTEGER) AS confirmed
