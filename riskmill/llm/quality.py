@@ -205,7 +205,7 @@ def fit_trust(measured: DataFrame, rules: Sequence[Rule] = RULES, rounds: int =
 
 
 def judge(measured: DataFrame, trust: Trust, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """Adds base_failed, good_probability and kept."""
+    """Adds base_failed, good_probability and kept. Filter a stored result: see ``keep_good`` for the reason."""
     probability = trust.good_probability([vote(rule) for rule in rules])
     return measured.withColumn("base_failed", base_failed()).withColumn("good_probability", probability) \
         .withColumn("kept", ~F.col("base_failed") & (F.col("good_probability") >= 0.5))

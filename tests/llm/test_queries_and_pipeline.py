@@ -40,7 +40,7 @@ def test_pipeline_equals_brute_force(spark):
     from riskmill.llm import mixing, quality
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     judged = quality.judge(quality.measures(docs), quality.fit_trust(quality.measures(docs)))
-    good = {r.doc_id for r in judged.where("kept").collect()}
+    good = {r.doc_id for r in judged.collect() if r.kept}
     texts = {r.doc_id: (r.text or "", r.source) for r in docs.collect() if r.doc_id in good}
     first = {}
     for i in sorted(texts):
