@@ -7,23 +7,9 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from riskmill.session import build_session  # noqa: E402
-from riskmill.sources.ledger import LEDGER_SCHEMA  # noqa: E402
-
-SMALL = "/root/testdata/sf0.001"
-
-LEDGER_DDL = "row_id long, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in LEDGER_SCHEMA)
+from ledger_cases import LEDGER_DDL, SIX_ROWS, SMALL  # noqa: E402
 
-# Hand-computed results exist for exactly these rows.
-# (row_id, step, type, amount, nameOrig, oldbalanceOrg, newbalanceOrig, nameDest, oldbalanceDest, newbalanceDest, isFraud)
-SIX_ROWS = [
-    (1, 0, "TRANSFER", 100.0, "CORIG1", 1000.0, 900.0, "C1", 0.0, 100.0, 0, 0),
-    (2, 0, "TRANSFER", 50.0, "CORIG2", 500.0, 450.0, "C1", 0.0, 50.0, 0, 0),
-    (3, 10, "CASH_OUT", 200.0, "CORIG3", 300.0, 100.0, "C1", 0.0, 200.0, 0, 0),
-    (4, 30, "CASH_OUT", 400.0, "CORIG4", 0.0, 0.0, "C1", 0.0, 400.0, 0, 0),
-    (5, 5, "PAYMENT", 75.0, "CORIG5", 0.0, 0.0, "C2", 0.0, 75.0, 0, 0),
-    (6, 5, "PAYMENT", 60.0, "CORIG6", 200.0, 140.0, "M999999999", 0.0, 60.0, 0, 0),
-]
+from riskmill.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -53,8 +39,3 @@ def ledger(spark):
     rows = ledger_from_events(spark, SMALL)
     return rows.withColumn("nameDest", F.when(F.col("row_id") % 3 == 0, "C777").otherwise(F.col("nameDest"))) \
         .withColumn("step", F.when(F.col("row_id") % 5 == 0, 300).otherwise(F.col("step")))
-
-
-def rows_of(frame, *names):
-    """Rows as a sorted list of tuples."""
-    return sorted((tuple(row) for row in frame.select(*names).collect()), key=repr)

@@ -4,7 +4,7 @@ import re
 from decimal import Decimal
 
 import pytest
-from conftest import rows_of
+from ledger_cases import rows_of
 from pyspark.sql import functions as F
 
 from riskmill.functions.features import FEATURES, stateless_features

@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import rows_of
+from ledger_cases import rows_of
 from pyspark.sql import functions as F
 
 from riskmill.functions.features import FEATURES
@@ -50,7 +50,7 @@ def test_trees_and_search(fold):
 
 
 def test_prepared_fold_keeps_two_weights(spark):
-    from conftest import SMALL
+    from ledger_cases import SMALL
 
     from riskmill.plans import base
 
@@ -65,7 +65,7 @@ def test_prepared_fold_keeps_two_weights(spark):
 
 
 def test_summary_agrees_with_preparation(spark):
-    from conftest import SMALL
+    from ledger_cases import SMALL
 
     from riskmill.plans import base
 

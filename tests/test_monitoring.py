@@ -3,7 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
-from conftest import rows_of
+from ledger_cases import rows_of
 from pyspark.sql import functions as F
 
 from riskmill.operators import drift, graph, review

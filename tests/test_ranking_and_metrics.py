@@ -3,7 +3,7 @@ from __future__ import annotations
 import math
 
 import pytest
-from conftest import SMALL, rows_of
+from ledger_cases import SMALL, rows_of
 from pyspark.sql import functions as F
 
 from riskmill.operators import capacity, compare, errors, metrics, ranking

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 from check_oracle import difference, oracle_connection
-from conftest import SMALL
+from ledger_cases import SMALL
 
 import __spark_entry__ as registry
 

@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import LEDGER_DDL, SIX_ROWS, rows_of
+from ledger_cases import LEDGER_DDL, SIX_ROWS, rows_of
 from pyspark.sql import functions as F
 
 from riskmill.operators import history, state, validation
