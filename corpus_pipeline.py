@@ -5,7 +5,7 @@ Parquet and read again as the next stage's documents. All but the last return th
 
 * quality: documents that fail the base rules or that the weakly supervised rules find improbable go.
 * exact_dedup: of equal texts the one with the smallest id stays.
-* simhash: of each group of near copies (five-word shingles, Jaccard 0.8 or more) one document stays.
+* simhash: of each group of SimHash near copies (parameters of op1_simhash) one document stays.
 * mixing: documents in training order, once for each time they are read.
 * sentencepiece: piece ids of every text, and whether they decode to it.
 
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskmill.lineage import ensure_checkpoint_dir
-from riskmill.llm import exact_dedup, mixing, near_dedup, quality, sentencepiece_codec
+from riskmill.llm import exact_dedup, mixing, quality, sentencepiece_codec, simhash
 
 ORACLE_SQL = None
 
@@ -35,7 +35,7 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dedup.keep_one_of_each(docs)
+    return simhash.keep_one_of_each(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
