@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskmill.lineage import cut_lineage
-from riskmill.llm import (exact_dedup, mixing, quality, sentencepiece_codec, simhash, substring_dedup, token_counts,
+from riskmill.llm import (exact_dedup, mixing, prefix_trie, quality, sentencepiece_codec, simhash, substring_dedup, token_counts,
                           toxicity, urls, warc)
 from riskmill.llm.common import table, whole_text
 
@@ -71,6 +71,23 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of conversations that begin with some turns of the first conversation of their block of five."""
+    own = cut_lineage(prefix_trie.token_sequences(table(spark, sf_dir, "conversations")))
+    return prefix_trie.trie_nodes(with_shared_turns(own))
+
+
+def with_shared_turns(own: DataFrame, block: int = 5, most: int = 9) -> DataFrame:
+    """The first crc32(conv_id) % ``most`` turns are those of the block's first conversation, if there is one."""
+    lead = own.where(F.col("conv_id") % block == 0).select(
+        F.col("conv_id").alias("lead_id"), F.slice("tokens", 1, most).alias("lead"))
+    replaced = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % most).cast("int")
+    rebuilt = F.concat(F.slice(F.coalesce("lead", F.array().cast("array<string>")), F.lit(1), F.col("replaced")),
+                       F.slice("tokens", F.col("replaced") + 1, F.greatest(F.size("tokens") - F.col("replaced"), F.lit(0))))
+    return own.join(lead, F.col("lead_id") == F.col("conv_id") - F.col("conv_id") % block, "left") \
+        .withColumn("replaced", replaced).select("conv_id", rebuilt.alias("tokens"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_substring_dedup": op2_substring_dedup,
@@ -82,4 +99,5 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mixing": op9_mixing,
     "op10_warc": op10_warc,
+    "op11_prefix_trie": op11_prefix_trie,
 }

@@ -135,3 +135,40 @@ firsts AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_pa
 told AS (SELECT *, payload_bytes >= 100 AND page_id IS DISTINCT FROM first_page AS again FROM firsts)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN again THEN first_page END AS refers_to FROM told"""
+
+
+def crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII text, bit by bit: each byte enters with the first of its eight shifts."""
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda s: [ascii(s)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))"
+    return (f"xor(list_reduce([4294967295::BIGINT] || {steps}, lambda a, b: CASE WHEN xor(a, b) & 1 = 1 "
+            "THEN xor(xor(a, b) >> 1, 3988292384) ELSE xor(a, b) >> 1 END), 4294967295)")
+
+
+# Nodes by grouping all prefixes; subtree sums by giving each node's leaf and savings to all its prefixes.
+ORACLE["op11_prefix_trie"] = f"""
+WITH turns AS (
+    SELECT conv_id, turn, sha256(coalesce(role, '')) || sha256(coalesce(text, '')) AS token,
+           octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM conversations WHERE conv_id IS NOT NULL),
+own AS MATERIALIZED (
+    SELECT conv_id, list(token ORDER BY turn NULLS FIRST, token) AS t, list(n ORDER BY turn NULLS FIRST, token) AS b
+    FROM turns GROUP BY conv_id),
+drawn AS (SELECT *, {crc32_sql("conv_id::VARCHAR")} % 9 AS h FROM own),
+rebuilt AS MATERIALIZED (
+    SELECT drawn.conv_id, coalesce(own.t, [])[1:h] || drawn.t[h + 1:] AS t, coalesce(own.b, [])[1:h] || drawn.b[h + 1:] AS b
+    FROM drawn LEFT JOIN own ON own.conv_id = drawn.conv_id - drawn.conv_id % 5),
+steps AS (
+    SELECT conv_id, d, array_to_string(t[1:d], '') AS k, len(t) = d AS ending, CASE WHEN d = 0 THEN 0 ELSE b[d] END AS n
+    FROM rebuilt, unnest(range(0, len(t) + 1)) AS u(d)),
+nodes AS MATERIALIZED (
+    SELECT k, d, min(conv_id) AS conv_id, count(*)::BIGINT AS n_convs, any_value(n) AS n,
+           sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ending), '')) AS ends_sha256
+    FROM steps GROUP BY k, d),
+children AS (SELECT substr(k, 1, (128 * (d - 1))::BIGINT) AS k, count(*)::BIGINT AS n_children FROM nodes WHERE d > 0 GROUP BY 1),
+told AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN children USING (k)),
+sums AS (
+    SELECT substr(k, 1, (128 * a)::BIGINT) AS k, sum((n_children = 0)::BIGINT)::BIGINT AS n_leaves, sum((n_convs - 1) * n)::BIGINT AS saved_tokens
+    FROM told, unnest(range(0, d + 1)) AS u(a) GROUP BY 1)
+SELECT told.conv_id, told.d AS depth, parents.conv_id AS parent_conv_id, told.n_convs, told.n_children, n_leaves,
+       saved_tokens, told.ends_sha256
+FROM told JOIN sums USING (k) LEFT JOIN nodes AS parents
+    ON told.d > 0 AND parents.d = told.d - 1 AND parents.k = substr(told.k, 1, (128 * (told.d - 1))::BIGINT)"""
