@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskmill.lineage import cut_lineage
-from riskmill.llm import (exact_dedup, mixing, prefix_trie, quality, sentencepiece_codec, simhash, substring_dedup, token_counts,
-                          toxicity, urls, warc)
+from riskmill.llm import (exact_dedup, mixing, prefix_trie, quality, sentencepiece_codec, simhash, spelling, substring_dedup,
+                          token_counts, toxicity, urls, warc)
 from riskmill.llm.common import table, whole_text
 
 TOXIC_FROM = 0.3
@@ -88,6 +88,12 @@ def with_shared_turns(own: DataFrame, block: int = 5, most: int = 9) -> DataFram
         .withColumn("replaced", replaced).select("conv_id", rebuilt.alias("tokens"))
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words of the documents, one in 31 of a document's words without one letter."""
+    words = spelling.word_counts(table(spark, sf_dir, "documents"), spelling.drop_one_of_31)
+    return spelling.spelling_groups(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_substring_dedup": op2_substring_dedup,
@@ -100,4 +106,5 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_warc": op10_warc,
     "op11_prefix_trie": op11_prefix_trie,
+    "op13_spelling": op13_spelling,
 }
