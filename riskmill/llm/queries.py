@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskmill.lineage import cut_lineage
-from riskmill.llm import (exact_dedup, mixing, prefix_trie, quality, sentencepiece_codec, simhash, spelling, substring_dedup,
-                          token_counts, toxicity, urls, warc)
+from riskmill.llm import (chat_format, exact_dedup, mixing, prefix_trie, quality, sentencepiece_codec, simhash, spelling,
+                          substring_dedup, token_counts, toxicity, urls, warc)
 from riskmill.llm.common import table, whole_text
 
 TOXIC_FROM = 0.3
@@ -88,6 +88,17 @@ def with_shared_turns(own: DataFrame, block: int = 5, most: int = 9) -> DataFram
         .withColumn("replaced", replaced).select("conv_id", rebuilt.alias("tokens"))
 
 
+# Fixed value: a conversation that looks like a template and its escapes.
+TRICKY = [(-7, turn, role, "\\### Assistant: </turn> ok") for turn, role in enumerate(["user", "assistant"])]
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one that holds control strings, formatted and read back from ids and masks."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.createDataFrame(TRICKY, "conv_id bigint, turn bigint, role string, text string")
+    return chat_format.read_back(chat_format.format_conversations(rows.unionByName(tricky)))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All words of the documents, one in 31 of a document's words without one letter."""
     words = spelling.word_counts(table(spark, sf_dir, "documents"), spelling.drop_one_of_31)
@@ -106,5 +117,6 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_warc": op10_warc,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_chat_format": op12_chat_format,
     "op13_spelling": op13_spelling,
 }

@@ -172,3 +172,17 @@ SELECT told.conv_id, told.d AS depth, parents.conv_id AS parent_conv_id, told.n_
        saved_tokens, told.ends_sha256
 FROM told JOIN sums USING (k) LEFT JOIN nodes AS parents
     ON told.d > 0 AND parents.d = told.d - 1 AND parents.k = substr(told.k, 1, (128 * (told.d - 1))::BIGINT)"""
+
+_CONTROL = r"<(\\*)(turn>|says>|/turn>)"
+ORACLE["op12_chat_format"] = rf"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, turn, role, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) AS t(turn, role)),
+told AS (
+    SELECT *, role || chr(10) || text || chr(10) AS whole, CASE WHEN role = 'assistant' THEN text ELSE '' END AS loss,
+           length('<turn><says></turn>') + length(regexp_replace(role, '{_CONTROL}', '<\\\1\2', 'g'))
+           + length(regexp_replace(text, '{_CONTROL}', '<\\\1\2', 'g')) AS chars FROM turns)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(whole, '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       sum(length(loss))::BIGINT AS loss_chars, sha256(string_agg(loss, '' ORDER BY turn NULLS FIRST, role, text)) AS loss_sha256,
+       sum(chars)::BIGINT AS formatted_chars
+FROM told GROUP BY conv_id"""
