@@ -15,12 +15,22 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 SPACE_MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-KEPT_WORDS = 300_000
+# Bytes that a task spends on remembering words, and of text that it works on at once.
+KEPT_BYTES = 1 << 25
+WORD_OVERHEAD = 200
+BYTES_AT_ONCE = 1 << 20
+WORDS_AT_ONCE = 1 << 16
 
 
 @dataclass
@@ -46,6 +56,12 @@ class Vocabulary:
         """The text in parts that can be encoded one by one, spaces still as spaces; an empty text has none."""
         return _pattern(self.cuts).findall(" " + text) if text else []
 
+    def pre_token_runs(self, text: str) -> Iterator[list[str]]:
+        """The pre-tokens of a text of any length, so many at a time."""
+        found = (match.group() for match in _pattern(self.cuts).finditer(" " + text)) if text else iter(())
+        while run := list(islice(found, WORDS_AT_ONCE)):
+            yield run
+
     def is_outside(self, part: str) -> bool:
         return len(part) == 1 and part != " " and part not in self.known
 
@@ -74,6 +90,33 @@ class Vocabulary:
         return [i for ids in reversed(out) for i in ids]
 
 
+def bounded_slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of at most ``BYTES_AT_ONCE`` of text; a longer text is a slice of its own."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, at = np.cumsum(sizes), 0
+    while at < batch.num_rows:
+        done = int(ends[at - 1]) if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, done + BYTES_AT_ONCE, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
+class Remembered(dict):
+    """What was found for words, forgotten as a whole once the words exceed the bytes allowed."""
+
+    held = 0
+
+    def make_room(self, new: set[str]) -> bool:
+        """Whether the memory was emptied for the new words."""
+        size = sum(map(len, new)) + WORD_OVERHEAD * len(new)
+        emptied = self.held + size > KEPT_BYTES and bool(self)
+        if emptied:
+            self.clear()
+            self.held = 0
+        self.held += size
+        return emptied
+
+
 _PATTERNS: dict[str, re.Pattern] = {}
 
 

@@ -49,7 +49,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number and digest of each document's piece ids, and whether they decode to its text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = sentencepiece_codec.decode(sentencepiece_codec.encode(docs))
+    both = sentencepiece_codec.encode_and_decode(docs)
     return both.select("doc_id", F.coalesce(F.size("piece_ids"), F.lit(0)).cast("bigint").alias("n_pieces"),
                        F.xxhash64("piece_ids").alias("ids_digest"), F.octet_length(whole_text()).cast("bigint").alias("n_bytes"),
                        F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))

@@ -7,8 +7,9 @@ A word is accepted when its pieces spell it; a hash collision would show there,
 
 Decoding gathers the bytes of the pieces and takes away the space that encoding put in front.
 
-Encodings of words are remembered for later batches up to a fixed number, after which the memory starts anew; a batch
-is bounded by Spark's Arrow settings. Null texts have a null encoding and empty ones an empty one, and decoding returns
+A batch is worked through in slices of bounded bytes, a longer text by runs of its pre-tokens, so that memory depends on
+neither the batch nor the longest text beyond the text itself. Encodings of words are remembered up to a bound in bytes,
+after which the memory starts anew. Encoding and decoding in one pass share one Python worker. Null texts have a null encoding and empty ones an empty one, and decoding returns
 them so: decoding an encoding gives the text back, byte by byte. Further columns stay; a column named like the result
 is replaced. Repeated rows are encoded each.
 """
@@ -22,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from riskmill.llm.pieces import DEFAULT_MODEL, KEPT_WORDS, SPACE_MARK, Vocabulary, load_vocabulary
+from riskmill.llm.pieces import (BYTES_AT_ONCE, DEFAULT_MODEL, SPACE_MARK, Remembered, Vocabulary, bounded_slices,
+                                 load_vocabulary)
 from riskmill.llm.token_counts import schema_with, with_column
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 # Longer words are few; they take the plain path instead of one batch for each length.
 LONGEST_BATCHED = 48
-WORDS_AT_ONCE = 1 << 14
+WORDS_AT_ONCE = 1 << 13
+IDS_AT_ONCE = 1 << 16
 
 
 class PieceKeys:
@@ -127,21 +130,29 @@ class _Encoder:
         self.vocabulary, self.text, self.name = vocabulary, text, name
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = PieceKeys(self.vocabulary)
-        known: dict[str, bytes] = {}
+        keys, known = PieceKeys(self.vocabulary), Remembered()
         for batch in batches:
-            texts = batch.column(self.text).to_pylist()
-            parts = [self.vocabulary.pre_tokens(t or "") for t in texts]
-            new = {w for words in parts for w in words if w not in known}
-            if len(known) + len(new) > KEPT_WORDS:
-                known, new = {}, {w for words in parts for w in words}
-            known.update(keys.encode_new(new))
-            encoded = [b"".join([known[w] for w in words]) for words in parts]
-            offsets = np.zeros(len(texts) + 1, np.int32)
-            np.cumsum([len(e) // 4 for e in encoded], out=offsets[1:])
-            none = pa.array([t is None for t in texts], pa.bool_())
-            values = pa.array(np.frombuffer(b"".join(encoded), np.int32))
-            yield with_column(batch, self.name, pa.ListArray.from_arrays(pa.array(offsets), values, mask=none))
+            for some in bounded_slices(batch, self.text):
+                texts = some.column(self.text).to_pylist()
+                if len(texts) == 1 and len(texts[0] or "") > BYTES_AT_ONCE // 4:
+                    encoded = [b"".join([ids for run in self.vocabulary.pre_token_runs(texts[0])
+                                         for ids in self._encoded([run], keys, known)])]
+                else:
+                    encoded = self._encoded([self.vocabulary.pre_tokens(t or "") for t in texts], keys, known)
+                offsets = np.zeros(len(texts) + 1, np.int32)
+                np.cumsum([len(e) // 4 for e in encoded], out=offsets[1:])
+                none = pa.array([t is None for t in texts], pa.bool_())
+                values = pa.array(np.frombuffer(b"".join(encoded), np.int32))
+                yield with_column(some, self.name, pa.ListArray.from_arrays(pa.array(offsets), values, mask=none))
+
+    @staticmethod
+    def _encoded(parts: list[list[str]], keys: PieceKeys, known: Remembered) -> list[bytes]:
+        every = set().union(*parts)
+        new = every.difference(known)
+        if known.make_room(new):
+            new = every
+        known.update(keys.encode_new(new))
+        return [b"".join(map(known.__getitem__, words)) for words in parts]
 
 
 class _Decoder:
@@ -149,25 +160,38 @@ class _Decoder:
         self.spelled, self.ids, self.name = spelled, ids, name
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = np.array([len(s) for s in self.spelled])
-        starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+        sizes = np.array([len(s) for s in self.spelled], np.int32)
+        starts = (np.cumsum(sizes) - sizes).astype(np.int32)
         letters = np.frombuffer(b"".join(self.spelled), np.uint8)
+
+        def spelled(ids: np.ndarray) -> bytes:
+            long = sizes[ids]
+            first = np.cumsum(long, dtype=np.int32) - long
+            return letters[np.arange(int(long.sum()), dtype=np.int32) + np.repeat(starts[ids] - first, long)].tobytes()
         for batch in batches:
             column = batch.column(self.ids)
-            texts = []
+            texts: list[str | None] = []
             for row in range(len(column)):
                 ids = column[row].values
                 if ids is None:
                     texts.append(None)
                     continue
                 ids = ids.to_numpy(zero_copy_only=False)
-                long = sizes[ids]
-                first = np.cumsum(long) - long
-                at = np.arange(int(long.sum())) + np.repeat(starts[ids] - first, long)
-                texts.append(letters[at].tobytes()[1:].decode("utf-8", "replace"))
+                pieces = [spelled(ids[at:at + IDS_AT_ONCE]) for at in range(0, len(ids), IDS_AT_ONCE)]
+                texts.append(b"".join(pieces)[1:].decode("utf-8", "replace"))
             yield with_column(batch, self.name, pa.array(texts, pa.string()))
 
 
+class _Both:
+    """One worker for both directions: each slice is decoded as soon as it is encoded."""
+
+    def __init__(self, encoder: _Encoder, decoder: _Decoder):
+        self.encoder, self.decoder = encoder, decoder
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return self.decoder(self.encoder(batches))
+
+
 def encode(docs: DataFrame, text: str = "text", name: str = "piece_ids", model: str = DEFAULT_MODEL) -> DataFrame:
     """The rows with their text as an array of piece ids."""
     return docs.mapInArrow(_Encoder(load_vocabulary(model), text, name),
@@ -177,3 +201,13 @@ def encode(docs: DataFrame, text: str = "text", name: str = "piece_ids", model:
 def decode(rows: DataFrame, ids: str = "piece_ids", name: str = "decoded", model: str = DEFAULT_MODEL) -> DataFrame:
     """The rows with the text that their piece ids spell."""
     return rows.mapInArrow(_Decoder(load_vocabulary(model).spelled, ids, name), schema_with(rows, name, T.StringType()))
+
+
+def encode_and_decode(docs: DataFrame, text: str = "text", ids: str = "piece_ids", decoded: str = "decoded",
+                      model: str = DEFAULT_MODEL) -> DataFrame:
+    """The rows with their text as an array of piece ids, and the text that these spell."""
+    vocabulary = load_vocabulary(model)
+    both = _Both(_Encoder(vocabulary, text, ids), _Decoder(vocabulary.spelled, ids, decoded))
+    with_ids = schema_with(docs, ids, T.ArrayType(T.IntegerType(), False))
+    kinds = T.StructType([f for f in with_ids.fields if f.name != decoded] + [T.StructField(decoded, T.StringType())])
+    return docs.mapInArrow(both, kinds)

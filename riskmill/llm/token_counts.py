@@ -3,8 +3,9 @@
 A batch's distinct pre-tokens form a trie; the forward score of a trie node is the best sum of piece scores that ends
 at its prefix, with the number of pieces that make it up, and is computed once for all pre-tokens that share the
 prefix. The sorted pre-tokens visit the nodes depth first, so only the path to the current node is in memory. The count
-at a terminal node is the pre-token's; it is remembered for later batches, up to a fixed number of pre-tokens, after
-which the memory starts anew. A text's count is the sum over its pre-tokens.
+at a terminal node is the pre-token's; it is remembered for later batches, up to a bound in bytes, after which the memory
+starts anew. A batch is worked through in slices of bounded bytes, a longer text by runs of its pre-tokens. A text's count
+is the sum over its pre-tokens.
 
 Counts are those of ``sentencepiece_codec.encode``. Null and empty texts have none; every other row gets its count, repeated
 rows each their own. Further columns stay; a column named like the result is replaced.
@@ -18,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from riskmill.llm.pieces import DEFAULT_MODEL, KEPT_WORDS, SPACE_MARK, Vocabulary, load_vocabulary
+from riskmill.llm.pieces import (BYTES_AT_ONCE, DEFAULT_MODEL, SPACE_MARK, Remembered, Vocabulary, bounded_slices,
+                                 load_vocabulary)
 
 
 def terminal_counts(words: Iterable[str], vocabulary: Vocabulary) -> dict[str, int]:
@@ -53,17 +55,25 @@ class _Counter:
         self.vocabulary, self.text, self.name = vocabulary, text, name
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
+        known = Remembered()
         for batch in batches:
-            parts = [self.vocabulary.pre_tokens(t or "") for t in batch.column(self.text).to_pylist()]
-            new = {w for words in parts for w in words if w not in known}
-            if len(known) + len(new) > KEPT_WORDS:
-                known, new = {}, {w for words in parts for w in words}
-            outside = {w for w in new if self.vocabulary.is_outside(w)}
-            known.update((w, len(w.encode("utf-8", "surrogatepass"))) for w in outside)
-            known.update(terminal_counts(new - outside, self.vocabulary))
-            counts = pa.array([sum(map(known.__getitem__, words)) for words in parts], pa.int64())
-            yield with_column(batch, self.name, counts)
+            for some in bounded_slices(batch, self.text):
+                texts = some.column(self.text).to_pylist()
+                if len(texts) == 1 and len(texts[0] or "") > BYTES_AT_ONCE // 4:
+                    counts = [sum(n for run in self.vocabulary.pre_token_runs(texts[0]) for n in self._counted([run], known))]
+                else:
+                    counts = self._counted([self.vocabulary.pre_tokens(t or "") for t in texts], known)
+                yield with_column(some, self.name, pa.array(counts, pa.int64()))
+
+    def _counted(self, parts: list[list[str]], known: Remembered) -> list[int]:
+        every = set().union(*parts)
+        new = every.difference(known)
+        if known.make_room(new):
+            new = every
+        outside = {w for w in new if self.vocabulary.is_outside(w)}
+        known.update((w, len(w.encode("utf-8", "surrogatepass"))) for w in outside)
+        known.update(terminal_counts(new - outside, self.vocabulary))
+        return [sum(map(known.__getitem__, words)) for words in parts]
 
 
 def with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import subprocess
+import sys
+from pathlib import Path
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from riskmill.llm import pieces, sentencepiece_codec, token_counts
@@ -78,3 +83,54 @@ def test_empty_tables(documents):
     docs = documents([])
     assert token_counts.count_tokens(docs).collect() == []
     assert sentencepiece_codec.decode(sentencepiece_codec.encode(docs)).collect() == []
+
+
+def texts_batch(texts):
+    return pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+
+@pytest.mark.parametrize("at_once, kept, run", [(1 << 20, 1 << 25, 1 << 16), (40, 1 << 25, 3), (64, 900, 2), (1, 1, 1)])
+def test_slices_runs_and_forgetting_change_nothing(vocabulary, monkeypatch, at_once, kept, run):
+    for module in (pieces, token_counts, sentencepiece_codec):
+        monkeypatch.setattr(module, "BYTES_AT_ONCE", at_once)
+    monkeypatch.setattr(pieces, "KEPT_BYTES", kept)
+    monkeypatch.setattr(pieces, "WORDS_AT_ONCE", run)
+    texts = TEXTS + [None] + [" ".join(f"wort{k % 13}schön" for k in range(40)), None, "tail"]
+    both = sentencepiece_codec._Both(sentencepiece_codec._Encoder(vocabulary, "text", "ids"),
+                                     sentencepiece_codec._Decoder(vocabulary.spelled, "ids", "decoded"))
+    rows = [r for b in both(iter([texts_batch(texts)])) for r in b.to_pylist()]
+    assert [r["doc_id"] for r in rows] == list(range(len(texts))) and [r["decoded"] for r in rows] == texts
+    wanted = [None if t is None else [i for w in vocabulary.pre_tokens(t) for i in vocabulary.best_path(w)] for t in texts]
+    assert [r["ids"] for r in rows] == wanted
+    counted = token_counts._Counter(vocabulary, "text", "n")(iter([texts_batch(texts)]))
+    assert [r["n"] for b in counted for r in b.to_pylist()] == [len(w or []) for w in wanted]
+
+
+PEAK = """
+import random, resource, sys
+import pyarrow as pa
+from riskmill.llm import pieces, sentencepiece_codec, token_counts
+rng = random.Random(1)
+words = ["".join(rng.choices("abcdefgh", k=7)) for _ in range(4000)]
+base = [" ".join(rng.choices(words, k=400)) for _ in range(200)]
+texts = [base[k % 200] for k in range(18_000)] + [" ".join(base * 6)]
+batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+assert batch.nbytes > 60_000_000
+del texts
+vocabulary = pieces.load_vocabulary()
+both = sentencepiece_codec._Both(sentencepiece_codec._Encoder(vocabulary, "text", "ids"),
+                                 sentencepiece_codec._Decoder(vocabulary.spelled, "ids", "decoded"))
+tool = {"codec": both, "counts": token_counts._Counter(vocabulary, "text", "n")}[sys.argv[1]]
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+rows = sum(b.num_rows for b in tool(iter([batch])))
+assert rows == 18_001
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+
+
+@pytest.mark.parametrize("tool", ["codec", "counts"])
+def test_memory_of_a_full_batch_is_bounded(tool):
+    root = Path(__file__).resolve().parents[2]
+    found = subprocess.run([sys.executable, "-c", PEAK, tool], capture_output=True, text=True, cwd=root, timeout=600)
+    assert found.returncode == 0, found.stderr[-2000:]
+    assert int(found.stdout) < 200
