@@ -43,7 +43,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    encoded = sentencepiece_codec.decode(sentencepiece_codec.encode(docs.select("doc_id", "source", "text")))
+    encoded = sentencepiece_codec.encode_and_decode(docs.select("doc_id", "source", "text"))
     return encoded.select("doc_id", "source", "piece_ids", F.size("piece_ids").cast("bigint").alias("n_pieces"),
                           F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
