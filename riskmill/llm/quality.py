@@ -32,6 +32,8 @@ START_GOOD = 0.8
 START_RATES = (0.02, 0.8, 0.2)
 LIMITS_GOOD, LIMITS_OWN, LIMITS_OTHER = (0.001, 0.02), (0.6, 0.99), (0.01, 0.99)
 LEAST_SHARE = 0.001
+# Repeated words are counted inside consecutive windows of so many words, as their share over a whole text grows with it.
+SAME_WINDOW = 1000
 POSITION_BITS = 28
 
 
@@ -71,7 +73,8 @@ def measures(docs: DataFrame, with_row: bool = False) -> DataFrame:
 
     n_repeat_words covers the words of 3-word windows that occur twice or more. Windows are compared as numbers made of
     a hash and the position, sorted; neighbours with equal hashes are checked word by word, and a text in which a hash
-    deceives is compared by the words themselves.
+    deceives is compared by the words themselves. n_same_words are the words that occurred before in their window of
+    ``SAME_WINDOW`` words; the windows follow each other through the whole text, so long texts fare like short ones.
     """
     text = whole_text()
     row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if with_row else []
@@ -109,7 +112,8 @@ def measures(docs: DataFrame, with_row: bool = False) -> DataFrame:
         F.size("lines").cast("bigint").alias("n_lines"),
         _removed(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "")).alias("n_capitals"),
         _removed(F.translate("text", "!?", "")).alias("n_marks"),
-        (F.size("words") - F.size(F.array_distinct("words"))).cast("bigint").alias("n_same_words"))
+        F.expr(f"aggregate(sequence(0, size(words) div {SAME_WINDOW}), 0L, (n, k) -> n + size(slice(words, k * {SAME_WINDOW} + 1, "
+               f"{SAME_WINDOW})) - size(array_distinct(slice(words, k * {SAME_WINDOW} + 1, {SAME_WINDOW}))))").alias("n_same_words"))
 
 
 def _removed(rest: Column) -> Column:

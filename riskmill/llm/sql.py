@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from riskmill.llm.mixing import CURRICULUM, MOST_REPEATS, SEED, WEIGHTS
-from riskmill.llm.quality import LEAST_SHARE, MEASURES, ROUNDS, RULES, START_GOOD, rate_limits, start_rate
+from riskmill.llm.quality import LEAST_SHARE, MEASURES, ROUNDS, RULES, SAME_WINDOW, START_GOOD, rate_limits, start_rate
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -47,7 +47,8 @@ measured AS (
            (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words,
            len(lines)::BIGINT AS n_lines, length(regexp_replace(text, '[^A-Z]', '', 'g'))::BIGINT AS n_capitals,
            length(regexp_replace(text, '[^!?]', '', 'g'))::BIGINT AS n_marks,
-           (len(words) - len(list_distinct(words)))::BIGINT AS n_same_words
+           list_sum(list_transform(range(0, len(words) // {SAME_WINDOW} + 1), lambda k: len(words[k * {SAME_WINDOW} + 1:(k + 1) * {SAME_WINDOW}])
+               - len(list_distinct(words[k * {SAME_WINDOW} + 1:(k + 1) * {SAME_WINDOW}]))))::BIGINT AS n_same_words
     FROM split LEFT JOIN covered USING (r)),
 voted AS MATERIALIZED (SELECT *, {votes} FROM measured),
 patterns AS MATERIALIZED (SELECT {names}, count(*) AS n FROM voted GROUP BY ALL),
@@ -71,11 +72,14 @@ ruled AS (
         WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/es/%' THEN 'net/es/'
         WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/fr/%' THEN 'net/fr/'
         WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/%' THEN 'com/' END AS rule,
-        CASE WHEN regexp_matches(lower(url), '[?&;](?:phpsessid|jsessionid|sid)=') THEN 'session'
-             WHEN regexp_matches(lower(url), '[?&]utm_source=feed(?:[&#]|$)') THEN 'feed-article'
-             WHEN regexp_matches(lower(url), '/(?:login|signin)(?:[/?#.]|$)') THEN 'log-in'
+        CASE WHEN regexp_matches(lower(url), '[?&]utm_source=feed(?:[&#]|$)') THEN 'feed-article'
+             WHEN regexp_matches(lower(url), '[?&]page=[0-9]+&ref=') THEN 'paged-referral'
+             WHEN regexp_matches(lower(url), '/signin(?:[/?#.]|$)') THEN 'sign-in'
+             WHEN regexp_matches(lower(url), '/login(?:[/?#.]|$)') THEN 'log-in'
              WHEN regexp_matches(lower(url), '/cart(?:[/?#.]|$)') THEN 'shopping-cart'
-             WHEN regexp_matches(lower(url), '[?&]page=[0-9]+&ref=') THEN 'paged-referral' END AS fitting
+             WHEN regexp_matches(lower(url), '[?&;]jsessionid=') THEN 'java-session'
+             WHEN regexp_matches(lower(url), '[?&;]phpsessid=') THEN 'php-session'
+             WHEN regexp_matches(lower(url), '[?&;]sid=') THEN 'session' END AS fitting
     FROM parts)
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'

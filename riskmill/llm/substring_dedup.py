@@ -3,7 +3,10 @@
 A text is read as its words with single spaces. A gear hash rolls over the bytes (each byte shifts it left and adds
 its entry of a table; 16 bits, so it knows the last 16 bytes), and a word is followed by a cut when the top
 ``CUT_BITS`` bits of the hash at its end are zero. Cuts depend on nothing before those 16 bytes: inserting or deleting
-text moves no other cut. Where no cut comes for ``LONGEST`` words, one is made.
+text moves no other cut. A few words repeated over and over show the hash the same bytes, so it may cut nowhere: where
+``CHUNK_WORDS`` words or more repeat the 1 to ``PERIODS`` words before them, cuts are made at the first and every
+``CHUNK_WORDS`` words from there, which depends on the repeats alone. Where no cut comes for ``LONGEST`` words otherwise, one
+is made.
 
 A chunk starts at every cut and ends at the first cut that is ``CHUNK_WORDS`` words or more away, so that chunks overlap
 and each is long enough to mean something: a short one would recur by chance in a large corpus. Chunks with equal
@@ -40,6 +43,7 @@ CUT_BITS = 2
 LONGEST = 64
 CHUNK_WORDS = 16
 LEAST_WORDS = 24
+PERIODS = 4
 NO_ID = (1 << 63) - 1
 GEAR = np.random.default_rng(2).integers(0, 1 << 16, 256).astype(np.uint16)
 SPACE = 0x20
@@ -55,6 +59,22 @@ def rolling_hash(data: np.ndarray) -> np.ndarray:
     return state
 
 
+def repeat_cuts(words: list[bytes]) -> list[np.ndarray]:
+    """Cuts where words repeat those 1 to ``PERIODS`` before them, counted from the first of the repeated words."""
+    if len(words) <= CHUNK_WORDS:
+        return []
+    known = np.fromiter(map(hash, words), np.int64, len(words))
+    found = []
+    for period in range(1, PERIODS + 1):
+        again = np.concatenate([[False], known[period:] == known[:-period], [False]])
+        edges = np.flatnonzero(again[1:] != again[:-1])
+        starts, ends = edges[::2], edges[1::2] + period
+        for start, end in zip(starts, ends):
+            if end - start >= CHUNK_WORDS:
+                found.append(np.arange(start, end, CHUNK_WORDS))
+    return found
+
+
 def chunks(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First words, numbers of words and signed digests of the chunks of a whole text."""
     words = text.encode("utf-8", "surrogatepass").split()
@@ -64,7 +84,7 @@ def chunks(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     state = rolling_hash(np.frombuffer(joined, np.uint8))[ends - 1]
     cut = np.flatnonzero(state >> np.uint16(16 - CUT_BITS) == 0) + 1
-    borders = np.unique(np.concatenate([[0], cut, [len(words)]]))
+    borders = np.unique(np.concatenate([[0], cut, *repeat_cuts(words), [len(words)]]))
     sizes = np.diff(borders)
     if len(sizes) and sizes.max() > LONGEST:
         extra = [np.arange(start + LONGEST, start + size, LONGEST) for start, size in zip(borders, sizes) if size > LONGEST]

@@ -13,8 +13,9 @@ Fitting is bounded: at most ``FIT_DOCS`` labelled documents of each label, chose
 dictionaries (at most ``FIT_WINDOWS`` distinct windows of each label) and half for the thresholds. These numbers are
 parameters. Scoring reads every text whole, window by window.
 
-Null and empty texts have one empty window and get its score. Without labels of both kinds nothing can be learnt, and
-every score is 0. A label is learnt from once for each row of a repeated id. Scores depend on the text alone; labels
+Null and empty texts have one empty window and get its score. Without labels of both kinds on documents that exist nothing
+can be learnt, and every score is 0; without words in the ordinary ones every word of the toxic ones tells. A label is
+learnt from once for each row of a repeated id, of which equal ones are counted together. Scores depend on the text alone; labels
 and all other columns are no input.
 """
 
@@ -31,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from riskmill.lineage import cut_lineage
 from riskmill.llm.common import whole_text
 
 WINDOW = 4
@@ -73,7 +75,7 @@ def telling_words(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
     bad, n_bad = _contexts(toxic)
     good, n_good = _contexts(ordinary)
     apart = {run for run, n in bad.items()
-             if n >= max(LEAST_CONTEXTS, LEAST_SHARE * n_bad) and n / n_bad >= LEAST_LIFT * (good[run] + 1) / n_good}
+             if n >= max(LEAST_CONTEXTS, LEAST_SHARE * n_bad) and n / n_bad >= LEAST_LIFT * (good[run] + 1) / max(n_good, 1)}
     return [b" " + word + b" " for sample in toxic for word in sample.split() if not apart.isdisjoint(_runs(word))]
 
 
@@ -165,18 +167,23 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, fit_window
     telling = telling_words(samples[1], samples[0])
     distances = Distances(dictionary(samples[0], ORDINARY_BYTES, 64), dictionary(telling, TOXIC_BYTES, 16))
 
-    measured = read.where("not for_words").select("toxic", "text").mapInPandas(
-        _Measure(distances), "toxic int, features array<double>").collect()
+    # Equal rows are counted where they are, so a repeated id takes no more room; of different ones at most fit_docs a label.
+    alike = cut_lineage(read.where("not for_words").select("toxic", "text").mapInPandas(
+        _Measure(distances), "toxic int, features array<double>").groupBy("toxic", "features").agg(F.count("*").alias("n")))
+    measured = [row for label in (0, 1) for row in alike.where(F.col("toxic") == label)
+                .orderBy(F.xxhash64("features"), "features").limit(fit_docs).collect()]
     if len({row.toxic for row in measured}) < 2:
         return None
-    ordered = sorted((row.toxic, tuple(row.features)) for row in measured)
-    labels_seen = np.array([label for label, _ in ordered], float)
-    features = np.array([f for _, f in ordered])
-    means, scales = features.mean(axis=0), features.std(axis=0) + 1e-9
+    ordered = sorted((row.toxic, tuple(row.features), row.n) for row in measured)
+    labels_seen = np.array([label for label, _, _ in ordered], float)
+    features = np.array([f for _, f, _ in ordered])
+    rows = np.array([n for _, _, n in ordered], float)
+    means = np.average(features, axis=0, weights=rows)
+    scales = np.average((features - means) ** 2, axis=0, weights=rows) ** 0.5 + 1e-9
     # Labels were sampled apart; each counts for those of its kind.
-    part = {label: (labels_seen == label).sum() / totals[label] for label in (0, 1)}
-    importance = np.array([1 / part[int(label)] for label in labels_seen])
-    importance *= len(importance) / importance.sum()
+    part = {label: rows[labels_seen == label].sum() / totals[label] for label in (0, 1)}
+    importance = rows * np.array([1 / part[int(label)] for label in labels_seen])
+    importance *= rows.sum() / importance.sum()
     return ToxicityModel(distances, means, scales, logistic((features - means) / scales, labels_seen, importance))
 
 

@@ -2,14 +2,16 @@
 
 A rule is a regular expression with the literal tokens (runs of a-z and 0-9, lower case) that every matching url has.
 How many urls hold each of these tokens is counted over all urls, and each rule is filed under its rarest one. The
-tokens of a url fetch the rules filed under them; only those rules run their expression. A rule without a token, or
-none of whose tokens occurs, can't be fetched wrongly: the first kind is tried on every url, the second on none.
+tokens of a url fetch the rules filed under them; only those rules run their expression. A rule none of whose tokens
+occurs is tried on no url. One without any token is tried on every url; none of the rules below is of this kind, an
+alternation of literals is a rule for each.
 
 Host rules fit a host and its subdomains when the path starts with the rule's path; the longest wins. Where none
 fits, pattern rules over the whole url decide, the longest pattern first, and last the default verdict.
 
 A null url, or one without ``://``, has an empty host and path and gets the default verdict unless a pattern fits.
-Repeated urls are judged once and joined back, so repeated pages keep all their rows. Further columns are ignored.
+Urls of any length are read whole. Repeated urls are judged once and joined back, so repeated pages keep all their rows.
+Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -50,8 +52,11 @@ SITE_RULES = (host_rule("com/", "allow"), host_rule("example.com/en/", "block"),
 # Pages that repeat others or hold no prose, wherever they are.
 PATTERN_RULES = (
     UrlRule("paged-referral", r"[?&]page=[0-9]+&ref=", ("page", "ref"), "block"),
-    UrlRule("session", r"[?&;](?:phpsessid|jsessionid|sid)=", (), "block"),
-    UrlRule("log-in", r"/(?:login|signin)(?:[/?#.]|$)", (), "block"),
+    UrlRule("session", r"[?&;]sid=", ("sid",), "block"),
+    UrlRule("php-session", r"[?&;]phpsessid=", ("phpsessid",), "block"),
+    UrlRule("java-session", r"[?&;]jsessionid=", ("jsessionid",), "block"),
+    UrlRule("log-in", r"/login(?:[/?#.]|$)", ("login",), "block"),
+    UrlRule("sign-in", r"/signin(?:[/?#.]|$)", ("signin",), "block"),
     UrlRule("shopping-cart", r"/cart(?:[/?#.]|$)", ("cart",), "block"),
     UrlRule("feed-article", r"[?&]utm_source=feed(?:[&#]|$)", ("utm", "source", "feed"), "allow"),
 )

@@ -190,3 +190,74 @@ def test_chunks_cover_the_text_and_resist_insertions():
     assert len(set(digests.tolist()) - set(moved.tolist())) <= 20
     _, sizes, _ = substring_dedup.chunks("x " * 5000)
     assert sizes.max() <= substring_dedup.LONGEST + substring_dedup.CHUNK_WORDS
+
+
+def plain_spans(rows, chunk=16, least=24, longest=64):
+    """Spans from chunks compared as words: the gear hash byte by byte, periods word by word. Ids are distinct."""
+    tables = {}
+    for doc, text, _ in rows:
+        words = (text or "").encode().split()
+        state, at, cuts = 0, 0, {0, len(words)}
+        for byte in b" ".join(words) + b" ":
+            if byte == 0x20:
+                at += 1
+                if state >> 14 == 0:
+                    cuts.add(at)
+            state = (2 * state + int(substring_dedup.GEAR[byte])) & 0xFFFF
+        for period in (1, 2, 3, 4):
+            k = period
+            while k < len(words):
+                start = k - period
+                while k < len(words) and words[k] == words[k - period]:
+                    k += 1
+                if k - start >= chunk and k - start > period:
+                    cuts.update(range(start, k, chunk))
+                k += 1
+        borders = sorted(cuts)
+        for a, b in zip(borders, borders[1:]):
+            cuts.update(range(a + longest, b, longest))
+        borders = sorted(cuts)
+        table = []
+        for a in borders[:-1] if words else []:
+            b = next((c for c in borders if c >= a + chunk), None)
+            if b is not None:
+                table.append((a, b, tuple(words[a:b])))
+        tables[doc] = table
+    holders = {}
+    for doc, table in tables.items():
+        for _, _, part in table:
+            holders.setdefault(part, set()).add(doc)
+    spans = set()
+    for doc, table in tables.items():
+        run = []
+        for k, (a, b, part) in enumerate(table + [(0, 0, None)]):
+            if part is not None and len(holders[part]) > 1:
+                run.append((a, b, min(holders[part])))
+                continue
+            if run and max(b for _, b, _ in run) - run[0][0] >= least:
+                spans.add((doc, run[0][0], max(b for _, b, _ in run) - run[0][0], min(f for _, _, f in run)))
+            run = []
+    return spans
+
+
+def test_spans_equal_chunks_compared_as_words(documents):
+    rng = random.Random(15)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=rng.randrange(1, 7))) for _ in range(30)]
+    passages = [" ".join(rng.choices(vocabulary, k=n)) for n in (20, 30, 51, 60, 200)] + ["m " * 60, "ab cd " * 40, "x y z " * 30]
+    rows = [(k, " ".join(" ".join(rng.choices(vocabulary, k=rng.randrange(40))) + " " + rng.choice(passages) for _ in range(3)), "s")
+            for k in range(60)] + [(90, None, "s"), (91, " ", "s"), (92, "q " * 400, "s"), (93, "q " * 300, "s")]
+    found = substring_dedup.repeated_spans(documents(rows)).collect()
+    assert {(r.doc_id, r.first_word, r.n_words, r.first_doc_id) for r in found} == plain_spans(rows)
+
+
+def test_passages_of_one_to_four_repeated_words_are_found(documents):
+    rng = random.Random(16)
+
+    def prose(n):
+        return " ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randrange(3, 9))) for _ in range(n))
+    units = [prose(n) for n in (1, 2, 3, 4) for _ in range(25)]
+    passages = [" ".join((unit.split() * 60)[:60]) for unit in units]
+    rows = [(2 * k + copy, prose(33 + 20 * copy) + " " + passage + " " + prose(30), "s")
+            for k, passage in enumerate(passages) for copy in range(2)]
+    found = {r.doc_id for r in substring_dedup.repeated_spans(documents(rows)).collect()}
+    assert len(found) >= 0.98 * len(rows)

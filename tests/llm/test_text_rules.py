@@ -63,6 +63,22 @@ def test_quality_of_odd_and_empty_tables(documents, odd_rows):
     assert quality.keep_good(documents([])).collect() == []
 
 
+def test_word_variety_does_not_fall_with_length(documents):
+    """Prose that is clean at a thousand words is clean at 400,000; a text that repeats itself is not."""
+    rng = random.Random(13)
+    vocabulary = ["".join(rng.choices("aeinrst", k=6)) for _ in range(5000)]
+    weights = [1 / (k + 3) for k in range(5000)]
+    long = " ".join(rng.choices(vocabulary, weights, k=400_000))
+    rows = [(k, " ".join(rng.choices(vocabulary, weights, k=300)), "s") for k in range(40)]
+    rows += [(100, long, "s"), (101, " ".join(["w1 w2 w3 w4 w5"] * 400), "s")]
+    measured = quality.measures(documents(rows))
+    same = {r.doc_id: (r.n_same_words, r.n_words) for r in measured.where("doc_id >= 100").collect()}
+    words = long.split()
+    assert same[100] == (sum(1000 - len(set(words[at:at + 1000])) for at in range(0, 400_000, 1000)), 400_000)
+    kept = {r.doc_id for r in quality.keep_good(documents(rows)).collect()}
+    assert kept == {*range(40), 100}
+
+
 def plain_targets(sizes, weights=(1, 2, 3)):
     order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     weight = {s: weights[k % len(weights)] for k, s in enumerate(order)}
@@ -146,6 +162,12 @@ def test_urls(spark):
     assert urls.judge_urls(pages.limit(0)).collect() == []
 
 
+def test_every_rule_is_fetched_by_a_token():
+    rules = urls.SITE_RULES + urls.PATTERN_RULES
+    assert all(rule.tokens for rule in rules) and len({rule.name for rule in rules}) == len(rules)
+    assert len({len(rule.regex) for rule in urls.PATTERN_RULES}) == len(urls.PATTERN_RULES)  # the longest pattern is one
+
+
 def test_rules_are_filed_under_their_rarest_token(spark):
     pages = spark.createDataFrame([(k, f"http://common.org/rare{k}") for k in range(5)], "page_id long, url string")
     rule = urls.UrlRule("one", "common.*rare3", ("common", "rare3"), "block")
@@ -178,3 +200,56 @@ def test_toxicity_learns_words_and_ranks_held_out_texts(spark):
     assert sum(pairs) / len(pairs) > 0.95
     assert toxicity.fit(docs, labels.where("toxic = 0")) is None
     assert {r.score for r in toxicity.score(docs, None).collect()} == {0.0}
+
+
+def tiny_docs(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string"), \
+        spark.createDataFrame([(i, int(i % 2 == 1)) for i, _ in rows if i is not None], "doc_id long, toxic int")
+
+
+def test_toxicity_without_ordinary_words_or_documents(spark):
+    assert toxicity.telling_words([b" a b c d "], []) == [] and toxicity.telling_words([], [b" a "]) == []
+    docs, labels = tiny_docs(spark, [(i, "vile words here" if i % 2 else None) for i in range(40)])
+    model = toxicity.fit(docs, labels)
+    assert all(0 <= r.score <= 1 for r in toxicity.score(docs, model).collect())
+    gone = labels.unionByName(labels.where("toxic = 1").selectExpr("doc_id + 1000 as doc_id", "0 as toxic"))
+    assert toxicity.fit(docs.where("doc_id % 2 = 1"), gone) is None
+    assert toxicity.fit(docs.limit(0), labels) is None and toxicity.fit(docs, labels.limit(0)) is None
+    assert toxicity.score(docs.limit(0), model).collect() == []
+
+
+def test_a_repeated_id_is_one_row_for_the_fit(spark):
+    rows = [(i, f"plain text number {i} " + ("grotzkin vilequx" if i % 2 else "quiet")) for i in range(60)]
+    docs, labels = tiny_docs(spark, rows)
+    hot = docs.unionByName(docs.where("doc_id = 6").crossJoin(spark.range(300)).select("doc_id", "text"))
+    one, many, few = toxicity.fit(docs, labels), toxicity.fit(hot, labels), toxicity.fit(hot, labels, fit_docs=9, fit_windows=50)
+    assert (toxicity.fit(docs, labels).weights == one.weights).all()
+    for model in (many, few):
+        assert all(0 <= r.score <= 1 for r in toxicity.score(docs, model).collect())
+
+
+def plain_features(model, text):
+    """Windows one by one, compressed afresh behind each dictionary."""
+    import zstandard
+
+    words = (text or "").encode().lower().split()
+    parts = [b" " + b" ".join(words[at:at + 4]) + b" " for at in range(0, len(words), 4)] or [b""]
+    saved = []
+    for part in parts:
+        sizes = []
+        for content in model.distances.contents:
+            data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            sizes.append(len(zstandard.ZstdCompressor(level=3, dict_data=data, write_content_size=False, write_dict_id=False,
+                                                      write_checksum=False).compress(part)))
+        saved.append(sizes[0] - sizes[1])
+    return [max(saved)] + [min(3, sum(s >= k for s in saved)) for k in (2, 3, 4)] \
+        + [(sum(s >= 3 for s in saved) / len(saved)) ** 0.5, math.log(len(saved))]
+
+
+def test_scores_equal_plain_compression(spark):
+    rows = [(i, f"text {i} of plain words " * (1 + i % 4) + ("zapfjut grotzkin" if i % 2 else "")) for i in range(50)] + [(77, None), (78, "")]
+    docs, labels = tiny_docs(spark, rows)
+    model = toxicity.fit(docs, labels)
+    for r in toxicity.score(docs, model).collect():
+        measured = (plain_features(model, r.text) - model.means) / model.scales
+        assert r.score == pytest.approx(1 / (1 + math.exp(-(sum(measured * model.weights[:-1]) + model.weights[-1]))), rel=1e-9)
