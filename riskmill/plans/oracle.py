@@ -9,6 +9,7 @@ from riskmill.functions.features import FEATURES
 from riskmill.operators.review import POISSON_ONE
 from riskmill.params import FOLD_BOUNDARIES, NEGATIVES_PER_POSITIVE
 from riskmill.plans import base
+from riskmill.plans.storage import STREAM_PARTS, TELEMETRY_HOURS
 
 DEC = "DECIMAL(28,6)"
 
@@ -706,3 +707,33 @@ _add("t1_stream_scoring", f"SELECT row_id, state_hit, {_SERVED['dest_prior_txn_c
      f"{_SERVED['dest_txn_count_24h']} AS dest_txn_count_24h FROM found", "found")
 _add("t2_stream_history", "SELECT row_id, dest_prior_txn_count, dest_prior_avg_amount, dest_txn_count_24h, dest_amount_sum_24h "
      "FROM features", "features")
+_add("a6_audit_sink", """
+    , known AS (SELECT DISTINCT nameDest FROM ledger, cuts WHERE step <= cuts[%d] AND nameDest NOT LIKE 'M%%')
+    SELECT 'prediction' AS event, 'row-' || row_id AS request_id, 'linear' AS model_version, 'v1' AS bundle_version,
+        %se0 AS threshold, score, flagged, decision, k.nameDest IS NOT NULL AS state_hit, 'sha256:' || sha256(%s) AS feature_hash
+    FROM decided JOIN (SELECT row_id, nameDest FROM ledger) l USING (row_id) LEFT JOIN known k ON k.nameDest = l.nameDest""" % (
+    base.FOLDS, base.DECISION_THRESHOLD,
+    " || '|' || ".join(f"CAST(CAST(floor(CAST({n} AS DOUBLE) * 1e6) AS BIGINT) AS VARCHAR)" for n in FEATURES)),
+     "decided", "ledger", "cuts")
+_add("a7_upload_columns", """
+    SELECT upload, missing, unexpected, CASE WHEN upload = 'complete' THEN (SELECT count(*) FROM ledger) ELSE 0 END AS n_rows
+    FROM (VALUES ('complete', '', ''), ('incomplete', 'amount,nameDest', ''), ('labelled', '', 'isFraud')) u(upload, missing, unexpected)
+    """, "ledger")
+# The watermark before a part is the latest time that arrived with earlier parts, less the delay.
+_add("t3_rolling_telemetry", f"""
+    , span AS (SELECT min(step) AS low, max(step) - min(step) + 1 AS hours FROM ledger),
+    timed AS (SELECT *, (step - low) * {STREAM_PARTS} // hours AS part, 2 * (hours // {STREAM_PARTS} + 1) AS delay,
+            step // {TELEMETRY_HOURS} * {TELEMETRY_HOURS} AS window_step FROM found, span),
+    sent AS (SELECT *, CASE WHEN row_id % 50 = 7 AND part <= 2 THEN {STREAM_PARTS - 1}
+            WHEN row_id % 10 = 3 AND part < {STREAM_PARTS - 1} THEN part + 1 ELSE part END AS arrival FROM timed),
+    marks AS (SELECT arrival, max(max(step)) OVER (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen
+        FROM sent GROUP BY arrival),
+    told AS (SELECT *, {_RULE} AS rule FROM (SELECT row_id, arrival, window_step, delay, txn_count_24h, {", ".join(
+        f"{sql} AS {n}" for n, sql in _stateless_sql().items())} FROM sent)),
+    counted AS (SELECT window_step, any_value(delay) AS delay, count(*) AS n_scored, count(rule) AS n_blocked,
+            count(*) FILTER (WHERE rule IS NULL AND txn_count_24h > 3) AS n_flagged,
+            count(*) FILTER (WHERE rule IS NULL AND txn_count_24h <= 3) AS n_passed
+        FROM told JOIN marks USING (arrival) WHERE seen IS NULL OR window_step + {TELEMETRY_HOURS} > seen - delay
+        GROUP BY window_step)
+    SELECT window_step, n_scored, n_blocked, n_flagged, n_passed FROM counted
+    WHERE window_step + {TELEMETRY_HOURS} <= (SELECT max(step) FROM ledger) - delay""", "found")

@@ -7,7 +7,9 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskmill.functions.rules import default_rules
@@ -21,6 +23,11 @@ from riskmill.sources import ledger as ledgers
 from riskmill.sources import sinks
 from riskmill.streaming import history, scoring
 
+STREAM_PARTS = 10
+TELEMETRY_HOURS = 6
+# More than a part has files, so that each run of a stream over a new part is one micro-batch.
+FILES_PER_BATCH = 1 << 20
+
 HISTORY = ("dest_prior_txn_count", "dest_prior_avg_amount", "dest_txn_count_24h", "dest_amount_sum_24h")
 
 
@@ -69,38 +76,89 @@ def a6_audit_sink(spark, sf_dir):
     return spark.read.schema(records.schema).json(path)
 
 
-def _arriving(spark: SparkSession, sf_dir: str) -> str:
-    """The ledger as files that arrive in the order of their steps."""
-    rows = base.ledger(spark, sf_dir)
-    edges = rows.agg(F.expr("percentile_approx(step, array(0.25, 0.5, 0.75))").alias("e")).first().e
-    root = _folder(spark, "arriving")
-    for number, (low, high) in enumerate(zip([-1, *edges], [*edges, None])):
-        part = rows.where((F.col("step") > low) & (F.lit(True) if high is None else F.col("step") <= high))
-        part.select("row_id", *ledgers.LEDGER_COLUMNS).coalesce(1).write.parquet(f"{root}/part{number}")
-    return f"{root}/*"
+def a7_upload_columns(spark, sf_dir):
+    """Three uploads of the ledger as CSV: what their headers lack or have too much, and the rows admitted of each."""
+    rows = base.ledger(spark, sf_dir).select(*ledgers.REQUEST_COLUMNS)
+    uploads = {"complete": rows, "incomplete": rows.drop("amount", "nameDest"), "labelled": rows.withColumn("isFraud", F.lit(0))}
+    root = _folder(spark, "uploads")
+    for name, upload in uploads.items():
+        upload.write.option("header", True).csv(f"{root}/{name}")
+    return ledgers.upload_report(spark, {name: f"{root}/{name}" for name in uploads})
+
+
+def _in_parts(rows: DataFrame, parts: int) -> DataFrame:
+    """The rows with ``arrival``, the part of the ledger's time, all parts of one length."""
+    span = rows.agg(F.min("step").alias("low"), F.max("step").alias("high")).first()
+    low, length = (span.low or 0), (span.high or 0) - (span.low or 0) + 1
+    return rows.withColumn("arrival", F.expr(f"((step - {low}) * {parts}) DIV {length}"))
+
+
+def _feed(rows: DataFrame, root: str, parts: int, advance: Callable[[str], None]) -> None:
+    """Files arrive part by part in a watched folder, and ``advance`` runs after each; a part has many files."""
+    spark = rows.sparkSession
+    rows.write.partitionBy("arrival").parquet(f"{root}/sent")
+    sent = spark.read.parquet(f"{root}/sent")
+    for number in range(parts):
+        sent.where(F.col("arrival") == number).drop("arrival").write.parquet(f"{root}/in/part{number}")
+        advance(f"{root}/in/*")
+
+
+def _transactions(spark: SparkSession, sf_dir: str, parts: int) -> DataFrame:
+    return _in_parts(base.ledger(spark, sf_dir).select("row_id", *ledgers.LEDGER_COLUMNS), parts)
+
+
+def _stream_decisions(spark: SparkSession, path: str, snapshot: DataFrame) -> DataFrame:
+    return scoring.score_transactions(scoring.read_transactions(spark, path, files_per_trigger=FILES_PER_BATCH), snapshot,
+                                      F.col("dest_txn_count_24h") > 3, default_rules(base.HARD_BLOCK_AMOUNT))
 
 
 def t1_stream_scoring(spark, sf_dir):
     """Rows scored against a snapshot as they arrive: whose destination was known, and the features served."""
-    rows = base.ledger(spark, sf_dir)
-    snapshot = state.destination_snapshot(rows)
-    stream = scoring.score_transactions(scoring.read_transactions(spark, _arriving(spark, sf_dir)), snapshot,
-                                        F.col("dest_txn_count_24h") > 3, default_rules(base.HARD_BLOCK_AMOUNT))
+    snapshot = state.destination_snapshot(base.ledger(spark, sf_dir))
     root = _folder(spark, "scored")
-    scoring.start_scoring(stream, f"{root}/out", f"{root}/progress").awaitTermination()
+    _feed(_transactions(spark, sf_dir, 4), root, 4, lambda path: scoring.start_scoring(
+        _stream_decisions(spark, path, snapshot), f"{root}/out", f"{root}/progress").awaitTermination())
     return spark.read.parquet(f"{root}/out").select("row_id", "state_hit", "dest_prior_txn_count", "dest_txn_count_24h")
 
 
 def t2_stream_history(spark, sf_dir):
-    """The four history values carried over micro-batches of one file each."""
+    """The four history values, carried in the state store over ten runs of one micro-batch each."""
     root = _folder(spark, "history")
-    arriving = scoring.read_transactions(spark, _arriving(spark, sf_dir), files_per_trigger=1)
-    history.start_history(arriving, root).awaitTermination()
+    _feed(_transactions(spark, sf_dir, STREAM_PARTS), root, STREAM_PARTS, lambda path: history.start_history(
+        scoring.read_transactions(spark, path, files_per_trigger=FILES_PER_BATCH), root).awaitTermination())
     return spark.read.parquet(f"{root}/history").select("row_id", *HISTORY)
 
 
+def t3_rolling_telemetry(spark, sf_dir):
+    """Decisions per window of six hours. Of ten parts of the ledger's time, one row in ten arrives a part late and
+    counts; one in fifty of the first three arrives with the last, behind the watermark, and doesn't."""
+    ledger = base.ledger(spark, sf_dir)
+    snapshot = state.destination_snapshot(ledger)
+    last = STREAM_PARTS - 1
+    late = F.when((F.col("row_id") % 50 == 7) & (F.col("arrival") <= 2), last) \
+        .when((F.col("row_id") % 10 == 3) & (F.col("arrival") < last), F.col("arrival") + 1).otherwise(F.col("arrival"))
+    rows = _transactions(spark, sf_dir, STREAM_PARTS).withColumn("arrival", late.cast("bigint"))
+    span = ledger.agg((F.max("step") - F.min("step") + 1).alias("hours")).first().hours or 0
+    root = _folder(spark, "telemetry")
+
+    def advance(path: str) -> None:
+        decided = _stream_decisions(spark, path, snapshot).withColumn("event_time", F.timestamp_seconds(F.col("step") * 3600))
+        counted = scoring.decision_telemetry(decided, late_by=f"{late_hours(span)} hours", width=f"{TELEMETRY_HOURS} hours")
+        scoring.start_telemetry(counted, f"{root}/out", f"{root}/progress").awaitTermination()
+    _feed(rows, root, STREAM_PARTS, advance)
+    made = spark.read.parquet(f"{root}/out")
+    return made.select((F.unix_timestamp("window_start") / 3600).cast("bigint").alias("window_step"),
+                       "n_scored", "n_blocked", "n_flagged", "n_passed")
+
+
+def late_hours(span: int) -> int:
+    """A delay of two of the parts that arrive."""
+    return 2 * (span // STREAM_PARTS + 1)
+
+
 QUERIES: dict[str, Query] = {
     "a1_ingest": a1_ingest, "a2_materialize": a2_materialize, "a4_snapshot_sink": a4_snapshot_sink,
-    "a5_result_tables": a5_result_tables, "a6_audit_sink": a6_audit_sink, "t1_stream_scoring": t1_stream_scoring,
-    "t2_stream_history": t2_stream_history,
+    "a5_result_tables": a5_result_tables, "a6_audit_sink": a6_audit_sink, "a7_upload_columns": a7_upload_columns,
+    "t1_stream_scoring": t1_stream_scoring, "t2_stream_history": t2_stream_history,
+    "t3_rolling_telemetry": t3_rolling_telemetry,
 }

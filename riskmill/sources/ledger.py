@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,3 +64,23 @@ def require_columns(present: Iterable[str], required: Iterable[str], allow_extra
     extra = [name for name in have if name not in need]
     if extra and not allow_extra:
         raise ValueError(f"unexpected columns: {', '.join(extra)}")
+
+
+def upload_report(spark: SparkSession, uploads: Mapping[str, str], required: Iterable[str] = REQUEST_COLUMNS) -> DataFrame:
+    """(upload, missing, unexpected, n_rows) for CSV uploads by name: only headers decide, and only the rows of an upload
+    with exactly the required columns are read, against the fixed schema."""
+    need = list(required)
+    kinds = {field.name: field for field in LEDGER_SCHEMA}
+    reports = None
+    for name, path in uploads.items():
+        have = spark.read.option("header", True).csv(path).columns
+        missing, unexpected = [c for c in need if c not in have], [c for c in have if c not in need]
+        report = spark.range(1)
+        if not missing and not unexpected:
+            schema = T.StructType([kinds[c] for c in have])
+            report = spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
+        made = report.agg(F.count("*").alias("n_rows")).select(
+            F.lit(name).alias("upload"), F.lit(",".join(missing)).alias("missing"), F.lit(",".join(unexpected)).alias("unexpected"),
+            (F.col("n_rows") if report.columns != ["id"] else F.lit(0).cast("bigint")).alias("n_rows"))
+        reports = made if reports is None else reports.unionByName(made)
+    return reports

@@ -78,8 +78,12 @@ def write_tables(tables: Mapping[str, DataFrame], root: str, fmt: str = "parquet
 
 
 def feature_digest() -> Column:
-    """SHA-256 over the ordered feature vector: traceable without storing the values."""
-    return F.concat(F.lit("sha256:"), F.sha2(F.to_json(feature_vector()), 256))
+    """SHA-256 over the ordered feature vector: traceable without storing the values.
+
+    Values enter as whole millionths, rounded down, which every engine writes alike.
+    """
+    millionths = F.transform(feature_vector(), lambda x: F.floor(x * F.lit(1e6)).cast("bigint").cast("string"))
+    return F.concat(F.lit("sha256:"), F.sha2(F.array_join(millionths, "|", "null"), 256))
 
 
 def audit_records(decided: DataFrame, model_version: str, bundle_version: str, threshold: float) -> DataFrame:

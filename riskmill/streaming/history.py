@@ -1,86 +1,125 @@
-"""Destination history carried across micro-batches.
+"""Destination history carried across micro-batches in Spark's state store, one state per destination.
 
-Each micro-batch is an ordinary DataFrame, so the history operator with its protection against hot destinations does
-the work inside the batch, and totals per destination and step supply what came before. A batch writes only what it
-adds to them, under its number; when it is retried after a failure it overwrites its own files and nothing else. Rows are processed on arrival: a row that comes late sees what had arrived by then.
+A destination's state is what its rows so far add up to, and the totals of its latest steps, from which the 24-hour
+values come. A batch touches the state of its own destinations only; nothing that earlier batches wrote is read again. The
+state store is RocksDB: states live on the executors' disks, their changes in the checkpoint folder, from which a lost
+executor's part is restored. A batch that is retried starts from the states before it.
+
+Rows are processed on arrival: inside a batch in the order of (step, row_id), and a row that comes late sees what had
+arrived by then. Steps stay in the state for ``late_hours`` beyond the 24 hours; a row that is later still finds
+fewer 24-hour totals, while its prior counts stay complete.
+
+Rows of one destination in one batch meet in one task, so a batch, which ``maxFilesPerTrigger`` bounds, bounds what a hot
+destination brings at once. Its state is two numbers and a list of steps, however many rows it has.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+from decimal import Decimal
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from riskmill.functions.numeric import exact
-from riskmill.operators.history import HOT_ROWS, ROW_BLOCK, with_history
+from riskmill.operators.history import history_features
 from riskmill.params import VELOCITY_HOURS
 
-STATE_DDL = "name_dest string, at_step long, seen_rows long, seen_total decimal(38,6)"
-# Every so many batches the totals so far are folded into one table, so that a batch never reads more small ones.
-FOLD_EVERY = 16
-
-
-def state_before(spark: SparkSession, root: str, batch: int) -> DataFrame:
-    """What arrived before this batch, as totals per destination and step: the last fold and the batches after it."""
-    return _stored(spark, root, batch, batch - batch % FOLD_EVERY)
-
-
-def _stored(spark: SparkSession, root: str, batch: int, folded: int) -> DataFrame:
-    paths = [f"{root}/state/batch={number}" for number in range(folded, batch)]
-    if folded:
-        paths.append(f"{root}/folded/before={folded}")
-    return spark.read.schema(STATE_DDL).parquet(*paths) if paths else spark.createDataFrame([], STATE_DDL)
-
-
-def batch_history(rows: DataFrame, state: DataFrame, hot_rows: int = HOT_ROWS, row_block: int = ROW_BLOCK) -> DataFrame:
-    """The four history values of every row: what earlier batches brought plus earlier rows of this batch.
-
-    Only totals per destination and step meet: those of the state with the steps that the batch has of a destination.
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STORE_SETTING = "spark.sql.streaming.stateStore.providerClass"
+# Steps that stay beyond the window, for rows that come late.
+LATE_HOURS = 7 * 24
+
+STATE_DDL = "seen_rows long, seen_total decimal(38,6), steps array<long>, step_rows array<long>, step_totals array<decimal(38,6)>"
+OUTPUT_DDL = ("row_id long, step long, nameDest string, amount double, prior_rows long, prior_total decimal(38,6), "
+              "recent_rows long, recent_total decimal(38,6)")
+NONE = Decimal(0)
+
+
+class Past:
+    """What a destination's rows so far add up to."""
+
+    def __init__(self, seen_rows: int = 0, seen_total: Decimal = NONE, steps: dict[int, tuple[int, Decimal]] | None = None):
+        self.seen_rows, self.seen_total, self.steps = seen_rows, seen_total, dict(steps or {})
+
+    @classmethod
+    def stored(cls, value: tuple | None) -> Past:
+        if value is None:
+            return cls()
+        rows, total, steps, step_rows, step_totals = value
+        return cls(rows, total, dict(zip(steps, zip(step_rows, step_totals))))
+
+    def value(self) -> tuple:
+        steps = sorted(self.steps)
+        return self.seen_rows, self.seen_total, steps, [self.steps[s][0] for s in steps], [self.steps[s][1] for s in steps]
+
+    def recent(self, step: int) -> tuple[int, Decimal]:
+        """Rows and total of the 24 steps before this one."""
+        found = [self.steps[s] for s in range(step - VELOCITY_HOURS, step) if s in self.steps]
+        return sum(n for n, _ in found), sum((t for _, t in found), NONE)
+
+    def take(self, rows: Iterator[tuple[int, int, float, Decimal]]) -> Iterator[tuple]:
+        """Each row (step, row_id, amount, exact amount) in order with what came before it; it is added then."""
+        # Rows of a step don't see each other in the 24-hour values, so one look back serves the whole step.
+        step, back = None, (0, NONE)
+        for at, row_id, amount, value in rows:
+            if at != step:
+                step, back = at, self.recent(at)
+            yield row_id, at, amount, self.seen_rows, self.seen_total, *back
+            n, total = self.steps.get(at, (0, NONE))
+            self.steps[at] = (n + 1, total + value)
+            self.seen_rows += 1
+            self.seen_total += value
+
+    def forget(self, late_hours: int) -> None:
+        if self.steps:
+            oldest = max(self.steps) - VELOCITY_HOURS - late_hours
+            self.steps = {step: sums for step, sums in self.steps.items() if step >= oldest}
+
+
+class DestinationHistory(StatefulProcessor):
+    def __init__(self, late_hours: int):
+        self.late_hours = late_hours
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("past", STATE_DDL)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        """One look at the state and one update for all rows of the destination in the batch."""
+        batch = pd.concat(list(rows), ignore_index=True).sort_values(["step", "row_id"])
+        past = Past.stored(self.state.get() if self.state.exists() else None)
+        made = past.take(zip(batch["step"].tolist(), batch["row_id"].tolist(), batch["amount"].tolist(), batch["value"].tolist()))
+        out = pd.DataFrame(made, columns=["row_id", "step", "amount", "prior_rows", "prior_total", "recent_rows", "recent_total"])
+        out.insert(2, "nameDest", key[0])
+        past.forget(self.late_hours)
+        self.state.update(past.value())
+        yield out
+
+    def close(self) -> None:
+        pass
+
+
+def with_carried_history(transactions: DataFrame, late_hours: int = LATE_HOURS) -> DataFrame:
+    """A stream of (row_id, step, nameDest, amount) rows with the four history values of each."""
+    rows = transactions.select("row_id", "step", "nameDest", "amount", exact("amount").alias("value"))
+    carried = rows.groupBy("nameDest").transformWithStateInPandas(DestinationHistory(late_hours), OUTPUT_DDL, "Append", "None")
+    made = history_features()
+    return carried.select("row_id", "step", "nameDest", "amount", *[made[name].alias(name) for name in (
+        "dest_prior_txn_count", "dest_prior_avg_amount", "dest_txn_count_24h", "dest_amount_sum_24h")])
+
+
+def start_history(transactions: DataFrame, root: str, late_hours: int = LATE_HOURS) -> StreamingQuery:
+    """Append the history of all rows that have arrived to ``root/history``; the state is kept in ``root/checkpoint``.
+
+    Starting again with the same folder goes on where the last run stopped.
     """
-    local = with_history(rows, hot_rows, row_block)
-    asked = rows.select("nameDest", "step").distinct()
-    recent = (F.col("at_step") < F.col("step")) & (F.col("at_step") >= F.col("step") - VELOCITY_HOURS)
-    brought = asked.join(state, F.col("nameDest") == F.col("name_dest")).groupBy("nameDest", "step").agg(
-        F.sum("seen_rows").alias("_rows"), F.sum("seen_total").alias("_total"),
-        F.sum(F.when(recent, F.col("seen_rows"))).alias("_rows_24h"), F.sum(F.when(recent, F.col("seen_total"))).alias("_total_24h"))
-    joined = local.join(brought, ["nameDest", "step"], "left")
-
-    def both(own: str, before: str) -> Column:
-        return F.coalesce(own, F.lit(0)) + F.coalesce(before, F.lit(0))
-
-    count = both("prior_rows", "_rows")
-    return joined.select(
-        "row_id", "step", "nameDest", "amount", count.alias("dest_prior_txn_count"),
-        F.when(count > 0, both("prior_total", "_total").cast("double") / count).otherwise(F.lit(0.0)).alias("dest_prior_avg_amount"),
-        both("recent_rows", "_rows_24h").alias("dest_txn_count_24h"),
-        both("recent_total", "_total_24h").cast("double").alias("dest_amount_sum_24h"))
-
-
-def batch_totals(rows: DataFrame) -> DataFrame:
-    """What a batch adds to the state."""
-    return rows.groupBy(F.col("nameDest").alias("name_dest"), F.col("step").alias("at_step")).agg(
-        F.count("*").alias("seen_rows"), F.sum(exact("amount")).cast("decimal(38,6)").alias("seen_total"))
-
-
-def fold(state: DataFrame) -> DataFrame:
-    return state.groupBy("name_dest", "at_step").agg(
-        F.sum("seen_rows").alias("seen_rows"), F.sum("seen_total").cast("decimal(38,6)").alias("seen_total"))
-
-
-def start_history(transactions: DataFrame, root: str, hot_rows: int = HOT_ROWS,
-                  row_block: int = ROW_BLOCK) -> StreamingQuery:
-    """Write history per micro-batch to ``root/history`` and its totals to ``root/state``, on shared storage."""
-
-    def process(rows: DataFrame, batch: int) -> None:
-        spark = rows.sparkSession
-        rows = rows.persist()  # read once; a lost executor reads its part again
-        state = state_before(spark, root, batch)
-        batch_history(rows, state, hot_rows, row_block).write.mode("overwrite").parquet(f"{root}/history/batch={batch}")
-        batch_totals(rows).write.mode("overwrite").parquet(f"{root}/state/batch={batch}")
-        if (batch + 1) % FOLD_EVERY == 0:
-            whole = _stored(spark, root, batch + 1, batch + 1 - FOLD_EVERY)
-            fold(whole).write.mode("overwrite").parquet(f"{root}/folded/before={batch + 1}")
-        rows.unpersist()
-
-    return transactions.writeStream.foreachBatch(process).option("checkpointLocation", f"{root}/checkpoint") \
-        .trigger(availableNow=True).start()
+    conf = transactions.sparkSession.conf
+    before = conf.get(STORE_SETTING)
+    conf.set(STORE_SETTING, ROCKS_DB)
+    try:
+        return with_carried_history(transactions, late_hours).writeStream.format("parquet").outputMode("append") \
+            .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start(f"{root}/history")
+    finally:
+        conf.set(STORE_SETTING, before)

@@ -47,3 +47,9 @@ def decision_telemetry(decided: DataFrame, time: str = "event_time", late_by: st
         F.count_if(F.col("decision") == "PASS").alias("n_passed"),
     )
     return counted.select(F.col("window.start").alias("window_start"), "n_scored", "n_blocked", "n_flagged", "n_passed")
+
+
+def start_telemetry(counted: DataFrame, output: str, checkpoint: str) -> StreamingQuery:
+    """Append the windows that the watermark has closed, each once; open ones stay in the state store."""
+    return counted.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint) \
+        .trigger(availableNow=True).start(output)

@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import random
+from decimal import Decimal
+
 import pytest
 from ledger_cases import rows_of
 from pyspark.sql import functions as F
@@ -40,26 +43,58 @@ def test_stream_scores_like_the_batch(spark, ledger, arriving, tmp_path):
     assert made == rows_of(batch, *names) and len({row[1] for row in made}) == 3
 
 
-@pytest.mark.parametrize("hot_rows,fold_every", [(10**9, 16), (20, 2)])
-def test_history_across_batches_equals_one_batch(spark, ledger, arriving, tmp_path, monkeypatch, hot_rows, fold_every):
-    monkeypatch.setattr(history, "FOLD_EVERY", fold_every)
+CARRIED = ("row_id", "dest_prior_txn_count", "dest_prior_avg_amount", "dest_txn_count_24h", "dest_amount_sum_24h")
+
+
+def test_history_across_batches_equals_one_batch(spark, ledger, arriving, tmp_path):
     transactions = scoring.read_transactions(spark, arriving, files_per_trigger=1)
-    history.start_history(transactions, str(tmp_path), hot_rows=hot_rows, row_block=16).awaitTermination()
+    query = history.start_history(transactions, str(tmp_path))
+    query.awaitTermination()
+    assert len([p for p in query.recentProgress if p.numInputRows]) == 4
     made = spark.read.parquet(str(tmp_path / "history"))
-    assert made.select("batch").distinct().count() == 4
-    names = ("row_id", "dest_prior_txn_count", "dest_prior_avg_amount", "dest_txn_count_24h", "dest_amount_sum_24h")
-    assert rows_of(made, *names) == rows_of(build_features(ledger), *names)
-
-
-def test_state_is_what_batches_add(spark, six, tmp_path):
-    history.batch_totals(six).write.parquet(str(tmp_path / "state" / "batch=0"))
-    history.batch_totals(six).write.parquet(str(tmp_path / "state" / "batch=1"))
-    folded = history.fold(history.state_before(spark, str(tmp_path), 2)).where("name_dest = 'C1'")
-    assert {r.at_step: (r.seen_rows, float(r.seen_total)) for r in folded.collect()} == {
-        0: (4, 300.0), 10: (2, 400.0), 30: (2, 800.0)}
-    with pytest.raises(Exception):
-        history.state_before(spark, str(tmp_path), 4).count()
-    assert history.state_before(spark, str(tmp_path), 0).count() == 0
+    assert rows_of(made, *CARRIED) == rows_of(build_features(ledger), *CARRIED)
+    assert spark.conf.get(history.STORE_SETTING) != history.ROCKS_DB
+
+
+def test_history_goes_on_after_a_restart_with_the_states_of_its_destinations(spark, ledger, tmp_path):
+    """Twelve runs; a run touches the states of the destinations that arrive, whatever was there before."""
+    rows = ledger.select("row_id", *LEDGER_COLUMNS).where("row_id % 4 = 0")
+    steps = [0, *range(60, 660, 60), 100_000]
+    touched, wanted = [], []
+    for low, high in zip(steps, steps[1:]):
+        part = rows.where((F.col("step") >= low) & (F.col("step") < high))
+        part.write.mode("append").parquet(str(tmp_path / "in"))
+        query = history.start_history(scoring.read_transactions(spark, str(tmp_path / "in")), str(tmp_path / "out"))
+        query.awaitTermination()
+        touched.append(sum(p.stateOperators[0].numRowsUpdated for p in query.recentProgress if p.stateOperators))
+        wanted.append(part.select("nameDest").distinct().count())
+    assert touched == wanted and len(touched) == 11
+    made = spark.read.parquet(str(tmp_path / "out" / "history"))
+    assert rows_of(made, *CARRIED) == rows_of(build_features(rows), *CARRIED)
+
+
+def plain_past(rows):
+    """Each row of one destination against all that were taken before it; rows of one step don't see each other."""
+    out, seen = [], []
+    for step, row_id, amount, value in rows:
+        recent = [v for s, v in seen if step - 24 <= s < step]
+        out.append((row_id, step, amount, len(seen), sum((v for _, v in seen), Decimal(0)), len(recent), sum(recent, Decimal(0))))
+        seen.append((step, value))
+    return out
+
+
+def test_past_takes_late_rows_as_they_arrive():
+    rng = random.Random(6)
+    past, arrived = history.Past(), []
+    for batch in range(8):
+        rows = sorted((max(0, batch * 20 + rng.randrange(-30, 30)), batch * 100 + k, 1.0, Decimal(rng.randrange(900)) / 100) for k in range(25))
+        arrived += rows
+        found = list(past.take(rows))
+        assert found == plain_past(arrived)[-25:]
+        past = history.Past.stored(past.value())
+        past.forget(history.LATE_HOURS)
+    past.forget(0)
+    assert min(past.steps) >= max(past.steps) - 24 and past.seen_rows == 200
 
 
 def test_telemetry_equals_batch_counts(spark, ledger, tmp_path):
