@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
@@ -17,7 +17,8 @@ from riskmill.operators.folds import class_weight, positive_weight
 from riskmill.operators.metrics import average_precision, evaluate
 from riskmill.operators.ranking import cumulative_histogram
 from riskmill.operators.sampling import undersample_negatives
-from riskmill.operators.scaling import apply_scaler, fit_scaler, fitted_values
+from riskmill.operators.scaling import apply_scaler, fit_scaler, scaler_numbers
+from riskmill.operators.search import Range, Trial, search
 from riskmill.params import NEGATIVES_PER_POSITIVE, REVIEWS_PER_DAY, SEED
 
 # Most rounds of a fit; both learners stop earlier once they no longer improve.
@@ -40,6 +41,7 @@ class PreparedFold:
     test: DataFrame
     train_weight: float
     test_weight: float
+    scaler: Mapping[str, Mapping[str, float]] | None = None
 
 
 def prepared_fold_summary(folded: DataFrame, per_positive: float = NEGATIVES_PER_POSITIVE,
@@ -66,14 +68,14 @@ def prepare_fold(folded: DataFrame, fold: int, per_positive: float = NEGATIVES_P
     part = folded.where(F.col("fold") == fold)
     train = cut_lineage(undersample_negatives(part.where("role = 'train'"), per_positive, seed))
     test = part.where("role = 'test'")
-    fitted = fitted_values(fit_scaler(train))
+    fitted = scaler_numbers(fit_scaler(train))
     ready = [cut_lineage(apply_scaler(rows, fitted).withColumnRenamed("isFraud", "is_fraud").drop("fold", "role"))
              for rows in (train, test)]
     weights = [
         rows.agg(positive_weight(F.count("*") - F.sum("is_fraud"), F.sum("is_fraud")).alias("w")).first().w
         for rows in ready
     ]
-    return PreparedFold(ready[0], ready[1], float(weights[0]), float(weights[1]))
+    return PreparedFold(ready[0], ready[1], float(weights[0]), float(weights[1]), fitted)
 
 
 def _vectors(rows: DataFrame, names: Sequence[str], positive: float, negative: float = 1.0) -> DataFrame:
@@ -109,12 +111,16 @@ def coefficient_table(fold: PreparedFold, model, names: Sequence[str] = FEATURES
 
 
 def fit_trees(fold: PreparedFold, names: Sequence[str] = FEATURES, max_iter: int = TREE_ROUNDS, max_depth: int = 5,
-              step_size: float = 0.1, seed: int = SEED):
-    """Boosted trees that stop early on the fold's test part, which makes the result slightly optimistic."""
+              step_size: float = 0.1, min_rows: int = 1, row_share: float = 1.0, feature_share: float = 1.0, seed: int = SEED):
+    """Boosted trees that stop early on the fold's test part, which makes the result slightly optimistic.
+
+    A leaf has ``min_rows`` rows or more; a tree is grown on a share of the rows, a split looks at one of the features.
+    """
     both = fold.train.withColumn("held_out", F.lit(False)).unionByName(fold.test.withColumn("held_out", F.lit(True)))
     learner = GBTClassifier(
         featuresCol="vector", labelCol="label", weightCol="weight", validationIndicatorCol="held_out",
-        maxIter=max_iter, maxDepth=max_depth, stepSize=step_size, seed=seed)
+        maxIter=max_iter, maxDepth=max_depth, stepSize=step_size, minInstancesPerNode=min_rows, subsamplingRate=row_share,
+        featureSubsetStrategy="all" if feature_share >= 1 else repr(feature_share), seed=seed)
     return learner.fit(_vectors(both, names, fold.train_weight))
 
 
@@ -136,20 +142,25 @@ def evaluate_model(model, name: str, number: int, fold: PreparedFold, names: Seq
     return evaluate(cut_lineage(scored), reviews_per_day)
 
 
-def search_trees(folds: Sequence[PreparedFold], grid: Sequence[dict], names: Sequence[str] = FEATURES,
-                 seed: int = SEED) -> list[dict]:
-    """Mean average precision over all folds for each parameter set, best first; refit with the first entry."""
-    tried = []
-    for params in grid:
-        areas = [held_out_average_precision(fit_trees(fold, names, seed=seed, **params), fold, names) for fold in folds]
-        tried.append({**params, "mean_pr_auc": sum(areas) / len(areas)})
-    return sorted(tried, key=lambda entry: -entry["mean_pr_auc"])
+# The five parameters of the search and their ranges.
+TREE_SPACE = (Range("max_depth", 3, 10, whole=True), Range("step_size", 0.01, 0.3, log=True),
+              Range("min_rows", 1, 10, whole=True), Range("row_share", 0.6, 1.0), Range("feature_share", 0.6, 1.0))
+SEARCH_TRIALS = 10
+
+
+def search_trees(folds: Sequence[PreparedFold], names: Sequence[str] = FEATURES, space: Sequence[Range] = TREE_SPACE,
+                 n_trials: int = SEARCH_TRIALS, max_iter: int = TREE_ROUNDS, seed: int = SEED) -> list[Trial]:
+    """Seeded trials by the mean average precision over all folds, best first."""
+    def objective(params: dict) -> float:
+        areas = [held_out_average_precision(fit_trees(fold, names, max_iter, seed=seed, **params), fold, names) for fold in folds]
+        return sum(areas) / len(areas)
+    return search(objective, space, n_trials, seed)
 
 
-def refit_best(folds: Sequence[PreparedFold], tried: Sequence[dict], names: Sequence[str] = FEATURES, seed: int = SEED):
+def refit_best(folds: Sequence[PreparedFold], tried: Sequence[Trial], names: Sequence[str] = FEATURES,
+               max_iter: int = TREE_ROUNDS, seed: int = SEED):
     """The model of the best parameters on the last fold, which has the most training rows."""
-    params = {key: value for key, value in tried[0].items() if key != "mean_pr_auc"}
-    return fit_trees(folds[-1], names, seed=seed, **params)
+    return fit_trees(folds[-1], names, max_iter, seed=seed, **tried[0].params)
 
 
 def ablate(fold: PreparedFold, number: int, reviews_per_day: float, max_iter: int = TREE_ROUNDS) -> DataFrame:

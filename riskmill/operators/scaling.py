@@ -43,6 +43,12 @@ def fitted_values(scaler: DataFrame, names: Sequence[str] = FEATURES) -> Fitted:
     return {name: {"mean": F.lit(row[name]["mean"]), "scale": F.lit(row[name]["scale"])} for name in names}
 
 
+def scaler_numbers(scaler: DataFrame, names: Sequence[str] = FEATURES) -> dict[str, dict[str, float]]:
+    """The fit of a single-group scaler as plain numbers, for storing it."""
+    row = scaler.first()
+    return {name: {"mean": float(row[name]["mean"]), "scale": float(row[name]["scale"])} for name in names}
+
+
 def scaled(fitted: Fitted | Column, names: Sequence[str] = FEATURES) -> dict[str, Column]:
     return {name: (F.col(name) - fitted[name]["mean"]) / fitted[name]["scale"] for name in names}
 

@@ -1,11 +1,16 @@
 from __future__ import annotations
 
+import math
+import random
+
 import pytest
 from ledger_cases import rows_of
 from pyspark.sql import functions as F
 
 from riskmill.functions.features import FEATURES
-from riskmill.operators import models
+from riskmill.operators import bundle, models
+from riskmill.operators.scaling import apply_scaler
+from riskmill.operators.search import Density, Range, Trial, propose, search
 
 NAMES = ("a", "b", "c")
 
@@ -45,8 +50,12 @@ def test_trees_and_search(fold):
     scored = models.score_with(model, fold.test, NAMES)
     assert scored.columns == ["row_id", "step", "is_fraud", "score"]
     assert scored.agg(F.min("score") >= 0, F.max("score") <= 1).first() == (True, True)
-    tried = models.search_trees([fold], [{"max_depth": 1, "max_iter": 1}, {"max_depth": 3, "max_iter": 5}], NAMES)
-    assert tried[0]["mean_pr_auc"] >= tried[1]["mean_pr_auc"]
+    space = (Range("max_depth", 1, 3, whole=True), Range("step_size", 0.05, 0.3, log=True), Range("row_share", 0.5, 1.0))
+    tried = models.search_trees([fold], NAMES, space, n_trials=3, max_iter=3)
+    assert tried == models.search_trees([fold], NAMES, space, n_trials=3, max_iter=3)
+    assert [t.value for t in tried] == sorted((t.value for t in tried), reverse=True)
+    best = models.refit_best([fold], tried, NAMES, max_iter=3)
+    assert models.held_out_average_precision(best, fold, NAMES) == tried[0].value
 
 
 def test_prepared_fold_keeps_two_weights(spark):
@@ -76,3 +85,57 @@ def test_summary_agrees_with_preparation(spark):
     assert made[2].n_test == part.test.count() and made[2].test_pos_weight == part.test_weight
     assert made[2].n_train_before > made[2].n_train
     assert rows_of(summary, "fold") == [(1,), (2,), (3,)]
+
+
+SPACE = (Range("depth", 3, 10, whole=True), Range("rate", 0.01, 0.3, log=True), Range("share", 0.6, 1.0))
+
+
+def bowl(params):
+    return -((params["depth"] - 7) / 7) ** 2 - (math.log(params["rate"] / 0.1)) ** 2 - (params["share"] - 0.8) ** 2
+
+
+def test_search_repeats_stays_inside_and_beats_chance():
+    found = {seed: search(bowl, SPACE, 30, seed) for seed in range(12)}
+    assert found[3] == search(bowl, SPACE, 30, 3) and found[3] != found[4]
+    for trials in found.values():
+        assert sorted(t.number for t in trials) == list(range(1, 31))
+        assert all(p.low <= t.params[p.name] <= p.high for t in trials for p in SPACE)
+        assert all(isinstance(t.params["depth"], int) for t in trials)
+    chance = []
+    for seed in found:
+        rng = random.Random(seed)
+        chance.append(max(bowl(propose(SPACE, [], rng)) for _ in range(30)))
+    assert sum(t[0].value for t in found.values()) > sum(chance)
+
+
+def test_densities_are_densities_and_proposals_follow_good_trials():
+    density = Density([0.1, 0.12, 0.9])
+    assert sum(density.at((k + 0.5) / 1000) for k in range(1000)) / 1000 == pytest.approx(1.0, abs=1e-6)
+    assert density.at(0.11) > density.at(0.5)
+    rng = random.Random(2)
+    trials = [Trial(k, {"depth": 4 if k % 4 else 9, "rate": 0.02 if k % 4 else 0.2, "share": 0.7}, 0.0 if k % 4 else 1.0) for k in range(16)]
+    drawn = [propose(SPACE, trials, rng) for _ in range(20)]
+    assert sum(d["depth"] > 6 for d in drawn) > 15 and sum(d["rate"] > 0.07 for d in drawn) > 15
+
+
+def test_whole_and_logarithmic_ranges():
+    for p in SPACE:
+        assert p.value(0.0) == pytest.approx(p.low) and p.value(1.0) == pytest.approx(p.high)
+    assert [SPACE[0].value((k + 0.5) / 8) for k in range(8)] == list(range(3, 11))
+    assert SPACE[1].value(SPACE[1].unit(0.05)) == pytest.approx(0.05)
+
+
+def test_bundle_scores_like_the_model_after_a_reload(spark, fold, tmp_path):
+    model = models.fit_logistic(fold, NAMES)
+    scaler = {"a": {"mean": 0.5, "scale": 2.0}, "b": {"mean": -1.0, "scale": 0.25}, "c": {"mean": 0.0, "scale": 1.0}}
+    made = bundle.assemble(model, scaler, 0.4, "v7", NAMES)
+    bundle.save_bundle(made, spark, str(tmp_path / "b"))
+    loaded = bundle.load_bundle(spark, str(tmp_path / "b"))
+    assert (loaded.threshold, loaded.version, loaded.names) == (0.4, "v7", NAMES)
+    rows = fold.test.withColumn("score", F.lit("a column of that name"))
+    scored = loaded.score(rows)
+    assert scored.columns == [*fold.test.columns, "score", "flagged"]
+    wanted = {r.row_id: r.score for r in models.score_with(model, apply_scaler(fold.test, scaler, NAMES), NAMES).collect()}
+    found = scored.collect()
+    assert len(found) == len(wanted) and all(abs(r.score - wanted[r.row_id]) < 1e-12 and r.flagged == (r.score >= 0.4) for r in found)
+    assert loaded.score(rows.limit(0)).collect() == []
