@@ -27,9 +27,9 @@ SPACE_MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 # Bytes that a task spends on remembering words, and of text that it works on at once.
-KEPT_BYTES = 1 << 25
+KEPT_BYTES = 1 << 27
 WORD_OVERHEAD = 200
-BYTES_AT_ONCE = 1 << 20
+BYTES_AT_ONCE = 1 << 22
 WORDS_AT_ONCE = 1 << 16
 
 

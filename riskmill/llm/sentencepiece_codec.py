@@ -30,15 +30,41 @@ from riskmill.llm.token_counts import schema_with, with_column
 BASE = np.uint64(0x9E3779B97F4A7C15)
 # Longer words are few; they take the plain path instead of one batch for each length.
 LONGEST_BATCHED = 48
-WORDS_AT_ONCE = 1 << 13
+WORDS_AT_ONCE = 1 << 14
 IDS_AT_ONCE = 1 << 16
 
 
+class Speller:
+    """The bytes of all pieces in a row, from which those of any ids are gathered."""
+
+    def __init__(self, spelled: tuple[bytes, ...]):
+        self.sizes = np.array([len(s) for s in spelled], np.int32)
+        self.starts = (np.cumsum(self.sizes) - self.sizes).astype(np.int32)
+        self.letters = np.frombuffer(b"".join(spelled), np.uint8)
+
+    def spell(self, ids: np.ndarray) -> bytes:
+        parts = []
+        for at in range(0, len(ids), IDS_AT_ONCE):
+            some = ids[at:at + IDS_AT_ONCE]
+            long = self.sizes[some]
+            first = np.cumsum(long, dtype=np.int32) - long
+            parts.append(self.letters[np.arange(int(long.sum()), dtype=np.int32) + np.repeat(self.starts[some] - first, long)].tobytes())
+        return b"".join(parts)
+
+
+def _cut(table: np.ndarray) -> list[bytes]:
+    """The ids of each row, -2 left out, as bytes."""
+    kept = table != -2
+    flat = table[kept].tobytes()
+    ends = 4 * np.cumsum(kept.sum(axis=1))
+    return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+
+
 class PieceKeys:
     """Pieces of each length as sorted hashes, with their scores and ids."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary = vocabulary
+        self.vocabulary, self.speller = vocabulary, Speller(vocabulary.spelled)
         by_length: dict[int, list[str]] = {}
         for piece in vocabulary.ids:
             by_length.setdefault(len(piece), []).append(piece)
@@ -87,15 +113,28 @@ class PieceKeys:
             rows.append(np.where(end > 0, piece[end, lane], -2))
             end = end - step[end, lane]
         table = np.array(rows[::-1], np.int32).T
-        spelled = self.vocabulary.spelled
-        out = []
-        for word, ids in zip(words, table):
-            ids = ids[ids != -2]
-            if (ids < 0).any() or b"".join([spelled[i] for i in ids.tolist()]) != word.encode("utf-8", "surrogatepass"):
-                ids = np.array(self.vocabulary.best_path(word), np.int32)
-            out.append(ids.tobytes())
+        strange = (table == -1).any(axis=1)
+        if not strange.any() and self._spell(table, words):
+            return _cut(table)
+        plain = np.flatnonzero(strange | ~self._spells_each(table, words))
+        out = _cut(table)
+        for place in plain.tolist():
+            out[place] = np.array(self.vocabulary.best_path(words[place]), np.int32).tobytes()
         return out
 
+    def _spell(self, table: np.ndarray, words: list[str]) -> bool:
+        """Whether all pieces together spell all words together, each word as many bytes as it has."""
+        ids = table[table != -2]
+        points = characters(words, len(words[0]))
+        wanted = (1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)).sum(axis=0)
+        sizes = np.where(table == -2, 0, self.speller.sizes[np.maximum(table, 0)]).sum(axis=1)
+        return bool((sizes == wanted).all()) and self.speller.spell(ids) == "".join(words).encode("utf-8", "surrogatepass")
+
+    def _spells_each(self, table: np.ndarray, words: list[str]) -> np.ndarray:
+        spelled = self.vocabulary.spelled
+        return np.array([b"".join([spelled[i] for i in ids[ids >= 0].tolist()]) == word.encode("utf-8", "surrogatepass")
+                         for word, ids in zip(words, table)])
+
     def encode_new(self, words: set[str]) -> dict[str, bytes]:
         out: dict[str, bytes] = {}
         lengths: dict[int, list[str]] = {}
@@ -160,14 +199,7 @@ class _Decoder:
         self.spelled, self.ids, self.name = spelled, ids, name
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = np.array([len(s) for s in self.spelled], np.int32)
-        starts = (np.cumsum(sizes) - sizes).astype(np.int32)
-        letters = np.frombuffer(b"".join(self.spelled), np.uint8)
-
-        def spelled(ids: np.ndarray) -> bytes:
-            long = sizes[ids]
-            first = np.cumsum(long, dtype=np.int32) - long
-            return letters[np.arange(int(long.sum()), dtype=np.int32) + np.repeat(starts[ids] - first, long)].tobytes()
+        speller = Speller(self.spelled)
         for batch in batches:
             column = batch.column(self.ids)
             texts: list[str | None] = []
@@ -176,9 +208,7 @@ class _Decoder:
                 if ids is None:
                     texts.append(None)
                     continue
-                ids = ids.to_numpy(zero_copy_only=False)
-                pieces = [spelled(ids[at:at + IDS_AT_ONCE]) for at in range(0, len(ids), IDS_AT_ONCE)]
-                texts.append(b"".join(pieces)[1:].decode("utf-8", "replace"))
+                texts.append(speller.spell(ids.to_numpy(zero_copy_only=False))[1:].decode("utf-8", "replace"))
             yield with_column(batch, self.name, pa.array(texts, pa.string()))
 
 

@@ -85,11 +85,21 @@ def test_empty_tables(documents):
     assert sentencepiece_codec.decode(sentencepiece_codec.encode(docs)).collect() == []
 
 
+def test_words_whose_hashes_deceive_are_encoded_plainly(vocabulary):
+    keys = sentencepiece_codec.PieceKeys(vocabulary)
+    words = ["Haus", "Baum", "Wald", "漢字漢字"]
+    plain = [np.array(vocabulary.best_path(w), np.int32).tobytes() for w in words]
+    assert keys.encode_words(words) == plain
+    for length, (hashes, scores, ids) in keys.tables.items():
+        keys.tables[length] = (hashes, scores, np.roll(ids, 1))  # every probe finds a wrong piece
+    assert keys.encode_words(words) == plain
+
+
 def texts_batch(texts):
     return pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
 
 
-@pytest.mark.parametrize("at_once, kept, run", [(1 << 20, 1 << 25, 1 << 16), (40, 1 << 25, 3), (64, 900, 2), (1, 1, 1)])
+@pytest.mark.parametrize("at_once, kept, run", [(1 << 22, 1 << 27, 1 << 16), (40, 1 << 27, 3), (64, 900, 2), (1, 1, 1)])
 def test_slices_runs_and_forgetting_change_nothing(vocabulary, monkeypatch, at_once, kept, run):
     for module in (pieces, token_counts, sentencepiece_codec):
         monkeypatch.setattr(module, "BYTES_AT_ONCE", at_once)
@@ -133,4 +143,4 @@ def test_memory_of_a_full_batch_is_bounded(tool):
     root = Path(__file__).resolve().parents[2]
     found = subprocess.run([sys.executable, "-c", PEAK, tool], capture_output=True, text=True, cwd=root, timeout=600)
     assert found.returncode == 0, found.stderr[-2000:]
-    assert int(found.stdout) < 200
+    assert int(found.stdout) < 300
