@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from riskmill.functions.numeric import count_where, ratio
 from riskmill.operators.capacity import capacity_k, days_between
-from riskmill.operators.ranking import cumulative_histogram, global_rank
+from riskmill.operators.ranking import cumulative_histogram, global_rank, histogram_of_ranks, ranked_scores
 from riskmill.params import (
     CEILING_TOLERANCE,
     FRAUD_MULTIPLES,
@@ -162,26 +162,23 @@ def balance_weight() -> Column:
 def evaluate(scored: DataFrame, reviews_per_day: float, by: Sequence[str] = ("model", "fold")) -> DataFrame:
     """The full result row per group: curve areas, loss, headline top-K, and the capacity operating point."""
     by = list(by)
-    histogram = cumulative_histogram(scored, by)
+    # One stored order serves the ranks and, grouped by score, the cumulative histogram.
+    in_head = (F.col("is_fraud") == 1) & (F.col("rank") <= multiple_k(HEADLINE_MULTIPLE))
+    histogram = histogram_of_ranks(ranked_scores(scored, by), by, count_where(in_head).alias("head_hits"))
     days = days_between(F.col("first_step"), F.col("last_step"))
     k = capacity_k(days, F.lit(float(reviews_per_day)), F.col("total_rows"))
     at = _inside_step(k)
     hit, miss = log_loss_sums()
-    areas = histogram.groupBy(*by).agg(
+    joined = histogram.groupBy(*by).agg(
         F.max("total_rows").alias("total_rows"), F.max("total_positives").alias("total_positives"),
         average_precision().alias("pr_auc"), roc_auc().alias("roc_auc"), hit.alias("_hit"), miss.alias("_miss"),
         F.max(k).alias("capacity_k"), F.max(F.when(at, F.col("score"))).alias("capacity_threshold"),
         F.max(F.when(at, F.col("cum_rows"))).alias("_flagged"),
         F.max(F.when(at, F.col("cum_positives"))).alias("_caught"),
+        F.max(multiple_k(HEADLINE_MULTIPLE)).alias("k"), F.sum("head_hits").alias("_hits"),
     )
-    top = top_k_hits(global_rank(scored, by), {"head": multiple_k(HEADLINE_MULTIPLE)}, by) \
-        .select(*by, F.col("head_k").alias("k"), F.col("head_hits").alias("_hits"))
     rows, fraud = F.col("total_rows"), F.col("total_positives")
     weight = (rows - fraud) / F.greatest(fraud, F.lit(1))
-    if by:
-        joined = areas.join(top, by)
-    else:
-        joined = areas.withColumn("_top", top.select(F.struct("*")).scalar()).select("*", "_top.*")
     return joined.select(
         *by, "pr_auc", "roc_auc",
         (-(weight * F.col("_hit") + F.col("_miss")) / rows).alias("weighted_bce"),

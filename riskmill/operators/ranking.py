@@ -22,11 +22,15 @@ from riskmill.lineage import cut_lineage
 PART_ROWS = 250_000
 
 
-def _ordered_parts(rows: DataFrame, order: Sequence[Column], part_rows: int) -> DataFrame:
-    """The rows, stored in range partitions of ``order``, with the number of their partition as ``_part``."""
+def ordered_parts(rows: DataFrame, order: Sequence[Column], part_rows: int = PART_ROWS) -> DataFrame:
+    """The rows, stored in range partitions of ``order``, with the number of their partition as ``_part``.
+
+    What they are made from runs once: counting and the sample of the boundaries read the stored rows.
+    """
     least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(least, math.ceil(rows.count() / part_rows))
-    return cut_lineage(rows.repartitionByRange(parts, *order)).withColumn("_part", F.spark_partition_id())
+    stored = cut_lineage(rows)
+    parts = max(least, math.ceil(stored.count() / part_rows))
+    return cut_lineage(stored.repartitionByRange(parts, *order)).withColumn("_part", F.spark_partition_id())
 
 
 def cumulative_histogram(scored: DataFrame, by: Sequence[str] = (), score: str = "score", label: str = "is_fraud",
@@ -39,7 +43,7 @@ def cumulative_histogram(scored: DataFrame, by: Sequence[str] = (), score: str =
     by = list(by)
     stepped = "step" in scored.columns
     span = [F.min("step").alias("first_step"), F.max("step").alias("last_step")] if stepped else []
-    histogram = _ordered_parts(scored.groupBy(*by, F.col(score).alias("score")).agg(
+    histogram = ordered_parts(scored.groupBy(*by, F.col(score).alias("score")).agg(
         F.count("*").alias("rows"), F.sum(label).cast("bigint").alias("positives"), *span),
         [*map(F.col, by), F.desc("score")], part_rows)
 
@@ -73,23 +77,50 @@ def cumulative_histogram(scored: DataFrame, by: Sequence[str] = (), score: str =
     )
 
 
-def global_rank(scored: DataFrame, by: Sequence[str] = (), score: str = "score", label: str = "is_fraud",
-                part_rows: int = PART_ROWS) -> DataFrame:
-    """Adds ``rank`` (1 = highest score, ties by row_id) and the group's total_rows and total_positives."""
+def ranked_scores(scored: DataFrame, by: Sequence[str] = (), score: str = "score", label: str = "is_fraud",
+                  part_rows: int = PART_ROWS) -> DataFrame:
+    """Adds ``rank`` (1 = highest score, ties by row_id), ``positives_so_far`` (this row's included), the group's
+    total_rows and total_positives, and its step range when there is a ``step``."""
     by = list(by)
     order = [F.desc(score), F.asc("row_id")]
-    placed = _ordered_parts(scored, [*map(F.col, by), *order], part_rows)
+    placed = ordered_parts(scored, [*map(F.col, by), *order], part_rows)
     before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy(*by)
+    ends = [(F.min, "first_step"), (F.max, "last_step")] if "step" in scored.columns else []
     offsets = placed.groupBy(*by, "_part").agg(
-        F.count("*").alias("_rows"), F.sum(label).cast("bigint").alias("_positives")).select(
+        F.count("*").alias("_rows"), F.sum(label).cast("bigint").alias("_positives"),
+        *[end("step").alias(name) for end, name in ends]).select(
         *by, "_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"),
+        F.coalesce(F.sum("_positives").over(before), F.lit(0)).alias("_positives_above"),
         F.sum("_rows").over(everything).alias("total_rows"),
-        F.sum("_positives").over(everything).alias("total_positives"))
+        F.sum("_positives").over(everything).alias("total_positives"),
+        *[end(name).over(everything).alias(name) for end, name in ends])
     inside = Window.partitionBy(*by, "_part").orderBy(*order)
-    return placed.withColumn("_position", F.row_number().over(inside)).join(offsets, [*by, "_part"]).select(
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = placed.withColumn("_position", F.row_number().over(inside)).withColumn("_positives", F.sum(label).over(upto))
+    return local.join(offsets, [*by, "_part"]).select(
         *[F.col(name) for name in scored.columns], (F.col("_position") + F.col("_offset")).cast("bigint").alias("rank"),
-        "total_rows", "total_positives")
+        (F.col("_positives") + F.col("_positives_above")).cast("bigint").alias("positives_so_far"),
+        "total_rows", "total_positives", *[name for _, name in ends])
+
+
+def global_rank(scored: DataFrame, by: Sequence[str] = (), score: str = "score", label: str = "is_fraud",
+                part_rows: int = PART_ROWS) -> DataFrame:
+    """Adds ``rank`` (1 = highest score, ties by row_id) and the group's total_rows and total_positives."""
+    ranked = ranked_scores(scored, by, score, label, part_rows)
+    return ranked.select(*[F.col(name) for name in scored.columns], "rank", "total_rows", "total_positives")
+
+
+def histogram_of_ranks(ranked: DataFrame, by: Sequence[str] = (), *more: Column) -> DataFrame:
+    """The cumulative histogram from ``ranked_scores``: a score's last rank says how many rows reach it. No second order.
+
+    ``more`` are further aggregates over the rows of a score.
+    """
+    ends = [name for name in ("first_step", "last_step") if name in ranked.columns]
+    return ranked.groupBy(*by, "score").agg(
+        F.count("*").alias("rows"), F.sum("is_fraud").cast("bigint").alias("positives"), F.max("rank").alias("cum_rows"),
+        F.max("positives_so_far").alias("cum_positives"),
+        *[F.max(name).alias(name) for name in ("total_rows", "total_positives", *ends)], *more)
 
 
 def exact_median_of_ranks(ranked: DataFrame, by: Sequence[str] = (), slot_rows: int = PART_ROWS) -> DataFrame:

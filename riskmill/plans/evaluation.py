@@ -97,7 +97,7 @@ def g3_threshold_at_k(spark, sf_dir):
 
 def g4_operating_point(spark, sf_dir):
     histogram = ranking.cumulative_histogram(base.scored(spark, sf_dir))
-    return metrics.operating_points(histogram, metrics.fixed_ks((150,))).drop("first_step", "last_step")
+    return metrics.operating_points(histogram, metrics.staffing_ks((base.REVIEWS_PER_DAY,))).drop("first_step", "last_step")
 
 
 def g5_capacity_sweep(spark, sf_dir):
@@ -181,7 +181,7 @@ def i1_segment_profile(spark, sf_dir):
 
 def i2_missed_fraud(spark, sf_dir):
     scores = base.scored(spark, sf_dir)
-    point = metrics.operating_points(ranking.cumulative_histogram(scores), metrics.fixed_ks((100,)))
+    point = metrics.capacity_sweep(scores, (base.REVIEWS_PER_DAY,))
     return errors.missed_fraud_ranking(scores, point.select("n_flagged").scalar())
 
 

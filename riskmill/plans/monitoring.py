@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from riskmill.functions.features import FEATURES
 from riskmill.functions.rules import default_rules
-from riskmill.operators import compare, decisions, drift, economics, graph, metrics, ranking, review
+from riskmill.operators import compare, decisions, drift, economics, graph, metrics, review
 from riskmill.operators.folds import fitted_cuts, fold_part
 from riskmill.plans import base
 from riskmill.plans.core import Query
@@ -51,14 +51,11 @@ def p4_feedback(spark, sf_dir):
     return review.labelled_predictions(queue.select("row_id", "score"), feedback)
 
 
-def _flagged(spark, sf_dir):
-    scores = base.scored(spark, sf_dir)
-    point = metrics.operating_points(ranking.cumulative_histogram(scores), metrics.fixed_ks((300,)))
-    return scores.where(F.col("score") >= point.select("threshold").scalar())
-
-
 def p5_bootstrap_precision(spark, sf_dir):
-    return review.bootstrap_precision(_flagged(spark, sf_dir), REPLICATES, base.SAMPLE_SEED)
+    """Precision at the operating capacity in each replicate, which finds its own threshold."""
+    scores = base.scored(spark, sf_dir)
+    k = metrics.capacity_sweep(scores, (base.REVIEWS_PER_DAY,)).first().k
+    return review.bootstrap_at_capacity(scores, k, REPLICATES, base.SAMPLE_SEED)
 
 
 def p5_precision_interval(spark, sf_dir):

@@ -442,7 +442,7 @@ _add("g2_capacity_k", f"""
 _add("g3_threshold_at_k", "SELECT rank AS k, score AS threshold FROM ranked WHERE rank IN (1, 10, 50, 100, 500)", "ranked")
 _add("g4_operating_point", f"""
     SELECT k, threshold, n_flagged, n_rows, true_positives, false_positives, false_negatives, total_fraud, precision, recall,
-        alert_rate FROM ({_points_sql("(SELECT CAST(150 AS BIGINT) AS k)")})""", "ranked", "scored", "totals")
+        alert_rate FROM points WHERE reviews_per_day = {base.REVIEWS_PER_DAY}""", "points")
 _add("g5_capacity_sweep", "SELECT * FROM sweep", "sweep")
 _add("g5_capacity_sweep_by_model", f"""
     , t AS (SELECT model, fold, count(*) AS n, CAST(sum(is_fraud) AS BIGINT) AS fraud, {_DAYS} AS days FROM ms GROUP BY ALL),
@@ -503,7 +503,7 @@ _add("i1_segment_profile", f"SELECT feature, round(overall_mean, 8) AS overall_m
     f"{g}_n, round({g}_mean, 8) AS {g}_mean" for g in ("true_positive", "false_positive", "false_negative"))
     + ", " + ", ".join(_GAPS) + " FROM profile", "profile")
 _add("i2_missed_fraud", """
-    , q AS (SELECT count(*) AS k FROM scored WHERE score >= (SELECT score FROM ranked WHERE rank = 100)),
+    , q AS (SELECT n_flagged AS k FROM points WHERE reviews_per_day = %d),
     f AS (SELECT rank, k, (SELECT count(*) FROM scored) AS n FROM ranked, q WHERE is_fraud = 1)
     SELECT count(*) AS total_fraud, count(*) FILTER (WHERE rank <= k) AS fraud_in_top_k,
         count(*) FILTER (WHERE rank > k) AS fraud_missed, max(n) AS n_rows, max(k) AS k,
@@ -513,7 +513,7 @@ _add("i2_missed_fraud", """
         max(rank) FILTER (WHERE rank > k) AS k_to_catch_all_missed,
         count(*) FILTER (WHERE rank > k AND rank <= 2 * k) AS missed_within_2x_k,
         count(*) FILTER (WHERE rank > k AND rank > n / 2e0) AS missed_in_bottom_half
-    FROM f""", "ranked")
+    FROM f""" % base.REVIEWS_PER_DAY, "ranked", "points")
 _add("i3_queue_composition", "SELECT DISTINCT true_positive_n, false_positive_n, false_negative_n FROM profile", "profile")
 _add("j1_global_importance", """
     SELECT feature, round(mean_abs, 6) AS mean_abs, round(mean_signed, 6) AS mean_signed,
@@ -662,12 +662,18 @@ _add("p4_feedback", """
     FROM decided WHERE decision = 'REVIEW' AND row_id % 3 <> 0""", "decided")
 _POISSON = " + ".join(f"CAST(u > {b!r}e0 AS INTEGER)" for b in POISSON_ONE)
 _cte("boot", f"""
-    SELECT replicate, CAST(sum(w) AS BIGINT) AS n_drawn, sum(w * is_fraud) / CAST(sum(w) AS DOUBLE) AS precision
-    FROM (SELECT *, {_POISSON} AS w FROM (SELECT is_fraud, CAST(replicate AS INTEGER) AS replicate,
-            CAST(('0x' || left(md5('{base.SAMPLE_SEED}-' || replicate || '-' || row_id), 8)) AS BIGINT) / 4294967296e0 AS u
-        FROM scored, range(1, 51) r(replicate) WHERE score >= (SELECT score FROM ranked WHERE rank = 300)))
-    GROUP BY replicate""", "ranked")
-_add("p5_bootstrap_precision", "SELECT replicate, n_drawn, precision FROM boot", "boot")
+    SELECT replicate, threshold, CAST(n AS BIGINT) AS n_flagged, hits / CAST(nullif(n, 0) AS DOUBLE) AS precision FROM (
+        SELECT replicate, max(score) FILTER (WHERE cw >= k) AS threshold,
+            coalesce(min(cw) FILTER (WHERE cw >= k), max(cw)) AS n, coalesce(min(cp) FILTER (WHERE cw >= k), max(cp)) AS hits
+        FROM (SELECT replicate, score, sum(sum(w)) OVER o AS cw, sum(sum(w * is_fraud)) OVER o AS cp
+            FROM (SELECT score, is_fraud, replicate, {_POISSON} AS w FROM (
+                SELECT score, is_fraud, CAST(replicate AS INTEGER) AS replicate,
+                    CAST(('0x' || left(md5('{base.SAMPLE_SEED}-' || replicate || '-' || row_id), 8)) AS BIGINT) / 4294967296e0 AS u
+                FROM scored, range(1, 51) r(replicate)))
+            GROUP BY replicate, score WINDOW o AS (PARTITION BY replicate ORDER BY score DESC)),
+            (SELECT k FROM points WHERE reviews_per_day = {base.REVIEWS_PER_DAY})
+        GROUP BY replicate)""", "scored", "points")
+_add("p5_bootstrap_precision", "SELECT replicate, threshold, n_flagged, precision FROM boot", "boot")
 _add("p5_precision_interval", """
     SELECT round(avg(precision), 6) AS mean, round(quantile_cont(precision, 0.025), 6) AS low,
         round(quantile_cont(precision, 0.975), 6) AS high FROM boot""", "boot")

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import pytest
 from ledger_cases import rows_of
@@ -85,6 +86,37 @@ def test_bootstrap_centres_on_the_precision(spark):
     assert drawn == pytest.approx(400, rel=0.02)
 
 
+def plain_replicate(rows, k, seed, replicate):
+    """Threshold, rows and hits of one replicate, row by row."""
+    import hashlib
+
+    total = Counter()
+    hits = Counter()
+    for row_id, score, label in rows:
+        u = int(hashlib.md5(f"{seed}-{replicate}-{row_id}".encode()).hexdigest()[:8], 16) / 2 ** 32
+        w = sum(u > bound for bound in review.POISSON_ONE)
+        total[score] += w
+        hits[score] += w * label
+    n = c = 0
+    for score in sorted(total, reverse=True):
+        n, c = n + total[score], c + hits[score]
+        if n >= k:
+            return score, n, c
+    return None, n, c
+
+
+@pytest.mark.parametrize("k, spare", [(40, 10.0), (40, -30.0), (350, 10.0), (1, 10.0)])
+def test_bootstrap_finds_each_replicates_threshold(spark, monkeypatch, k, spare):
+    """Also when the first cut takes too few scores, and when a replicate draws fewer than k rows of all."""
+    rows = [(i, (i * 7919 % 101) / 101, int(i % 6 == 0)) for i in range(360)]
+    frame = spark.createDataFrame(rows, "row_id long, score double, is_fraud int")
+    found = {r.replicate: r for r in review.bootstrap_at_capacity(frame, k, 12, 42, spare=spare).collect()}
+    assert set(found) == set(range(1, 13))
+    for replicate, r in found.items():
+        threshold, n, hits = plain_replicate(rows, k, 42, replicate)
+        assert (r.threshold, r.n_flagged) == (threshold, n) and r.precision == pytest.approx(hits / n)
+
+
 def test_mcnemar(spark):
     left = spark.createDataFrame([(i, i < 30) for i in range(50)], "row_id long, correct boolean")
     right = spark.createDataFrame([(i, i < 10 or i >= 40) for i in range(50)], "row_id long, correct boolean")

@@ -119,7 +119,7 @@ def test_histogram_is_exact_whatever_the_parts(crowded, part_rows):
 
 
 def test_crowded_score_is_split_into_bounded_parts(crowded):
-    parts = ranking._ordered_parts(crowded, [F.desc("score"), F.asc("row_id")], 50).groupBy("_part").count()
+    parts = ranking.ordered_parts(crowded, [F.desc("score"), F.asc("row_id")], 50).groupBy("_part").count()
     assert parts.agg(F.max("count")).first()[0] < 200 and parts.count() >= 10
 
 
