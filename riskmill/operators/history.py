@@ -10,6 +10,9 @@ cells of one step and one block of row ids. Row ids are unique, so a cell holds
 cell's rows need from outside the cell comes from pre-aggregated totals, joined on the cell key, which is also the
 key the rows are already partitioned and sorted by. The ledger rows are therefore shuffled once in either case.
 
+Hot names are found by a frequent-items sketch and an exact count of its few candidates, not by grouping all names; a
+ledger without any takes plain windows.
+
 Size bounds for N ledger rows: fewer than N / hot_rows destinations are hot (the broadcast list: half a million
 names for 10^12 rows); the per-step table has at most one row per step of the calendar for each hot destination;
 a step has at most one block per ``row_block`` row ids.
@@ -25,19 +28,53 @@ from pyspark.sql.window import Window
 
 from riskmill.functions.features import FEATURES, amount_to_average, stateless_features
 from riskmill.functions.numeric import exact
+from riskmill.lineage import cut_lineage
 from riskmill.params import VELOCITY_HOURS
 
 HOT_ROWS = 2_000_000
+# Three quarters of the slots are used, and Spark's sketch takes at most a million names.
+MOST_SLOTS = 1 << 20
 ROW_BLOCK = 1 << 20
 
 _CELL = ["nameDest", "cell_step", "cell_block"]
 
 
-def hot_destinations(ledger: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    return (
-        ledger.groupBy("nameDest").count().where(F.col("count") > hot_rows)
-        .select(F.col("nameDest").alias("hot_dest"))
-    )
+def sketch_slots(rows: int, hot_rows: int) -> int | None:
+    """Slots with which a frequent-items sketch reports every name of more than ``hot_rows`` of so many rows.
+
+    A sketch of s slots counts a name up to 3.5 * rows / s too high and reports it when its count is surely above that
+    error, thus at twice the error at the latest. None when the largest sketch is too small for that.
+    """
+    if hot_rows < 1:
+        return None
+    wanted = 8
+    while wanted * hot_rows <= 7 * rows:
+        wanted *= 2
+    return wanted if wanted <= MOST_SLOTS else None
+
+
+def hot_destinations(ledger: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """The stored names (hot_dest) of destinations with more than ``hot_rows`` rows; None when there cannot be any.
+
+    A ledger of no more rows has none. Otherwise a mergeable sketch, which combines map-side to a bounded size, names
+    the candidates, and only their rows are counted. Beyond what the largest sketch can tell apart all names are counted.
+    """
+    rows = ledger.count()
+    if rows <= hot_rows:
+        return None
+    slots = sketch_slots(rows, hot_rows)
+    counted = ledger.select(F.col("nameDest").alias("hot_dest"))
+    if slots is not None:
+        tracked = slots * 3 // 4
+        # Counts in the sketch are upper bounds, so fewer than this many names can seem hot.
+        most = min(tracked, 2 * rows // hot_rows + 1)
+        found = counted.agg(F.expr(f"approx_top_k(hot_dest, {most}, {tracked})").alias("found"))
+        candidates = cut_lineage(found.select(F.inline("found")).where(F.col("count") > hot_rows).select(F.col("item").alias("hot_dest")))
+        if candidates.isEmpty():
+            return None
+        counted = counted.join(F.broadcast(candidates), "hot_dest", "left_semi")
+    hot = cut_lineage(counted.groupBy("hot_dest").count().where(F.col("count") > hot_rows).select("hot_dest"))
+    return None if hot.isEmpty() else hot
 
 
 def _block(row_block: int) -> Column:
@@ -82,8 +119,15 @@ def _plus(left: str, right: str) -> Column:
 
 
 def with_history(ledger: DataFrame, hot_rows: int = HOT_ROWS, row_block: int = ROW_BLOCK) -> DataFrame:
-    """Every ledger row plus prior_rows, prior_total, recent_rows and recent_total of its destination."""
+    """Every ledger row plus prior_rows, prior_total, recent_rows and recent_total of its destination.
+
+    Without hot destinations this is one shuffle and one sort for both frames, and nothing else.
+    """
     hot = hot_destinations(ledger, hot_rows)
+    if hot is None:
+        return _past(ledger, ["nameDest"]).select(*ledger.columns, *[
+            F.coalesce(f"own_{name}", F.lit(0)).alias(shown) for name, shown in
+            (("rows", "prior_rows"), ("total", "prior_total"), ("recent_rows", "recent_rows"), ("recent_total", "recent_total"))])
     is_hot = F.col("hot_dest").isNotNull()
     rows = (
         ledger.join(F.broadcast(hot), F.col("nameDest") == F.col("hot_dest"), "left")
@@ -91,15 +135,7 @@ def with_history(ledger: DataFrame, hot_rows: int = HOT_ROWS, row_block: int = R
         .withColumn("cell_block", F.when(is_hot, _block(row_block)).otherwise(F.lit(-1)))
         .drop("hot_dest")
     )
-    # The row frame comes first: its ordering (step, row_id) also serves the range frame, so one sort is enough.
-    past = Window.partitionBy(*_CELL).orderBy("step", "row_id").rowsBetween(Window.unboundedPreceding, -1)
-    recent = Window.partitionBy(*_CELL).orderBy("step").rangeBetween(-VELOCITY_HOURS, -1)
-    local = (
-        rows.withColumn("own_rows", F.count("*").over(past))
-        .withColumn("own_total", F.sum(exact("amount")).over(past))
-        .withColumn("own_recent_rows", F.count("*").over(recent))
-        .withColumn("own_recent_total", F.sum(exact("amount")).over(recent))
-    )
+    local = _past(rows, _CELL)
     joined = local.join(_cell_offsets(ledger, hot, row_block), _CELL, "left")
     return joined.select(
         *[F.col(name) for name in ledger.columns],
@@ -110,6 +146,19 @@ def with_history(ledger: DataFrame, hot_rows: int = HOT_ROWS, row_block: int = R
     )
 
 
+def _past(rows: DataFrame, cell: list[str]) -> DataFrame:
+    """The rows with counts and totals over the past of their cell."""
+    # The row frame comes first: its ordering (step, row_id) also serves the range frame, so one sort is enough.
+    past = Window.partitionBy(*cell).orderBy("step", "row_id").rowsBetween(Window.unboundedPreceding, -1)
+    recent = Window.partitionBy(*cell).orderBy("step").rangeBetween(-VELOCITY_HOURS, -1)
+    return (
+        rows.withColumn("own_rows", F.count("*").over(past))
+        .withColumn("own_total", F.sum(exact("amount")).over(past))
+        .withColumn("own_recent_rows", F.count("*").over(recent))
+        .withColumn("own_recent_total", F.sum(exact("amount")).over(recent))
+    )
+
+
 def history_features() -> dict[str, Column]:
     average = F.when(F.col("prior_rows") > 0, F.col("prior_total").cast("double") / F.col("prior_rows")) \
         .otherwise(F.lit(0.0))

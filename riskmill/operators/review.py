@@ -75,10 +75,11 @@ def bootstrap_at_capacity(scored: DataFrame, k: int, replicates: int, seed: int,
 
 def _replicate_points(rows: DataFrame, k: int, replicates: int, seed: int, label: str) -> DataFrame:
     numbers = range(1, replicates + 1)
-    drawn = rows.select("score", F.col(label).alias("_label"),
-                        *[poisson_weight(seed, F.col("row_id"), F.lit(r)).alias(f"w{r}") for r in numbers])
+    drawn = cut_lineage(rows.select("score", F.col(label).alias("_label"), F.transform(
+        F.sequence(F.lit(1), F.lit(replicates)), lambda r: poisson_weight(seed, F.col("row_id"), r)).alias("w")))
     by_score = drawn.groupBy("score").agg(
-        *[F.sum(f"w{r}").alias(f"w{r}") for r in numbers], *[F.sum(F.col(f"w{r}") * F.col("_label")).alias(f"p{r}") for r in numbers])
+        *[F.sum(F.col("w")[r - 1]).alias(f"w{r}") for r in numbers],
+        *[F.sum(F.col("w")[r - 1] * F.col("_label")).alias(f"p{r}") for r in numbers])
     placed = ordered_parts(by_score, [F.desc("score")])
     names = [f"{kind}{r}" for r in numbers for kind in "wp"]
     above = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -60,7 +60,7 @@ def test_hot_cells_are_bounded(ledger):
 def test_one_wide_shuffle_and_no_single_partition(spark, ledger):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        plan = history.build_features(ledger)._jdf.queryExecution().executedPlan().toString()
+        plan = history.build_features(ledger, hot_rows=50, row_block=16)._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     by_cell = [line for line in plan.splitlines() if re.search("Exchange hashpartitioning.*cell_block", line)]
@@ -104,3 +104,22 @@ def test_leakage_audit_finds_nothing_and_counts_rows(ledger):
 def test_feature_scan_fills_nulls(six):
     made = history.build_features(six).withColumn("amount", F.lit(None).cast("double"))
     assert history.feature_scan(made).where("amount = 0").count() == 6
+
+
+def test_sketch_names_exactly_the_hot_destinations(spark, ledger):
+    counts = {r.nameDest: r["count"] for r in ledger.groupBy("nameDest").count().collect()}
+    for hot_rows in (0, 5, 20, 50, 300):
+        wanted = {name for name, n in counts.items() if n > hot_rows}
+        found = history.hot_destinations(ledger, hot_rows)
+        assert (set() if found is None else {r.hot_dest for r in found.collect()}) == wanted
+    assert history.hot_destinations(ledger, 10**6) is None and history.hot_destinations(ledger.limit(0), 0) is None
+
+
+def test_sketches_grow_with_the_table_up_to_a_bound():
+    assert history.sketch_slots(10**12, 10**8) == 1 << 17 and history.sketch_slots(10**12, 2_000_000) is None
+    assert history.sketch_slots(6_400_000, 2_000_000) == 32 and history.sketch_slots(5, 0) is None
+
+
+def test_a_ledger_without_hot_destinations_takes_one_shuffle(ledger):
+    plan = history.with_history(ledger)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and "Aggregate" not in plan

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 from collections import Counter
 
@@ -86,6 +87,22 @@ def test_bootstrap_centres_on_the_precision(spark):
     assert drawn == pytest.approx(400, rel=0.02)
 
 
+@pytest.mark.parametrize("size", [8, 64, 4096])
+def test_edges_are_exact_whatever_the_sketch(spark, size):
+    """Small sketches need several passes; ties, one value, few values, nulls and wide ranges included."""
+    rng = random.Random(size)
+    rows = [(rng.gauss(0, 1), float(rng.randrange(3)), 7.5, rng.choice([0.0] * 9 + [rng.random()]), 10 ** rng.uniform(-300, 300),
+             None if k % 3 else float(k), None, -0.0 if k % 2 else 0.0) for k in range(3000)]
+    names = ("normal", "three", "one", "mostly", "wide", "gaps", "none", "zeros")
+    frame = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names)).repartition(5)
+    found = drift.bin_edges(frame, names, size=size)
+    for place, name in enumerate(names):
+        values = sorted(r[place] for r in rows if r[place] is not None)
+        wanted = sorted({values[math.ceil(round(len(values) * (i / 10), 6)) - 1] for i in range(1, 10)}) if values else []
+        assert found[name] == wanted, name
+    assert drift.bin_edges(frame.limit(0), names) == {name: [] for name in names}
+
+
 def plain_replicate(rows, k, seed, replicate):
     """Threshold, rows and hits of one replicate, row by row."""
     import hashlib
