@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskmill.lineage import ensure_checkpoint_dir
 from riskmill.operators.decisions import score_linear
 from riskmill.operators.folds import fitted_cuts, fold_part, time_folds
 from riskmill.operators.history import build_features
 from riskmill.operators.metrics import capacity_sweep
 from riskmill.operators.scaling import Fitted, fit_scaler, fitted_values
 from riskmill.params import FOLD_BOUNDARIES, SEED
+from riskmill.sources import sinks
 from riskmill.sources.events import ledger_from_events, scored_ledger
 
 # Business parameters at this table's scale: a few hundred rows per day and amounts of two or three digits.
@@ -63,6 +65,16 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_features(ledger(spark, sf_dir))
 
 
+def stored_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same table, built once for these files and read from then on by every query of the application."""
+    return sinks.materialize(spark, f"{sf_dir}/events.parquet", _stored(spark, "features"), lambda: features(spark, sf_dir))[0]
+
+
+def _stored(spark: SparkSession, name: str) -> str:
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/stored-{name}"
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored_ledger(ledger(spark, sf_dir))
 
@@ -76,7 +88,7 @@ def folded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def folded_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return time_folds(ledger(spark, sf_dir), rows=features(spark, sf_dir))
+    return time_folds(ledger(spark, sf_dir), rows=stored_features(spark, sf_dir))
 
 
 def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,23 +106,20 @@ def _score(multiplier: int, lift: int) -> Column:
 
 
 def final_part(spark: SparkSession, sf_dir: str, role: str) -> DataFrame:
-    """Features of the last fold's train or test rows.
-
-    History only looks back, so rows after the fold's end are dropped before the windows, down at the scan.
-    """
-    source = ledger(spark, sf_dir)
-    cuts = fitted_cuts(source)
-    end = cuts[FOLDS - 1] if role == "train" else cuts[FOLDS]
-    return fold_part(build_features(source.where(F.col("step") <= end)), cuts, FOLDS, role)
+    """Features of the last fold's train or test rows."""
+    return fold_part(stored_features(spark, sf_dir), fitted_cuts(ledger(spark, sf_dir)), FOLDS, role)
 
 
 def final_scaler(spark: SparkSession, sf_dir: str) -> Fitted:
-    return fitted_values(fit_scaler(final_part(spark, sf_dir, "train"), digits=SCALER_DIGITS))
+    """Fitted on the last fold's training rows, and stored like the features."""
+    table, _ = sinks.materialize(spark, f"{sf_dir}/events.parquet", _stored(spark, "scaler"),
+                                 lambda: fit_scaler(final_part(spark, sf_dir, "train"), digits=SCALER_DIGITS))
+    return fitted_values(table)
 
 
 def explained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features of every row with contributions, score, flag and reasons of the numeric model."""
-    made = score_linear(features(spark, sf_dir), COEFFICIENTS, INTERCEPT, final_scaler(spark, sf_dir),
+    made = score_linear(stored_features(spark, sf_dir), COEFFICIENTS, INTERCEPT, final_scaler(spark, sf_dir),
                         DECISION_THRESHOLD, SCORE_DIGITS)
     return made.withColumn("is_fraud", F.col("isFraud"))
 

@@ -123,8 +123,9 @@ def e6_state_audit(spark, sf_dir):
 
 def e7_path_parity(spark, sf_dir):
     ledger = base.ledger(spark, sf_dir)
-    middle = ledger.agg(F.floor((F.min("step") + F.max("step")) / 2).cast("bigint").alias("cut")).scalar()
-    return state.path_parity(ledger, middle)
+    # A literal, so that the scans below read only the steps up to it.
+    span = ledger.agg(F.min("step").alias("low"), F.max("step").alias("high")).first()
+    return state.path_parity(ledger, ((span.low or 0) + (span.high or 0)) // 2)
 
 
 def e8_captured_fraud(spark, sf_dir):

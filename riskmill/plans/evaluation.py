@@ -54,13 +54,13 @@ def f6_scaler_fit(spark, sf_dir):
 
 
 def f7_scaler_apply(spark, sf_dir):
-    rows = base.features(spark, sf_dir).drop("isFraud")
+    rows = base.stored_features(spark, sf_dir).drop("isFraud")
     return scaling.apply_scaler(rows, base.final_scaler(spark, sf_dir))
 
 
 def f7_scaler_inverse(spark, sf_dir):
     fitted = base.final_scaler(spark, sf_dir)
-    there = scaling.apply_scaler(base.features(spark, sf_dir).drop("isFraud"), fitted)
+    there = scaling.apply_scaler(base.stored_features(spark, sf_dir).drop("isFraud"), fitted)
     return scaling.invert_scaler(there, fitted)
 
 
@@ -268,7 +268,7 @@ def l2_decision(spark, sf_dir):
 
 def l3_rule_effectiveness(spark, sf_dir):
     return decisions.rule_effectiveness(
-        decisions.apply_rules(base.features(spark, sf_dir), default_rules(base.HARD_BLOCK_AMOUNT)))
+        decisions.apply_rules(base.stored_features(spark, sf_dir), default_rules(base.HARD_BLOCK_AMOUNT)))
 
 
 def l4_score_rows(spark, sf_dir):
