@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from riskmill.functions.features import FEATURES
 from riskmill.operators.review import POISSON_ONE
-from riskmill.params import FOLD_BOUNDARIES, NEGATIVES_PER_POSITIVE
+from riskmill.params import FOLD_BOUNDARIES, FRAUD_MULTIPLES, NEGATIVES_PER_POSITIVE
 from riskmill.plans import base
 from riskmill.plans.storage import STREAM_PARTS, TELEMETRY_HOURS
 
@@ -708,7 +708,14 @@ ORACLE["d6_features_split"] = ORACLE["d6_features"]
 ORACLE["d7_leakage_audit_split"] = ORACLE["d7_leakage_audit"]
 _add("a2_materialize", "SELECT count(*) AS n_rows, false AS first_reused, true AS second_reused FROM features", "features")
 ORACLE["a4_snapshot_sink"] = ORACLE["e1_snapshot"]
-ORACLE["a5_result_tables"] = ORACLE["f3_fold_summary"]
+_add("a5_result_tables", f"""
+    , queue AS (SELECT least(50, {_K}) AS alerts FROM (SELECT count(*) AS n, (max(step) - min(step) + 1) / 24e0 AS days,
+            {base.REVIEWS_PER_DAY} AS reviews_per_day FROM folded WHERE fold = {base.FOLDS} AND role = 'test'))
+    SELECT result, CAST(n AS BIGINT) AS n_rows FROM (VALUES ('model_comparison_by_fold', 12), ('model_comparison', 4),
+        ('precision_recall_at_k_by_fold', {12 * len(FRAUD_MULTIPLES)}), ('precision_recall_at_k', {4 * len(FRAUD_MULTIPLES)}),
+        ('global_importance', 18), ('error_analysis_profile', 18), ('missed_fraud_summary', 1),
+        ('capacity_sweep', {len(base.REVIEWS_GRID)}), ('feature_ablation', 4), ('capacity_economics', {len(base.REVIEWS_GRID)})) t(result, n)
+    UNION ALL SELECT 'alert_reasons', CAST(4 * alerts AS BIGINT) FROM queue""", "folded")
 _add("t1_stream_scoring", f"SELECT row_id, state_hit, {_SERVED['dest_prior_txn_count']} AS dest_prior_txn_count, "
      f"{_SERVED['dest_txn_count_24h']} AS dest_txn_count_24h FROM found", "found")
 _add("t2_stream_history", "SELECT row_id, dest_prior_txn_count, dest_prior_avg_amount, dest_txn_count_24h, dest_amount_sum_24h "

@@ -8,15 +8,16 @@ from __future__ import annotations
 import uuid
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskmill.functions.rules import default_rules
 from riskmill.lineage import ensure_checkpoint_dir
-from riskmill.operators import state
+from riskmill.operators import state, training
 from riskmill.operators.decisions import decide
-from riskmill.operators.folds import fitted_cuts, fold_summary
+from riskmill.operators.folds import fitted_cuts
 from riskmill.plans import base
 from riskmill.plans.core import Query
 from riskmill.sources import ledger as ledgers
@@ -59,9 +60,15 @@ def a4_snapshot_sink(spark, sf_dir):
 
 
 def a5_result_tables(spark, sf_dir):
-    made = fold_summary(base.folded(spark, sf_dir), base.REVIEWS_PER_DAY)
-    written = sinks.write_tables({"fold_summary": made}, _folder(spark, "results"))
-    return spark.read.parquet(written[0])
+    """The eleven result tables of one run over all learners and folds, written and read back: rows of each."""
+    root = _folder(spark, "run")
+    last = training.store_scores(base.folded_features(spark, sf_dir), range(1, base.FOLDS + 1), f"{root}/scores")
+    tables = training.result_tables(training.read_scores(spark, f"{root}/scores"), last, base.ledger(spark, sf_dir), f"{root}/model",
+                                    base.REVIEWS_PER_DAY, base.REVIEWS_GRID, base.COST_PER_REVIEW, ablation_rounds=10)
+    written = sinks.write_tables(tables, f"{root}/results")
+    counts = [spark.read.parquet(path).agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("result"), "n_rows")
+              for name, path in zip(tables, written)]
+    return reduce(DataFrame.unionByName, counts)
 
 
 def a6_audit_sink(spark, sf_dir):

@@ -23,7 +23,7 @@ def test_every_twin_has_a_query_and_only_models_lack_one():
     assert set(TWINS) <= set(QUERIES)
     without = {name for name in QUERIES if name not in TWINS}
     assert without == {"n1_logistic", "n2_ridge", "n3_lasso", "n4_boosted_trees", "n5_search", "h4_ablation",
-                       "j3_tree_reasons"}
+                       "j3_tree_reasons", "h1_fitted_models", "h2_fitted_curves", "h3_fitted_selection", "i2_fitted_missed"}
 
 
 def test_flagship_entry(spark):
