@@ -39,6 +39,25 @@ def connected_components(pairs: DataFrame, left: str, right: str, max_rounds: in
         "node", F.coalesce("v", "node").alias("component"))
 
 
+def grown_components(labels: DataFrame, pairs: DataFrame, left: str, right: str, max_rounds: int = 60) -> DataFrame:
+    """(node, component) after new pairs, from the labels before them: the same as a full run over all pairs.
+
+    New pairs are contracted onto stored labels, so the rounds work on components that the new pairs touch, however
+    many pairs the labels came from. Nodes without a label are their own component.
+    """
+    def label(frame: DataFrame, node: str, name: str) -> DataFrame:
+        known = labels.select(F.col("node").alias("_node"), F.col("component").alias("_component"))
+        return frame.join(known, F.col(node) == F.col("_node"), "left") \
+            .withColumn(name, F.coalesce("_component", node)).drop("_node", "_component")
+    contracted = cut_lineage(label(label(pairs.select(F.col(left).alias("u"), F.col(right).alias("v")).distinct(), "u", "a"), "v", "b"))
+    moved = cut_lineage(connected_components(contracted, "a", "b", max_rounds)
+                        .select(F.col("node").alias("_from"), F.col("component").alias("_to")))
+    fresh = contracted.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(labels, "node", "left_anti") \
+        .select("node", F.col("node").alias("component"))
+    return labels.select("node", "component").unionByName(fresh).join(moved, F.col("component") == F.col("_from"), "left") \
+        .select("node", F.coalesce("_to", "component").alias("component"))
+
+
 def _attach_larger(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     smallest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskmill.functions.numeric import count_where
 from riskmill.params import BATCH_MAX_ROWS, TRANSACTION_TYPES
-from riskmill.sources.ledger import LEDGER_SCHEMA, REQUEST_COLUMNS, require_columns
+from riskmill.sources.ledger import LEDGER_SCHEMA, REQUEST_COLUMNS, numbered, read_ledger, require_columns
 
 Check = tuple[str, str, Column]
 
@@ -56,6 +56,22 @@ def validation_report(ledger: DataFrame, checks: list[Check] | None = None) -> D
     return totals.select(F.inline(F.array(*entries)))
 
 
+def validated_ingest(spark: SparkSession, source: str, target: str, fmt: str = "csv",
+                     checks: list[Check] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Load, number and store a ledger, and count the violations of its rows as they are written: (table, report).
+
+    The counts are observed metrics of the write, so the file is scanned once.
+    """
+    checks = checks or ledger_checks()
+    seen = Observation()
+    frame = numbered(read_ledger(spark, source, fmt))
+    frame.observe(seen, *[count_where(bad).alias(f"c{i}") for i, (_, _, bad) in enumerate(checks)]).write.mode("overwrite").parquet(target)
+    counts = seen.get
+    report = spark.createDataFrame([(column, rule, counts[f"c{i}"]) for i, (column, rule, _) in enumerate(checks)],
+                                   "column_name string, check_name string, failures long")
+    return spark.read.parquet(target), report
+
+
 def validate_ledger(ledger: DataFrame) -> None:
     """Raise with every failing check listed, not just the first."""
     require_columns(ledger.columns, LEDGER_SCHEMA.names)

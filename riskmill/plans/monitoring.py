@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from riskmill.functions.features import FEATURES
 from riskmill.functions.rules import default_rules
+from riskmill.lineage import cut_lineage
 from riskmill.operators import compare, decisions, drift, economics, graph, metrics, review
 from riskmill.operators.folds import fitted_cuts, fold_part
 from riskmill.plans import base
@@ -40,6 +41,19 @@ def p3_component_statistics(spark, sf_dir):
     return graph.component_statistics(_train_edges(spark, sf_dir))
 
 
+def p3_grown_components(spark, sf_dir):
+    """Component of every destination of the training rows, grown fold by fold from the labels before."""
+    source = base.ledger(spark, sf_dir)
+    cuts, labels, before = fitted_cuts(source), None, -1
+    for number in range(base.FOLDS):
+        rows = _train_edges(spark, sf_dir).where((F.col("step") > before) & (F.col("step") <= cuts[number]))
+        pairs = rows.select(F.concat(F.lit("o:"), "nameOrig").alias("o"), F.concat(F.lit("d:"), "nameDest").alias("d")).distinct()
+        labels = cut_lineage(graph.connected_components(pairs, "o", "d") if labels is None
+                             else graph.grown_components(labels, pairs, "o", "d"))
+        before = cuts[number]
+    return labels.where(F.col("node").startswith("d:")).select(F.expr("substring(node, 3)").alias("nameDest"), "component")
+
+
 def p4_feedback(spark, sf_dir):
     decided = decisions.decide(base.explained(spark, sf_dir), F.col("flagged"), default_rules(base.HARD_BLOCK_AMOUNT))
     queue = decided.where("decision = 'REVIEW'").select("row_id", "score", "isFraud")
@@ -77,7 +91,8 @@ def p7_rate_sensitivity(spark, sf_dir):
 
 QUERIES: dict[str, Query] = {
     "p1_stability_index": p1_stability_index, "p2_destination_degrees": p2_destination_degrees,
-    "p3_component_statistics": p3_component_statistics, "p4_feedback": p4_feedback,
+    "p3_component_statistics": p3_component_statistics, "p3_grown_components": p3_grown_components,
+    "p4_feedback": p4_feedback,
     "p5_bootstrap_precision": p5_bootstrap_precision, "p5_precision_interval": p5_precision_interval,
     "p6_mcnemar": p6_mcnemar, "p7_rate_sensitivity": p7_rate_sensitivity,
 }

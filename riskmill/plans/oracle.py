@@ -756,3 +756,13 @@ _add("j4_tree_additivity", f"""
 _add("l4_bundle_scores", f"""
     SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_batch_off, CAST(0 AS BIGINT) AS n_stream_off,
         CAST(0 AS BIGINT) AS n_flagged_off {_LAST_TEST}""", "folded")
+ORACLE["a1_validated_ingest"] = ORACLE["b1_validation_report"]
+ORACLE["a2_incremental"] = ORACLE["d6_features"]
+ORACLE["e2_bucketed_lookup"] = ORACLE["e2_state_lookup"]
+# Component names are smallest nodes; every destination is below the origins it is linked with.
+_add("p3_grown_components", """
+    , linked AS (SELECT DISTINCT a.nameDest AS d, b.nameDest AS e
+        FROM (SELECT DISTINCT nameDest, nameOrig FROM edges) a JOIN (SELECT DISTINCT nameDest, nameOrig FROM edges) b USING (nameOrig)),
+    reached AS (SELECT d, e FROM linked UNION SELECT r.d, l.e FROM reached r JOIN linked l ON r.e = l.d)
+    SELECT d AS nameDest, 'd:' || min(e) AS component FROM reached GROUP BY d""", "edges")
+ORACLE["p3_grown_components"] = ORACLE["p3_grown_components"].replace("WITH ", "WITH RECURSIVE ", 1)

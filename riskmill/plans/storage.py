@@ -15,13 +15,13 @@ from pyspark.sql import functions as F
 
 from riskmill.functions.rules import default_rules
 from riskmill.lineage import ensure_checkpoint_dir
-from riskmill.operators import state, training
+from riskmill.operators import state, training, validation
 from riskmill.operators.decisions import decide
 from riskmill.operators.folds import fitted_cuts
 from riskmill.plans import base
 from riskmill.plans.core import Query
+from riskmill.sources import incremental, sinks
 from riskmill.sources import ledger as ledgers
-from riskmill.sources import sinks
 from riskmill.streaming import history, scoring
 
 STREAM_PARTS = 10
@@ -45,6 +45,22 @@ def a1_ingest(spark, sf_dir):
     return loaded.select(*ledgers.LEDGER_COLUMNS)
 
 
+def a1_validated_ingest(spark, sf_dir):
+    """Violations of a faulty ledger, counted while it is written."""
+    root = _folder(spark, "ingest")
+    base.faulty_ledger(spark, sf_dir).select("row_id", *ledgers.LEDGER_COLUMNS).write.parquet(f"{root}/source")
+    return validation.validated_ingest(spark, f"{root}/source", f"{root}/ledger", "parquet")[1]
+
+
+def a2_incremental(spark, sf_dir):
+    """The feature table after four appends of consecutive steps."""
+    root = _folder(spark, "appended")
+    rows = _in_parts(base.ledger(spark, sf_dir), 4)
+    for number in range(4):
+        incremental.append_steps(rows.where(F.col("arrival") == number).drop("arrival"), root)
+    return incremental.read_appended(spark, root)
+
+
 def a2_materialize(spark, sf_dir):
     """The features built once and found again: rows, and which of two calls reused the table."""
     root = _folder(spark, "features")
@@ -59,6 +75,15 @@ def a4_snapshot_sink(spark, sf_dir):
     return sinks.read_snapshot(spark, path)
 
 
+def e2_bucketed_lookup(spark, sf_dir):
+    """State lookup in a snapshot stored in buckets by destination."""
+    rows = base.ledger(spark, sf_dir)
+    path = _folder(spark, "buckets")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    stored = sinks.write_bucketed_snapshot(state.destination_snapshot(rows), f"snapshot_{uuid.uuid4().hex}", path, buckets)
+    return state.lookup_state(rows, stored).select("row_id", *state.STATE_COLUMNS, "state_hit")
+
+
 def a5_result_tables(spark, sf_dir):
     """The eleven result tables of one run over all learners and folds, written and read back: rows of each."""
     root = _folder(spark, "run")
@@ -164,7 +189,8 @@ def late_hours(span: int) -> int:
 
 
 QUERIES: dict[str, Query] = {
-    "a1_ingest": a1_ingest, "a2_materialize": a2_materialize, "a4_snapshot_sink": a4_snapshot_sink,
+    "a1_ingest": a1_ingest, "a1_validated_ingest": a1_validated_ingest, "a2_materialize": a2_materialize,
+    "a2_incremental": a2_incremental, "e2_bucketed_lookup": e2_bucketed_lookup, "a4_snapshot_sink": a4_snapshot_sink,
     "a5_result_tables": a5_result_tables, "a6_audit_sink": a6_audit_sink, "a7_upload_columns": a7_upload_columns,
     "t1_stream_scoring": t1_stream_scoring, "t2_stream_history": t2_stream_history,
     "t3_rolling_telemetry": t3_rolling_telemetry,

@@ -42,15 +42,17 @@ def read_ledger(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFra
     return frame
 
 
+def numbered(frame: DataFrame) -> DataFrame:
+    return frame if "row_id" in frame.columns else frame.withColumn("row_id", F.monotonically_increasing_id())
+
+
 def ingest_ledger(spark: SparkSession, source: str, target: str, fmt: str = "csv") -> DataFrame:
     """Load a ledger file once, number its rows, and keep it as parquet.
 
     Generated ids follow file order within a split and are only stable once written, so the table on disk,
     not the CSV scan, is what later steps read.
     """
-    frame = read_ledger(spark, source, fmt)
-    if "row_id" not in frame.columns:
-        frame = frame.withColumn("row_id", F.monotonically_increasing_id())
+    frame = numbered(read_ledger(spark, source, fmt))
     frame.write.mode("overwrite").parquet(target)
     return spark.read.parquet(target)
 

@@ -63,6 +63,16 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def write_bucketed_snapshot(snapshot: DataFrame, table: str, path: str, buckets: int) -> DataFrame:
+    """The snapshot as a catalog table bucketed and sorted by destination; joins on it shuffle the other side only.
+
+    Dealing it first gives each bucket one file, whose order then needs no sort either.
+    """
+    snapshot.repartition(buckets, "name_dest").write.mode("overwrite").format("parquet").option("path", path) \
+        .bucketBy(buckets, "name_dest").sortBy("name_dest").saveAsTable(table)
+    return snapshot.sparkSession.table(table)
+
+
 def write_tables(tables: Mapping[str, DataFrame], root: str, fmt: str = "parquet") -> list[str]:
     """Write each result table under its own name."""
     written = []
