@@ -16,7 +16,8 @@ blocks becomes a group of its own, so that no task holds more than a block.
 
 A null text is an empty one. Texts without words have the fingerprint 0 and are linked like any other; texts of one or
 two words have one shingle, the whole sequence. Null ids count as larger than any other; a component of null ids only
-has a null id. Rows that repeat an id are documents of their own. Empty tables give empty results.
+has a null id. Rows that repeat an id are documents of their own. Texts of any length are read whole, their shingles hashed
+in slices. Further columns are left alone. Empty tables give empty results.
 """
 
 from __future__ import annotations
