@@ -511,8 +511,8 @@ _add("i2_missed_fraud", """
         max(rank) FILTER (WHERE rank > k) AS missed_rank_max,
         CAST(floor(median(rank) FILTER (WHERE rank > k)) AS BIGINT) AS k_to_catch_half_of_missed,
         max(rank) FILTER (WHERE rank > k) AS k_to_catch_all_missed,
-        count(*) FILTER (WHERE rank > k AND rank <= 2 * k) AS missed_within_2x_k,
-        count(*) FILTER (WHERE rank > k AND rank > n / 2e0) AS missed_in_bottom_half
+        CASE WHEN count(*) FILTER (WHERE rank > k) > 0 THEN count(*) FILTER (WHERE rank > k AND rank <= 2 * k) END AS missed_within_2x_k,
+        CASE WHEN count(*) FILTER (WHERE rank > k) > 0 THEN count(*) FILTER (WHERE rank > k AND rank > n / 2e0) END AS missed_in_bottom_half
     FROM f""" % base.REVIEWS_PER_DAY, "ranked", "points")
 _add("i3_queue_composition", "SELECT DISTINCT true_positive_n, false_positive_n, false_negative_n FROM profile", "profile")
 _add("j1_global_importance", """
