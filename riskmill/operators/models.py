@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+from pyspark import SparkContext
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -98,7 +99,16 @@ def fit_logistic(fold: PreparedFold, names: Sequence[str] = FEATURES, strength:
     learner = LogisticRegression(
         featuresCol="vector", labelCol="label", weightCol="weight", maxIter=max_iter, standardization=False,
         regParam=penalty, elasticNetParam=1.0 if l1 else 0.0)
-    return learner.fit(_vectors(fold.train, names, positive, negative))
+    return without_summary(learner.fit(_vectors(fold.train, names, positive, negative)))
+
+
+def without_summary(model):
+    """The model without its training summary, which holds the session and is sent along with every scoring task.
+
+    A session that has observed metrics cannot be serialized, so scoring with the summary would fail from then on.
+    """
+    model._java_obj.setSummary(SparkContext._active_spark_context._jvm.scala.Option.empty())
+    return model
 
 
 def coefficient_table(fold: PreparedFold, model, names: Sequence[str] = FEATURES) -> DataFrame:

@@ -3,7 +3,8 @@
 Rows are ordered by a seeded digest of their id. A histogram over the leading digits of the digest tells in which
 bucket the quota is reached; that bucket's digests are stored and cut again by their next digits, and only the bucket
 reached there is ranked, which yields one cutoff digest per group. The sample is then a plain filter over the rows:
-nothing wide is shuffled and nothing is gathered in one task.
+nothing wide is shuffled and nothing is gathered in one task. The histogram and the cut read stored keys (group, class and
+digest), so the rows themselves are read twice: for their keys and by the filter.
 """
 
 from __future__ import annotations
@@ -56,7 +57,7 @@ def _keep(rows: DataFrame, label: Column, quota: Column, seed: int, by: Sequence
         .withColumn("_digest", hash_key(seed, row_id))
         .withColumn("_bucket", hash_bucket(F.col("_digest"), BUCKET_DIGITS))
     )
-    cutoffs = _cutoffs(keyed, list(by), quota)
+    cutoffs = _cutoffs(cut_lineage(keyed.select(*by, "_class", "_bucket", "_digest")), list(by), quota)
     return keyed.join(F.broadcast(cutoffs), [*by, "_class"]).where("_digest <= _last").select(*rows.columns)
 
 

@@ -99,6 +99,22 @@ def test_leakage_audit_finds_nothing_and_counts_rows(ledger):
     assert (row.prior_count_mismatches, row.prior_sum_mismatches, row.recent_count_mismatches,
             row.recent_sum_mismatches) == (0, 0, 0, 0)
     assert row.prior_count_total > 0
+    assert row.destinations == ledger.select("nameDest").distinct().count()
+
+
+def test_leakage_audit_counts_wrong_and_missing_rows(ledger, monkeypatch):
+    right = history.with_history
+    late = F.col("row_id") % 10 == 0
+    monkeypatch.setattr(history, "with_history", lambda rows: right(rows).withColumns({
+        "prior_rows": F.col("prior_rows") + F.when(late, 1).otherwise(0),
+        "recent_total": F.when(late, None).otherwise(F.col("recent_total"))}))
+    row, wrong = history.leakage_audit(ledger, row_block=16).first(), ledger.where(late).count()
+    assert (row.prior_count_mismatches, row.prior_sum_mismatches, row.recent_count_mismatches,
+            row.recent_sum_mismatches) == (wrong, 0, 0, wrong)
+    gone = ledger.agg(F.min("nameDest")).first()[0]
+    monkeypatch.setattr(history, "with_history", lambda rows: right(rows).where(F.col("nameDest") != gone))
+    row = history.leakage_audit(ledger, row_block=16).first()
+    assert row.rows_checked == ledger.where(F.col("nameDest") != gone).count() and row.prior_count_mismatches > 0
 
 
 def test_feature_scan_fills_nulls(six):

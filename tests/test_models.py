@@ -5,6 +5,7 @@ import random
 
 import pytest
 from ledger_cases import rows_of
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from riskmill.functions.features import FEATURES
@@ -35,6 +36,14 @@ def test_logistic_finds_the_signal_and_repeats(fold):
     assert models.held_out_average_precision(model, fold, NAMES) > 0.6
 
 
+def test_scoring_works_in_a_session_with_observed_metrics(spark, fold):
+    seen = Observation()
+    spark.range(3).observe(seen, F.count("*").alias("n")).collect()
+    assert seen.get == {"n": 3}
+    model = models.fit_logistic(fold, NAMES)
+    assert models.score_with(model, fold.test, NAMES).where("score between 0 and 1").count() == 1000
+
+
 def test_penalties_shrink_and_select(fold):
     plain = models.fit_logistic(fold, NAMES)
     ridge = models.fit_logistic(fold, NAMES, strength=0.001)
