@@ -12,8 +12,12 @@
 Whole words are taken: the document in which a source's demand ends contributes the words up to that end, so sources
 meet their targets to within one word. ``training_rows`` emits whole documents instead, the last one included.
 
-Words before a document: hash ranges of the seeded order are summed first, one running sum per source goes over these
-ranges, a second one inside each range. A range holds about ``RANGE_ROWS`` rows whatever a source's share is.
+Words before a document: hash ranges of the seeded order are summed first, and blocks of ``1 << BLOCK_BITS`` ranges from
+these. Running sums go over a source's blocks, over the ranges of each block and inside each range. A range holds about
+``RANGE_ROWS`` rows whatever a source's share is, so a million documents of a source are one row of the only running sum
+that takes a source whole.
+
+A very long text counts in full; only its number of words is stored and shuffled.
 
 Null texts have no words. Null ids are ordered before all others. Rows that repeat an id are documents of their own.
 An empty table, or one without words, has targets of 0. Further columns are ignored or carried along.
@@ -34,6 +38,7 @@ from riskmill.llm.common import global_index, match, repeat_rows, whole_text, wo
 WEIGHTS = (1, 2, 3)
 MOST_REPEATS = 3
 RANGE_ROWS = 1024
+BLOCK_BITS = 10
 SEED = 9
 
 
@@ -122,9 +127,7 @@ def assign(docs: DataFrame, weights: Sequence[int] = WEIGHTS, curriculum: Sequen
     targets = source_targets(sources, weights, repeats).select(
         F.isnull("source").alias("no_source"), F.coalesce("source", F.lit("")).alias("source_key"),
         "source_size", "weight_no", "target")
-    ahead = Window.partitionBy("no_source", "source_key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cut_lineage(sums.withColumn("range_start", F.coalesce(F.sum("range_size").over(ahead), F.lit(0)))
-                         .drop("range_size").join(targets, ["no_source", "source_key"]))
+    starts = cut_lineage(_range_starts(sums).join(targets, ["no_source", "source_key"]))
     inside = Window.partitionBy(*key).orderBy("order_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = keyed.join(starts, key) \
         .withColumn("before", F.col("range_start") + F.coalesce(F.sum("size").over(inside), F.lit(0))) \
@@ -137,6 +140,18 @@ def assign(docs: DataFrame, weights: Sequence[int] = WEIGHTS, curriculum: Sequen
         "doc_id", "source", "size", "source_size", "weight_no", "target", "need", "before", "taken", "position")
 
 
+def _range_starts(sums: DataFrame) -> DataFrame:
+    """The words of the source before each range: those of earlier blocks and of earlier ranges in its block."""
+    source = ["no_source", "source_key"]
+    blocked = sums.withColumn("block", F.shiftright("range", BLOCK_BITS))
+    ahead = Window.partitionBy(*source).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocked.groupBy(*source, "block").agg(F.sum("range_size").alias("block_size")) \
+        .select(*source, "block", F.coalesce(F.sum("block_size").over(ahead), F.lit(0)).alias("block_start"))
+    within = Window.partitionBy(*source, "block").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("block_start") + F.coalesce(F.sum("range_size").over(within), F.lit(0))
+    return blocked.join(blocks, [*source, "block"]).select(*source, "range", start.alias("range_start"))
+
+
 def position_of(words_before: Column, curriculum: Sequence[Schedule]) -> Column:
     """Training time of a document that has so many words of its source's demand before it."""
     part = words_before.cast("double") / F.greatest(F.col("need"), F.lit(1)).cast("double")

@@ -14,7 +14,8 @@ Only segments are shuffled, and a group holds one page. A missing or surplus seg
 does not fit are reported in ``intact``, with what could be decoded.
 
 Null payloads are empty, null urls leave out the target uri, and control characters and spaces in a url are
-percent-encoded. A null page id counts as larger than any other. Rows that repeat id and payload are one page several
+percent-encoded. A null page id counts as larger than any other, and each row with one has a
+record id of its own, so that no two share their segments. Very long payloads are cut into segments. Rows that repeat id and payload are one page several
 times: all are responses when they are the smallest, and reading returns as many. Further columns are not archived.
 """
 
@@ -58,8 +59,9 @@ def plan_records(pages: DataFrame) -> DataFrame:
                       F.when(again, F.col("first_page")).alias("refers_to_page"))
 
 
-def record_id(page_id: int | None, digest: str) -> str:
-    return f"<urn:page:{'' if page_id is None else page_id}:{digest[:32]}>"
+def record_id(page_id: int | None, digest: str, unnamed: int | None = None) -> str:
+    """``unnamed`` tells rows without a page id apart; nothing refers to those."""
+    return f"<urn:page:{f'n{unnamed}' if page_id is None else page_id}:{digest[:32]}>"
 
 
 def framed(payload: bytes) -> bytes:
@@ -91,9 +93,10 @@ def _record(kind: str, name: str, block: bytes, *more: str) -> bytes:
     return "\r\n".join(lines).encode() + END + block
 
 
-def records_of(page_id: int | None, url: str | None, payload: bytes, digest: str, kind: str, first: int | None) -> Iterator[bytes]:
+def records_of(page_id: int | None, url: str | None, payload: bytes, digest: str, kind: str, first: int | None,
+               unnamed: int | None = None) -> Iterator[bytes]:
     """The records of one page, without the blank lines after them."""
-    name = record_id(page_id, digest)
+    name = record_id(page_id, digest, unnamed)
     about = [f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http; msgtype=response"]
     if url is not None:
         about.insert(0, "WARC-Target-URI: " + re.sub(
@@ -131,7 +134,8 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def write_archives(pages: DataFrame, path: str) -> None:
     """Archives under ``path``, a folder that all executors share and that does not exist yet."""
-    packed = plan_records(pages).mapInArrow(_pack, "archive binary")
+    unnamed = F.when(F.isnull("page_id"), F.monotonically_increasing_id())
+    packed = plan_records(pages).withColumn("unnamed", unnamed).mapInArrow(_pack, "archive binary")
     packed.select(F.col("archive").cast("string").alias("value")).write.option("lineSep", END.decode()) \
         .option("compression", "gzip").option("maxRecordsPerFile", 1).text(path)
 

@@ -115,6 +115,15 @@ def test_mixing_meets_targets(documents, odd_rows, range_rows):
     assert sorted(map(tuple, found), key=repr) == sorted(map(tuple, mixing.assign(documents(rows), range_rows=range_rows).collect()), key=repr)
 
 
+@pytest.mark.parametrize("bits", [0, 1, 3])
+def test_words_before_do_not_depend_on_blocks(documents, monkeypatch, bits):
+    rows = [(i, f"s{0 if i % 3 else i % 5}", " ".join(["w"] * (i % 17))) for i in range(400)]
+    docs = documents(rows)
+    wanted = sorted(map(tuple, mixing.assign(docs, range_rows=1000).collect()))
+    monkeypatch.setattr(mixing, "BLOCK_BITS", bits)
+    assert sorted(map(tuple, mixing.assign(docs, range_rows=7).collect())) == wanted
+
+
 def test_positions_follow_the_schedule(spark):
     schedule = mixing.Schedule(((0.0, 0.0), (0.4, 2.0), (1.0, 0.5)))
     whole = 0.4 * 1.0 + 0.6 * 1.25

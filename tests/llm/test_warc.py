@@ -43,6 +43,17 @@ def test_pages_come_back(spark, pages, tmp_path, monkeypatch, archive_bytes):
     assert texts == {(r.html or "").encode() for r in pages.collect()}
 
 
+def test_rows_without_id_keep_their_own_segments(spark, tmp_path):
+    folder, text = str(tmp_path / "unnamed"), "long text " * 5000
+    rows = [(None, f"http://n/{i}", text) for i in range(40)] + [(None, None, "short")] * 3
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), folder)
+    read = warc.read_archives(spark, folder).collect()
+    assert len(read) == 43 and all(r.intact for r in read) and len({r.record_id for r in read}) == 43
+    assert sorted(r.uri for r in read if len(r.payload) > 100) == sorted(f"http://n/{i}" for i in range(40))
+    pages = warc.archived_pages(spark, folder).collect()
+    assert [(r.page_id, r.record_type, r.refers_to) for r in pages] == [(None, "response", None)] * 43
+
+
 def test_empty_table(spark, pages, tmp_path):
     folder = str(tmp_path / "none")
     warc.write_archives(pages.limit(0), folder)
