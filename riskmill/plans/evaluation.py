@@ -70,7 +70,7 @@ def f8_stratified_sample(spark, sf_dir):
 
 
 def f9_all_positives_filled(spark, sf_dir):
-    kept = sampling.all_positives_filled(base.ledger(spark, sf_dir), 5000, base.SAMPLE_SEED)
+    kept = sampling.all_positives_filled(base.ledger(spark, sf_dir), 5000, base.SAMPLE_SEED, grow=True)
     return kept.select("row_id", "isFraud", "amount")
 
 

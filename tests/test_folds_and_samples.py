@@ -5,6 +5,7 @@ from ledger_cases import rows_of
 from pyspark.sql import functions as F
 
 from riskmill.operators import folds, sampling, scaling
+from riskmill.plans import evaluation
 
 
 @pytest.fixture(scope="module")
@@ -71,6 +72,24 @@ def test_all_positives_filled_and_its_error(thousand):
         sampling.all_positives_filled(thousand, 99, 42).collect()
 
 
+def test_a_sample_that_may_grow_is_all_positives_when_they_exceed_it(thousand):
+    wanted = {r.row_id for r in thousand.where("isFraud = 1").collect()}
+    kept = sampling.all_positives_filled(thousand, 99, 42, grow=True).collect()
+    assert len(wanted) > 99 and {r.row_id for r in kept} == wanted and len(kept) == len(wanted)
+    assert sampling.all_positives_filled(thousand, 150, 42, grow=True).count() == 150
+
+
+def test_the_filled_sample_query_keeps_more_positives_than_its_size(spark, tmp_path):
+    kind = F.when(F.col("id") % 8 == 0, "view").otherwise("purchase")
+    spark.range(6000).select((F.col("id") * 13).alias("event_id"), F.expr("TIMESTAMP_NTZ'2024-01-01 05:00:00'").alias("ts"),
+                             F.col("id").alias("user_id"), kind.alias("event_type"), F.lit(1.5).alias("value")) \
+        .write.parquet(str(tmp_path / "events.parquet"))
+    kept = evaluation.f9_all_positives_filled(spark, str(tmp_path))
+    assert rows_of(kept.groupBy("isFraud").agg(F.count("*"), F.countDistinct("row_id")), "isFraud", "count(1)", "count(DISTINCT row_id)") \
+        == [(1, 5250, 5250)]
+
+
+
 def test_scaler_round_trip_and_constant_column(spark):
     rows = spark.createDataFrame([(1.0, 5.0), (2.0, 5.0), (3.0, 5.0)], "a double, b double")
     fitted = scaling.fitted_values(scaling.fit_scaler(rows, names=("a", "b")), ("a", "b"))
