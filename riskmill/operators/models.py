@@ -6,14 +6,17 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark import SparkContext
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, LogisticRegressionModel
+from pyspark.ml.common import _py2java
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskmill.functions.features import BASE_FEATURES, DESTINATION_FEATURES, FEATURES, TYPE_FEATURES
 from riskmill.lineage import cut_lineage
+from riskmill.operators import newton
 from riskmill.operators.folds import class_weight, positive_weight
 from riskmill.operators.metrics import average_precision, evaluate
 from riskmill.operators.ranking import cumulative_histogram
@@ -89,8 +92,9 @@ def fit_logistic(fold: PreparedFold, names: Sequence[str] = FEATURES, strength:
                  l1: bool = False, max_iter: int = LINEAR_ROUNDS):
     """Balanced logistic regression; ``strength`` is the inverse penalty C applied to the summed loss.
 
-    Spark averages the loss over the total weight, hence the penalty C becomes 1 / (C * total weight). Balanced
-    weights give each class half of the rows, so the total weight is the row count.
+    The loss is averaged over the total weight, hence the penalty C becomes 1 / (C * total weight). Balanced
+    weights give each class half of the rows, so the total weight is the row count. Newton steps find the minimum: Spark's
+    own learner runs a job per round, and on these features needs a thousand.
     """
     share = fold.train.agg(F.count("*").alias("rows"), F.sum("is_fraud").alias("fraud")).first()
     positive = share.rows / (2.0 * max(share.fraud, 1))
@@ -99,7 +103,23 @@ def fit_logistic(fold: PreparedFold, names: Sequence[str] = FEATURES, strength:
     learner = LogisticRegression(
         featuresCol="vector", labelCol="label", weightCol="weight", maxIter=max_iter, standardization=False,
         regParam=penalty, elasticNetParam=1.0 if l1 else 0.0)
-    return without_summary(learner.fit(_vectors(fold.train, names, positive, negative)))
+    vectors = _vectors(fold.train, names, positive, negative)
+    if not 0 < share.fraud < share.rows:
+        return without_summary(learner.fit(vectors))  # one label only: nothing to search for
+    rows = vectors.select(vector_to_array("vector").alias("x"), "label", "weight").persist()
+    try:
+        coefficients, intercept = newton.fit(rows, len(names), 0.0 if l1 else penalty, penalty if l1 else 0.0, max_iter)
+    finally:
+        rows.unpersist()
+    return _linear_model(learner, coefficients, intercept)
+
+
+def _linear_model(learner: LogisticRegression, coefficients: Sequence[float], intercept: float) -> LogisticRegressionModel:
+    """Spark's model of these coefficients, with the learner's columns and parameters."""
+    vector = _py2java(SparkContext._active_spark_context, Vectors.dense(coefficients))
+    made = LogisticRegressionModel._new_java_obj(
+        "org.apache.spark.ml.classification.LogisticRegressionModel", learner.uid, vector, float(intercept))
+    return learner._copyValues(LogisticRegressionModel(made))
 
 
 def without_summary(model):

@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 import pytest
 from ledger_cases import rows_of
 from pyspark.sql import Observation
@@ -148,3 +149,40 @@ def test_bundle_scores_like_the_model_after_a_reload(spark, fold, tmp_path):
     found = scored.collect()
     assert len(found) == len(wanted) and all(abs(r.score - wanted[r.row_id]) < 1e-12 and r.flagged == (r.score >= 0.4) for r in found)
     assert loaded.score(rows.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("options", [{}, {"strength": 0.1}, {"strength": 0.1, "l1": True}], ids=["logistic", "ridge", "lasso"])
+def test_fits_reach_the_minimum_in_few_jobs(spark, options):
+    """One feature nearly repeats another, and rows of one kind are never fraud."""
+    rng = np.random.default_rng(5)
+    made = []
+    for i in range(600):
+        a, b, never = float(rng.normal()), float(rng.normal()), float(i % 3 == 0)
+        made.append((i, i, int(never == 0 and rng.random() < 1 / (1 + np.exp(2 - a))), a, a + 1e-4 * b, b, never))
+    names = ["a", "a_again", "b", "never"]
+    train = spark.createDataFrame(made, "row_id long, step long, is_fraud int, " + ", ".join(f"{n} double" for n in names))
+    fold = models.PreparedFold(train, train, 1.0, 1.0)
+    spark.sparkContext.setJobGroup(f"fit {options}", "")
+    model = models.fit_logistic(fold, names, **options)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"fit {options}")) < 50
+    spark.sparkContext.setJobGroup("", "")
+
+    x, y = np.array([r[3:] for r in made]), np.array([r[2] for r in made])
+    b = np.array([float(v) for v in model.coefficients])
+    weight = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
+    off = weight * (1 / (1 + np.exp(-(x @ b + model.intercept))) - y)
+    strength = options.get("strength", 1.0)
+    slope = strength * off @ x  # of the summed loss times C; the penalty's slope is the coefficient or its sign
+    assert abs(off.sum()) < 1e-6
+    if options.get("l1"):
+        assert np.all(np.abs(slope) <= 1 + 1e-6) and np.allclose(slope[b != 0], -np.sign(b[b != 0]), atol=1e-6)
+    else:
+        assert np.allclose(slope, -b, atol=1e-6)
+    scores = models.score_with(model, train, names).orderBy("row_id").collect()
+    assert np.allclose([r.score for r in scores], 1 / (1 + np.exp(-(x @ b + model.intercept))), atol=1e-12)
+
+
+def test_a_fold_of_one_label_fits_as_before(spark):
+    train = spark.createDataFrame([(i, i, 0, float(i)) for i in range(5)], "row_id long, step long, is_fraud int, a double")
+    model = models.fit_logistic(models.PreparedFold(train, train, 1.0, 1.0), ["a"])
+    assert list(model.coefficients) == [0.0] and model.intercept == float("-inf")
