@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 from decimal import Decimal
 
+import pandas as pd
 import pytest
 from ledger_cases import rows_of
 from pyspark.sql import functions as F
@@ -134,3 +135,27 @@ def test_late_rows_beyond_the_watermark_are_dropped(spark, tmp_path):
         query.awaitTermination()
     made = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(r.n_scored for r in made.collect()) == [1, 1, 1]
+
+
+def test_one_call_serves_all_destinations_of_a_bucket_each_with_its_own_state():
+    """Two batches of three destinations, one without a name, against one walk per destination."""
+    class Pasts(dict):
+        getValue, updateValue = dict.get, dict.__setitem__
+
+    processor = history.DestinationHistory(history.LATE_HOURS)
+    processor.state = Pasts()
+    rng, wanted, made, pasts = random.Random(3), [], [], {}
+    for batch in range(2):
+        rows = [(100 * batch + i, 30 * batch + rng.randrange(30), rng.choice(["C1", "C2", None]), Decimal(rng.randrange(1, 90))) for i in range(40)]
+        frame = pd.DataFrame(rows, columns=["row_id", "step", "nameDest", "value"])
+        frame.insert(3, "amount", frame["value"].astype(float))
+        answers = list(processor.handleInputRows((7,), iter([frame[:15], frame[15:]]), None))
+        assert len(answers) == 1
+        made += [(r.nameDest, r.row_id, r.prior_rows, r.prior_total, r.recent_rows, r.recent_total) for r in answers[0].itertuples()]
+        for name in ("C1", "C2", None):
+            past = pasts.setdefault(name, history.Past())
+            its = sorted((step, row_id, float(value), value) for row_id, step, dest, value in rows if dest == name)
+            wanted += [(name, row_id, *rest) for row_id, _, _, *rest in past.take(iter(its))]
+            past.forget(history.LATE_HOURS)
+    assert set(processor.state) == {("C1",), ("C2",), (None,)}
+    assert sorted(map(repr, made)) == sorted(map(repr, wanted))
