@@ -186,3 +186,31 @@ def test_a_fold_of_one_label_fits_as_before(spark):
     train = spark.createDataFrame([(i, i, 0, float(i)) for i in range(5)], "row_id long, step long, is_fraud int, a double")
     model = models.fit_logistic(models.PreparedFold(train, train, 1.0, 1.0), ["a"])
     assert list(model.coefficients) == [0.0] and model.intercept == float("-inf")
+
+
+def counted_fold(spark, seen):
+    """Training rows that count in ``seen`` each time one of them is made."""
+    def counted(value: float) -> float:
+        seen.add(1)
+        return value
+    rows = spark.range(400).select(
+        F.col("id").alias("row_id"), (F.col("id") % 100).alias("step"), (F.col("id") % 7 < 2).cast("int").alias("is_fraud"),
+        F.udf(counted, "double")((F.col("id") % 7 + F.col("id") % 3).cast("double")).alias("a"),
+        (F.col("id") % 11).cast("double").alias("b"))
+    test = rows.withColumn("a", (F.col("row_id") % 7).cast("double"))
+    return models.PreparedFold(rows.where("row_id < 300"), test.where("row_id >= 300"), 3.0, 3.0)
+
+
+def test_a_search_makes_the_rows_of_a_fold_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    folds = [counted_fold(spark, seen) for _ in range(2)]
+    tried = models.search_trees(folds, ("a", "b"), (Range("max_depth", 1, 3, whole=True),), n_trials=3, max_iter=2)
+    assert seen.value == sum(fold.train.select("row_id").count() for fold in folds)
+    areas = [models.held_out_average_precision(models.fit_trees(fold, ("a", "b"), 2, **tried[0].params), fold, ("a", "b")) for fold in folds]
+    assert tried[0].value == sum(areas) / 2
+
+
+def test_a_single_tree_fit_makes_its_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    models.fit_trees(counted_fold(spark, seen), ("a", "b"), max_iter=3, max_depth=2)
+    assert seen.value == 300
