@@ -4,6 +4,8 @@ A pass adds up loss, gradient and Hessian at one point; every task returns one r
 what meets on the driver depends on features and partitions only. The next point minimises the quadratic that the sums
 describe, with its penalty, and is halved back while the loss itself does not fall. A dozen or two passes reach the
 minimum, where first-order methods need a thousand on features that nearly repeat each other.
+
+Rows are turned into matrices of one batch each before the first pass, so that a pass only multiplies.
 """
 
 from __future__ import annotations
@@ -13,7 +15,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import RDD
+from pyspark.sql import DataFrame, Row
 
 # A predicted fall of the mean loss below this ends the fit.
 LEAST_FALL = 1e-15
@@ -30,11 +33,21 @@ class Sums:
     hessian: np.ndarray
 
 
-def fit(rows: DataFrame, width: int, l2: float, l1: float, max_rounds: int) -> tuple[np.ndarray, float]:
+Block = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def blocks(rows: DataFrame, width: int) -> RDD[Block]:
+    """The rows' ``x`` (array of ``width`` doubles) with a one for the intercept, ``label`` (0 or 1) and ``weight`` as a matrix
+    and two vectors per batch of an Arrow stream, in the rows' partitions."""
+    packed = rows.select("x", "label", "weight").mapInArrow(_packer(width + 1), "block binary")
+    return packed.rdd.map(_unpacker(width + 1))
+
+
+def fit(stored: RDD[Block], width: int, l2: float, l1: float, max_rounds: int) -> tuple[np.ndarray, float]:
     """Coefficients and intercept that minimise the weighted mean loss plus ``l2 / 2 * |b|^2 + l1 * |b|``.
 
-    ``rows`` has ``x`` (array of ``width`` doubles), ``label`` (0 or 1) and ``weight``. It is read once per round, so it should
-    be stored. The intercept is not penalised. Of features that repeat each other the coefficients stay alike.
+    ``stored`` are ``blocks``. They are read once per round, so they should be persisted. The intercept is not penalised. Of
+    features that repeat each other the coefficients stay alike.
     """
     free = np.append(np.ones(width), 0.0)
 
@@ -42,7 +55,7 @@ def fit(rows: DataFrame, width: int, l2: float, l1: float, max_rounds: int) -> t
         return float(l2 / 2 * (free * at * at).sum() + l1 * (free * np.abs(at)).sum())
 
     at = np.zeros(width + 1)
-    sums = sums_at(rows, at)
+    sums = sums_at(stored, at)
     for _ in range(max_rounds):
         gradient, hessian = sums.gradient + l2 * free * at, sums.hessian + l2 * np.diag(free)
         step = _least(hessian, gradient, at, l1 * free) - at
@@ -54,7 +67,7 @@ def fit(rows: DataFrame, width: int, l2: float, l1: float, max_rounds: int) -> t
         for halving in range(HALVINGS):
             share = 0.5 ** halving
             tried = at + share * step
-            sums = sums_at(rows, tried)
+            sums = sums_at(stored, tried)
             if sums.loss + penalty(tried) <= now + 1e-4 * share * fall:
                 break
         else:
@@ -63,38 +76,51 @@ def fit(rows: DataFrame, width: int, l2: float, l1: float, max_rounds: int) -> t
     return at[:-1], float(at[-1])
 
 
-def sums_at(rows: DataFrame, at: np.ndarray) -> Sums:
+def sums_at(stored: RDD[Block], at: np.ndarray) -> Sums:
     """One pass. The sums of the tasks are added in the order of their partitions, so equal passes give equal sums."""
     side = len(at)
-    parts = rows.select("x", "label", "weight").mapInArrow(_adder(at), "sums array<double>").collect()
     total = np.zeros(2 + side + side * side)
-    for part in parts:
-        total += np.asarray(part.sums)
+    for part in stored.mapPartitions(_adder(at)).collect():
+        total += part
     total = total / total[0]
     return Sums(float(total[1]), total[2:2 + side], total[2 + side:].reshape(side, side))
 
 
-def _adder(at: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _adder(at: np.ndarray) -> Callable[[Iterator[Block]], Iterator[np.ndarray]]:
+    def add(parts: Iterator[Block]) -> Iterator[np.ndarray]:
         side = len(at)
         weight_sum, loss, gradient, hessian = 0.0, 0.0, np.zeros(side), np.zeros((side, side))
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, side - 1)
-            x = np.hstack([x, np.ones((batch.num_rows, 1))])
-            label, weight = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+        for x, label, weight in parts:
             margin = x @ at
             chance = 0.5 * (1.0 + np.tanh(0.5 * margin))
             weight_sum += weight.sum()
             loss += (weight * (np.logaddexp(0.0, margin) - label * margin)).sum()
             gradient += (weight * (chance - label)) @ x
             hessian += (x * (weight * chance * (1.0 - chance))[:, None]).T @ x
-        sums = [weight_sum, loss, *gradient, *hessian.ravel()]
-        yield pa.RecordBatch.from_pydict({"sums": pa.array([[float(v) for v in sums]], pa.list_(pa.float64()))})
+        yield np.concatenate([[weight_sum, loss], gradient, hessian.ravel()])
     return add
 
 
+def _packer(side: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, side - 1)
+            label, weight = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+            joined = np.concatenate([np.hstack([x, np.ones((batch.num_rows, 1))]).ravel(), label, weight])
+            yield pa.RecordBatch.from_pydict({"block": pa.array([joined.tobytes()], pa.binary())})
+    return pack
+
+
+def _unpacker(side: int) -> Callable[[Row], Block]:
+    def unpack(row: Row) -> Block:
+        values = np.frombuffer(row.block)
+        rows = len(values) // (side + 2)
+        return values[:rows * side].reshape(rows, side), values[rows * side:rows * (side + 1)], values[rows * (side + 1):]
+    return unpack
+
+
 def _least(hessian: np.ndarray, gradient: np.ndarray, at: np.ndarray, l1: np.ndarray) -> np.ndarray:
     """Where ``gradient * (b - at) + (b - at) * hessian * (b - at) / 2 + sum(l1 * |b|)`` is least.
 

@@ -214,3 +214,28 @@ def test_a_single_tree_fit_makes_its_rows_once(spark):
     seen = spark.sparkContext.accumulator(0)
     models.fit_trees(counted_fold(spark, seen), ("a", "b"), max_iter=3, max_depth=2)
     assert seen.value == 300
+
+
+def test_logistic_fits_on_kept_rows_make_them_once_and_equal_single_fits(spark):
+    seen = spark.sparkContext.accumulator(0)
+    fold, penalties = counted_fold(spark, seen), ({}, {"strength": 0.1}, {"strength": 0.1, "l1": True})
+    with models.for_logistic(fold, ("a", "b")) as ready:
+        kept = [models.fit_logistic(ready, ("a", "b"), **options) for options in penalties]
+        assert seen.value == 300
+        alone = models.fit_logistic(ready, ("b",))  # other features than the kept ones
+    assert len(alone.coefficients) == 1
+    for model, options in zip(kept, penalties):
+        single = models.fit_logistic(fold, ("a", "b"), **options)
+        assert list(single.coefficients) == list(model.coefficients) and single.intercept == model.intercept
+    assert not ready.linear.blocks.is_cached
+
+
+def test_kept_rows_of_many_batches_and_of_empty_partitions(spark):
+    train = spark.range(0, 30000, 1, 2).union(spark.range(0)).select(
+        F.col("id").alias("row_id"), F.col("id").alias("step"), (F.col("id") % 5 == 0).cast("int").alias("is_fraud"),
+        (F.col("id") % 13).cast("double").alias("a"))
+    with models.for_logistic(models.PreparedFold(train, train, 1.0, 1.0), ("a",)) as ready:
+        sizes = ready.linear.blocks.map(lambda block: len(block[1])).collect()
+        assert sum(sizes) == 30000 and max(sizes) <= 10000
+        weights = ready.linear.blocks.map(lambda block: float(block[2].sum())).sum()
+        assert weights == pytest.approx(30000)
