@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskmill.functions.features import FEATURES
-from riskmill.lineage import cut_lineage
+from riskmill.lineage import cut_lineage, ensure_checkpoint_dir, side_by_side
 from riskmill.operators import attribution, compare, economics, errors, metrics, models, tree_attribution
 from riskmill.operators.models import PreparedFold, fit_logistic, fit_trees
 
@@ -37,17 +37,23 @@ class LastFold:
 
 
 def store_scores(folded: DataFrame, folds: Iterable[int], path: str, learners: Mapping[str, Learner] = LEARNERS) -> LastFold:
-    """Fits every learner on every fold and stores its test scores under ``path``; an interrupted run starts over."""
-    last = None
-    for number in folds:
+    """Fits every learner on every fold and stores its test scores under ``path``; an interrupted run starts over.
+
+    Folds are fitted at the same time.
+    """
+    numbers = list(folds)
+    if not numbers:
+        raise ValueError("no folds to fit")
+    ensure_checkpoint_dir(folded.sparkSession)
+
+    def fit_and_store(number: int) -> LastFold:
         rows = models.prepare_fold(folded, number)
-        fitted = {name: learn(rows) for name, learn in learners.items()}
+        with models.for_logistic(rows) as ready:
+            fitted = {name: learn(ready) for name, learn in learners.items()}
         for name, model in fitted.items():
             models.score_with(model, rows.test).write.mode("overwrite").parquet(f"{path}/model={name}/fold={number}")
-        last = LastFold(number, rows, fitted)
-    if last is None:
-        raise ValueError("no folds to fit")
-    return last
+        return LastFold(number, rows, fitted)
+    return side_by_side(fit_and_store, numbers)[-1]
 
 
 def read_scores(spark: SparkSession, path: str) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import threading
+
 import pytest
 from ledger_cases import SMALL
 from pyspark.sql import functions as F
 
 from riskmill.functions.features import FEATURES
+from riskmill.lineage import side_by_side
 from riskmill.operators import compare, errors, metrics, training
 from riskmill.operators.models import fit_logistic, fit_trees
 from riskmill.plans import base
@@ -80,3 +83,21 @@ def test_eleven_tables(spark, run, tmp_path):
     assert counts["global_importance"] == counts["error_analysis_profile"] == len(FEATURES)
     with pytest.raises(ValueError):
         training.store_scores(base.folded(spark, SMALL), (), str(tmp_path / "none"))
+
+
+def test_folds_are_fitted_at_the_same_time(spark, tmp_path):
+    both = threading.Barrier(2, timeout=60)
+
+    def learn(fold):
+        both.wait()
+        return fit_logistic(fold)
+    path = str(tmp_path / "scores")
+    last = training.store_scores(base.folded_features(spark, SMALL), (2, 3), path, {"logistic": learn})
+    assert last.number == 3 and list(last.models) == ["logistic"]
+    assert {r.fold for r in training.read_scores(spark, path).select("fold").distinct().collect()} == {2, 3}
+
+
+def test_side_by_side_keeps_the_order_and_raises(spark):
+    assert side_by_side(lambda x: x * 2, range(7)) == [0, 2, 4, 6, 8, 10, 12] and side_by_side(str, []) == []
+    with pytest.raises(ZeroDivisionError):
+        side_by_side(lambda x: 1 // x, (2, 1, 0))
