@@ -55,12 +55,14 @@ def queue_composition(rows: DataFrame, flagged: Column, by: Sequence[str] = (),
         *[count_where(inside).alias(f"{group}_n") for group, inside in queue_groups(flagged, label).items()])
 
 
-def missed_fraud_ranking(scored: DataFrame, flagged_count: Column, by: Sequence[str] = ()) -> DataFrame:
+def missed_fraud_ranking(scored: DataFrame, flagged_count: Column, by: Sequence[str] = (),
+                         ranked: DataFrame | None = None) -> DataFrame:
     """Ranks of the fraud outside the queue. ``flagged_count`` is the number of rows really flagged, ties included.
 
-    A group without fraud yields no row; without misses the rank statistics are NULL.
+    A group without fraud yields no row; without misses the rank statistics are NULL. ``ranked`` are the ``global_rank`` rows
+    when a caller has them.
     """
-    ranked = global_rank(scored, by).withColumn("_k", flagged_count)
+    ranked = (global_rank(scored, by) if ranked is None else ranked).withColumn("_k", flagged_count)
     fraud = ranked.where("is_fraud = 1")
     missed = F.col("rank") > F.col("_k")
     stats = fraud.groupBy(*by).agg(

@@ -76,7 +76,11 @@ def staffing_ks(grid: Sequence[float]) -> Column:
 
 def capacity_sweep(scored: DataFrame, grid: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Operating point per staffing level with the best precision any ranking could reach there."""
-    histogram = cumulative_histogram(scored, by)
+    return histogram_sweep(cumulative_histogram(scored, by), grid, by)
+
+
+def histogram_sweep(histogram: DataFrame, grid: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """The sweep from a cumulative histogram with step ranges."""
     points = operating_points(histogram, staffing_ks(grid), by, ("reviews_per_day", "window_days"))
     ceiling = F.least(F.lit(1.0), ratio(F.col("total_fraud"), F.col("n_flagged")))
     return points.drop("first_step", "last_step").withColumn("precision_ceiling", ceiling).withColumn(
@@ -159,12 +163,17 @@ def balance_weight() -> Column:
     return (F.col("n_rows") - F.col("n_positive")) / F.greatest(F.col("n_positive"), F.lit(1))
 
 
-def evaluate(scored: DataFrame, reviews_per_day: float, by: Sequence[str] = ("model", "fold")) -> DataFrame:
-    """The full result row per group: curve areas, loss, headline top-K, and the capacity operating point."""
+def evaluate(scored: DataFrame, reviews_per_day: float, by: Sequence[str] = ("model", "fold"),
+             ranked: DataFrame | None = None) -> DataFrame:
+    """The full result row per group: curve areas, loss, headline top-K, and the capacity operating point.
+
+    ``ranked`` are the ``ranked_scores`` when a caller has them.
+    """
     by = list(by)
     # One stored order serves the ranks and, grouped by score, the cumulative histogram.
     in_head = (F.col("is_fraud") == 1) & (F.col("rank") <= multiple_k(HEADLINE_MULTIPLE))
-    histogram = histogram_of_ranks(ranked_scores(scored, by), by, count_where(in_head).alias("head_hits"))
+    ranked = ranked_scores(scored, by) if ranked is None else ranked
+    histogram = histogram_of_ranks(ranked, by, count_where(in_head).alias("head_hits"))
     days = days_between(F.col("first_step"), F.col("last_step"))
     k = capacity_k(days, F.lit(float(reviews_per_day)), F.col("total_rows"))
     at = _inside_step(k)

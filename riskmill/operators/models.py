@@ -50,6 +50,17 @@ class LinearRows:
     blocks: RDD
 
 
+@dataclass(frozen=True)
+class Logistic:
+    """A balanced logistic regression as a learner; ``strength`` is the inverse penalty C applied to the summed loss."""
+
+    strength: float | None = 1.0
+    l1: bool = False
+
+    def __call__(self, fold: PreparedFold) -> LogisticRegressionModel:
+        return fit_logistic(fold, strength=self.strength, l1=self.l1)
+
+
 @dataclass(frozen=True)
 class PreparedFold:
     """Scaled rows of one fold. Training is resampled, testing is not; each has its own class weight."""
@@ -108,12 +119,12 @@ def for_logistic(fold: PreparedFold, names: Sequence[str] = FEATURES) -> Iterato
     share = fold.train.agg(F.count("*").alias("rows"), F.sum("is_fraud").alias("fraud")).first()
     n_fraud = share.fraud or 0
     vectors = _vectors(fold.train, names, share.rows / (2.0 * max(n_fraud, 1)), share.rows / (2.0 * max(share.rows - n_fraud, 1)))
-    blocks = newton.blocks(vectors.select(vector_to_array("vector").alias("x"), "label", "weight"), len(names))
-    blocks.persist(StorageLevel.MEMORY_AND_DISK)
+    packed = newton.packed(vectors.select(vector_to_array("vector").alias("x"), "label", "weight"), len(names))
+    packed.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        yield replace(fold, linear=LinearRows(tuple(names), share.rows, n_fraud, vectors, blocks))
+        yield replace(fold, linear=LinearRows(tuple(names), share.rows, n_fraud, vectors, newton.blocks(packed, len(names))))
     finally:
-        blocks.unpersist()
+        packed.unpersist()
 
 
 def fit_logistic(fold: PreparedFold, names: Sequence[str] = FEATURES, strength: float | None = 1.0,
@@ -125,18 +136,24 @@ def fit_logistic(fold: PreparedFold, names: Sequence[str] = FEATURES, strength:
     own learner runs a job per round, and on these features needs a thousand. The rows of ``for_logistic`` are used if the
     fold has them.
     """
+    return fit_logistics(fold, [Logistic(strength, l1)], names, max_iter)[0]
+
+
+def fit_logistics(fold: PreparedFold, wanted: Sequence[Logistic], names: Sequence[str] = FEATURES,
+                  max_iter: int = LINEAR_ROUNDS) -> list[LogisticRegressionModel]:
+    """The models of ``fit_logistic`` for several penalties, which share their passes over the rows."""
     kept = fold.linear
     if kept is None or kept.names != tuple(names):
         with for_logistic(fold, names) as ready:
-            return fit_logistic(ready, names, strength, l1, max_iter)
-    penalty = 0.0 if strength is None else 1.0 / (strength * kept.n_rows)
-    learner = LogisticRegression(
+            return fit_logistics(ready, wanted, names, max_iter)
+    penalties = [0.0 if one.strength is None else 1.0 / (one.strength * kept.n_rows) for one in wanted]
+    learners = [LogisticRegression(
         featuresCol="vector", labelCol="label", weightCol="weight", maxIter=max_iter, standardization=False,
-        regParam=penalty, elasticNetParam=1.0 if l1 else 0.0)
+        regParam=penalty, elasticNetParam=1.0 if one.l1 else 0.0) for one, penalty in zip(wanted, penalties)]
     if not 0 < kept.n_fraud < kept.n_rows:
-        return without_summary(learner.fit(kept.vectors))  # one label only: nothing to search for
-    coefficients, intercept = newton.fit(kept.blocks, len(names), 0.0 if l1 else penalty, penalty if l1 else 0.0, max_iter)
-    return _linear_model(learner, coefficients, intercept)
+        return [without_summary(learner.fit(kept.vectors)) for learner in learners]  # one label only: nothing to search for
+    found = newton.fit(kept.blocks, len(names), [(0.0, p) if one.l1 else (p, 0.0) for one, p in zip(wanted, penalties)], max_iter)
+    return [_linear_model(learner, *values) for learner, values in zip(learners, found)]
 
 
 def _linear_model(learner: LogisticRegression, coefficients: Sequence[float], intercept: float) -> LogisticRegressionModel:
@@ -244,11 +261,17 @@ def refit_best(folds: Sequence[PreparedFold], tried: Sequence[Trial], names: Seq
 
 
 def ablate(fold: PreparedFold, number: int, reviews_per_day: float, max_iter: int = TREE_ROUNDS) -> DataFrame:
-    """Trees on each feature set, evaluated at the same capacity. Scaling is per column, so no refit is needed."""
-    def table(label: str) -> DataFrame:
+    """Trees on each feature set, evaluated at the same capacity. Scaling is per column, so no refit is needed.
+
+    The scores of all sets are evaluated in one order.
+    """
+    def scores(label: str) -> DataFrame:
         names = FEATURE_SETS[label]
-        result = evaluate_model(fit_trees(fold, names, max_iter=max_iter), label, number, fold, names, reviews_per_day)
-        return result.select(
-            F.col("model").alias("feature_set"), F.lit(len(names)).alias("n_features"), "pr_auc", "weighted_bce",
-            "capacity_precision", "capacity_recall", "capacity_false_positives", "capacity_false_negatives")
-    return reduce(DataFrame.unionByName, side_by_side(table, list(FEATURE_SETS)))
+        scored = score_with(fit_trees(fold, names, max_iter=max_iter), fold.test, names)
+        return scored.withColumn("model", F.lit(label)).withColumn("fold", F.lit(number))
+    result = evaluate(reduce(DataFrame.unionByName, side_by_side(scores, list(FEATURE_SETS))), reviews_per_day)
+    sizes = F.create_map(*[F.lit(x) for label, names in FEATURE_SETS.items() for x in (label, len(names))])
+    place = F.array_position(F.array(*map(F.lit, FEATURE_SETS)), F.col("model"))
+    return result.orderBy(place).select(
+        F.col("model").alias("feature_set"), sizes[F.col("model")].alias("n_features"), "pr_auc", "weighted_bce",
+        "capacity_precision", "capacity_recall", "capacity_false_positives", "capacity_false_negatives")

@@ -5,12 +5,13 @@ what meets on the driver depends on features and partitions only. The next point
 describe, with its penalty, and is halved back while the loss itself does not fall. A dozen or two passes reach the
 minimum, where first-order methods need a thousand on features that nearly repeat each other.
 
-Rows are turned into matrices of one batch each before the first pass, so that a pass only multiplies.
+Rows are turned into matrices of one batch each before the first pass, so that a pass only multiplies. Fits of the same rows
+with different penalties go side by side: a pass adds up at the points of all that have not ended.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Generator, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,6 +23,9 @@ from pyspark.sql import DataFrame, Row
 LEAST_FALL = 1e-15
 HALVINGS = 40
 INNER_ROUNDS, CHECKED_ROUNDS = 20_000, 200
+# OpenBLAS multiplies matrices and vectors of more elements with threads of its own. Tasks fill the cores already, and threads
+# that wait for each other there made a pass seven times as long.
+MATRIX_WORK, VECTOR_WORK = 1 << 18, 9_000
 
 
 @dataclass(frozen=True)
@@ -36,26 +40,46 @@ class Sums:
 Block = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
-def blocks(rows: DataFrame, width: int) -> RDD[Block]:
-    """The rows' ``x`` (array of ``width`` doubles) with a one for the intercept, ``label`` (0 or 1) and ``weight`` as a matrix
-    and two vectors per batch of an Arrow stream, in the rows' partitions."""
-    packed = rows.select("x", "label", "weight").mapInArrow(_packer(width + 1), "block binary")
-    return packed.rdd.map(_unpacker(width + 1))
+def packed(rows: DataFrame, width: int) -> RDD[Row]:
+    """The rows' ``x`` (array of ``width`` doubles) with a one for the intercept, ``label`` (0 or 1) and ``weight`` as the bytes of
+    a matrix and two vectors per batch of an Arrow stream, in the rows' partitions. To be persisted: in this form it costs a
+    task no Python process beside that of the pass."""
+    return rows.select("x", "label", "weight").mapInArrow(_packer(width + 1), "block binary").rdd
 
 
-def fit(stored: RDD[Block], width: int, l2: float, l1: float, max_rounds: int) -> tuple[np.ndarray, float]:
-    """Coefficients and intercept that minimise the weighted mean loss plus ``l2 / 2 * |b|^2 + l1 * |b|``.
+def blocks(stored: RDD[Row], width: int) -> RDD[Block]:
+    """The matrices and vectors of ``packed`` rows."""
+    return stored.map(_unpacker(width + 1))
 
-    ``stored`` are ``blocks``. They are read once per round, so they should be persisted. The intercept is not penalised. Of
-    features that repeat each other the coefficients stay alike.
+
+def fit(stored: RDD[Block], width: int, penalties: Sequence[tuple[float, float]], max_rounds: int) -> list[tuple[np.ndarray, float]]:
+    """For each (l2, l1): coefficients and intercept that minimise the weighted mean loss plus ``l2 / 2 * |b|^2 + l1 * |b|``.
+
+    ``stored`` are ``blocks``, read once per round for all penalties, so what they are made of should be persisted. The intercept is
+    not penalised. Of features that repeat each other the coefficients stay alike.
     """
+    searches = [_search(width, l2, l1, max_rounds) for l2, l1 in penalties]
+    found: dict[int, tuple[np.ndarray, float]] = {}
+    asked = {place: next(search) for place, search in enumerate(searches)}
+    while asked:
+        for place, sums in zip(list(asked), sums_at(stored, list(asked.values()))):
+            try:
+                asked[place] = searches[place].send(sums)
+            except StopIteration as end:
+                found[place] = end.value
+                del asked[place]
+    return [found[place] for place in range(len(searches))]
+
+
+def _search(width: int, l2: float, l1: float, max_rounds: int) -> Generator[np.ndarray, Sums, tuple[np.ndarray, float]]:
+    """The steps of one fit: gives the points at which it needs sums, and in the end coefficients and intercept."""
     free = np.append(np.ones(width), 0.0)
 
     def penalty(at: np.ndarray) -> float:
         return float(l2 / 2 * (free * at * at).sum() + l1 * (free * np.abs(at)).sum())
 
     at = np.zeros(width + 1)
-    sums = sums_at(stored, at)
+    sums = yield at
     for _ in range(max_rounds):
         gradient, hessian = sums.gradient + l2 * free * at, sums.hessian + l2 * np.diag(free)
         step = _least(hessian, gradient, at, l1 * free) - at
@@ -67,7 +91,7 @@ def fit(stored: RDD[Block], width: int, l2: float, l1: float, max_rounds: int) -
         for halving in range(HALVINGS):
             share = 0.5 ** halving
             tried = at + share * step
-            sums = sums_at(stored, tried)
+            sums = yield tried
             if sums.loss + penalty(tried) <= now + 1e-4 * share * fall:
                 break
         else:
@@ -76,31 +100,39 @@ def fit(stored: RDD[Block], width: int, l2: float, l1: float, max_rounds: int) -
     return at[:-1], float(at[-1])
 
 
-def sums_at(stored: RDD[Block], at: np.ndarray) -> Sums:
-    """One pass. The sums of the tasks are added in the order of their partitions, so equal passes give equal sums."""
-    side = len(at)
-    total = np.zeros(2 + side + side * side)
-    for part in stored.mapPartitions(_adder(at)).collect():
+def sums_at(stored: RDD[Block], points: Sequence[np.ndarray]) -> list[Sums]:
+    """One pass for all points. The sums of the tasks are added in the order of their partitions, so equal passes give equal
+    sums."""
+    side = len(points[0])
+    total = np.zeros((len(points), 2 + side + side * side))
+    for part in stored.mapPartitions(_adder(points)).collect():
         total += part
-    total = total / total[0]
-    return Sums(float(total[1]), total[2:2 + side], total[2 + side:].reshape(side, side))
+    total = total / total[:, :1]
+    return [Sums(float(one[1]), one[2:2 + side], one[2 + side:].reshape(side, side)) for one in total]
 
 
-def _adder(at: np.ndarray) -> Callable[[Iterator[Block]], Iterator[np.ndarray]]:
+def _adder(points: Sequence[np.ndarray]) -> Callable[[Iterator[Block]], Iterator[np.ndarray]]:
     def add(parts: Iterator[Block]) -> Iterator[np.ndarray]:
-        side = len(at)
-        weight_sum, loss, gradient, hessian = 0.0, 0.0, np.zeros(side), np.zeros((side, side))
-        for x, label, weight in parts:
-            margin = x @ at
-            chance = 0.5 * (1.0 + np.tanh(0.5 * margin))
-            weight_sum += weight.sum()
-            loss += (weight * (np.logaddexp(0.0, margin) - label * margin)).sum()
-            gradient += (weight * (chance - label)) @ x
-            hessian += (x * (weight * chance * (1.0 - chance))[:, None]).T @ x
-        yield np.concatenate([[weight_sum, loss], gradient, hessian.ravel()])
+        side = len(points[0])
+        sums = np.zeros((len(points), 2 + side + side * side))
+        for x, label, weight in _pieces(parts, max(1, min(MATRIX_WORK // side ** 2, VECTOR_WORK // side))):
+            for at, into in zip(points, sums):
+                margin = x @ at
+                chance = 0.5 * (1.0 + np.tanh(0.5 * margin))
+                into[0] += weight.sum()
+                into[1] += (weight * (np.logaddexp(0.0, margin) - label * margin)).sum()
+                into[2:2 + side] += (weight * (chance - label)) @ x
+                into[2 + side:] += ((x * (weight * chance * (1.0 - chance))[:, None]).T @ x).ravel()
+        yield sums
     return add
 
 
+def _pieces(parts: Iterator[Block], rows: int) -> Iterator[Block]:
+    for x, label, weight in parts:
+        for start in range(0, len(x), rows):
+            yield x[start:start + rows], label[start:start + rows], weight[start:start + rows]
+
+
 def _packer(side: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -8,20 +8,20 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskmill.functions.features import FEATURES
 from riskmill.lineage import cut_lineage, ensure_checkpoint_dir, side_by_side
-from riskmill.operators import attribution, compare, economics, errors, metrics, models, tree_attribution
-from riskmill.operators.models import PreparedFold, fit_logistic, fit_trees
+from riskmill.operators import attribution, compare, economics, errors, metrics, models, ranking, tree_attribution
+from riskmill.operators.models import Logistic, PreparedFold, fit_trees
 
 Learner = Callable[[PreparedFold], object]
 TREES = "boosted_trees"
 LEARNERS: Mapping[str, Learner] = {
-    "logistic": fit_logistic, "ridge": lambda fold: fit_logistic(fold, strength=0.1),
-    "lasso": lambda fold: fit_logistic(fold, strength=0.1, l1=True), TREES: fit_trees,
+    "logistic": Logistic(), "ridge": Logistic(strength=0.1), "lasso": Logistic(strength=0.1, l1=True), TREES: fit_trees,
 }
 KEYS = ("model", "fold")
 SCORES_DDL = "row_id long, step long, is_fraud int, score double, model string, fold int"
@@ -39,7 +39,7 @@ class LastFold:
 def store_scores(folded: DataFrame, folds: Iterable[int], path: str, learners: Mapping[str, Learner] = LEARNERS) -> LastFold:
     """Fits every learner on every fold and stores its test scores under ``path``; an interrupted run starts over.
 
-    Folds are fitted at the same time.
+    Folds are fitted at the same time, and so are a fold's learners.
     """
     numbers = list(folds)
     if not numbers:
@@ -49,15 +49,29 @@ def store_scores(folded: DataFrame, folds: Iterable[int], path: str, learners: M
     def fit_and_store(number: int) -> LastFold:
         rows = models.prepare_fold(folded, number)
         with models.for_logistic(rows) as ready:
-            fitted = {name: learn(ready) for name, learn in learners.items()}
-        for name, model in fitted.items():
-            models.score_with(model, rows.test).write.mode("overwrite").parquet(f"{path}/model={name}/fold={number}")
+            fitted = fit_learners(ready, learners)
+        scores = [models.score_with(model, rows.test).withColumn("model", F.lit(name)) for name, model in fitted.items()]
+        reduce(DataFrame.unionByName, scores).write.mode("overwrite").partitionBy("model").parquet(f"{path}/fold={number}")
         return LastFold(number, rows, fitted)
     return side_by_side(fit_and_store, numbers)[-1]
 
 
+def fit_learners(fold: PreparedFold, learners: Mapping[str, Learner]) -> dict[str, object]:
+    """The learners' models by name, fitted at the same time; logistic regressions share their passes over the rows."""
+    linear = [name for name, learn in learners.items() if isinstance(learn, Logistic)]
+    groups = [[name] for name in learners if name not in linear] + ([linear] if linear else [])
+
+    def fitted(names: list[str]) -> list[tuple[str, object]]:
+        if names is linear:
+            return list(zip(names, models.fit_logistics(fold, [learners[name] for name in names])))
+        return [(name, learners[name](fold)) for name in names]
+    made = dict(pair for pairs in side_by_side(fitted, groups) for pair in pairs)
+    return {name: made[name] for name in learners}
+
+
 def read_scores(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SCORES_DDL).option("basePath", path).parquet(f"{path}/model=*")
+    stored = spark.read.schema(SCORES_DDL).option("basePath", path).parquet(f"{path}/fold=*")
+    return stored.select("row_id", "step", "is_fraud", "score", *KEYS)
 
 
 def explained_rows(last: LastFold, name: str, path: str, names: Sequence[str] = FEATURES) -> DataFrame:
@@ -75,15 +89,29 @@ def explained_rows(last: LastFold, name: str, path: str, names: Sequence[str] =
     return made.withColumn("score", attribution.probability(F.col("margin")))
 
 
+def evaluated(ranked: DataFrame, reviews_per_day: float) -> tuple[DataFrame, DataFrame]:
+    """Evaluation and curves of every model and fold from stored ``ranked_scores``, both stored."""
+    results, curves = side_by_side(cut_lineage, [
+        metrics.evaluate(ranked, reviews_per_day, KEYS, ranked), metrics.k_curve(ranked, KEYS, ranked=ranked)])
+    return results, curves
+
+
 def result_tables(scores: DataFrame, last: LastFold, ledger: DataFrame, path: str, reviews_per_day: float,
                   grid: Sequence[float], cost: float, ablation_rounds: int = models.TREE_ROUNDS) -> dict[str, DataFrame]:
-    """The eleven tables of a run by name."""
-    results = cut_lineage(metrics.evaluate(scores, reviews_per_day, KEYS))
-    curves = cut_lineage(metrics.k_curve(scores, KEYS))
+    """The eleven tables of a run by name. All that ranks scores reads one stored order of them, while the ablation is fitted."""
+    def judged() -> tuple[DataFrame, DataFrame, DataFrame]:
+        ranked = cut_lineage(ranking.ranked_scores(scores, KEYS))
+        results, curves = evaluated(ranked, reviews_per_day)
+        return ranked, results, curves
+
+    def ablation() -> DataFrame:
+        return models.ablate(last.rows, last.number, reviews_per_day, ablation_rounds)
+    (ranked, results, curves), ablated = side_by_side(lambda work: work(), [judged, ablation])
     best = compare.select_model(results, curves).first().best_model
-    final = cut_lineage(scores.where((F.col("model") == best) & (F.col("fold") == last.number)).drop(*KEYS))
-    sweep = cut_lineage(metrics.capacity_sweep(final, grid))
-    point = metrics.capacity_sweep(final, (reviews_per_day,)).first()
+    final = ranked.where((F.col("model") == best) & (F.col("fold") == last.number)).drop(*KEYS)
+    histogram = cut_lineage(ranking.histogram_of_ranks(final))
+    sweep = cut_lineage(metrics.histogram_sweep(histogram, grid))
+    point = metrics.histogram_sweep(histogram, (reviews_per_day,)).first()
     amount = compare.mean_fraud_amount(ledger.withColumn("is_fraud", F.col("isFraud")).join(final.select("row_id"), "row_id"))
     explained = cut_lineage(explained_rows(last, best, path))
     flagged = F.col("score") >= F.lit(point.threshold)
@@ -95,8 +123,8 @@ def result_tables(scores: DataFrame, last: LastFold, ledger: DataFrame, path: st
         "global_importance": attribution.global_importance(explained),
         "alert_reasons": attribution.explain_alerts(attribution.alert_queue(explained, flagged)),
         "error_analysis_profile": errors.by_gap(errors.segment_profile(explained, flagged)),
-        "missed_fraud_summary": errors.missed_fraud_ranking(final, F.lit(point.n_flagged)),
+        "missed_fraud_summary": errors.missed_fraud_ranking(final, F.lit(point.n_flagged), ranked=final),
         "capacity_sweep": sweep,
-        "feature_ablation": models.ablate(last.rows, last.number, reviews_per_day, ablation_rounds),
+        "feature_ablation": ablated,
         "capacity_economics": economics.net_value_curve(sweep, F.lit(amount.first().avg_fraud_amount), cost=cost),
     }

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskmill.functions.features import FEATURE_VERSION, feature_vector
+from riskmill.lineage import side_by_side
 
 
 def source_fingerprint(spark: SparkSession, path: str, version: int = FEATURE_VERSION) -> str:
@@ -74,17 +75,16 @@ def write_bucketed_snapshot(snapshot: DataFrame, table: str, path: str, buckets:
 
 
 def write_tables(tables: Mapping[str, DataFrame], root: str, fmt: str = "parquet") -> list[str]:
-    """Write each result table under its own name."""
-    written = []
-    for name, frame in tables.items():
-        writer = frame.write.mode("overwrite")
+    """Write each result table under its own name, a few at the same time."""
+    def put(name: str) -> str:
+        writer = tables[name].write.mode("overwrite")
         target = f"{root}/{name}"
         if fmt == "csv":
             writer.option("header", True).csv(target)
         else:
             writer.format(fmt).save(target)
-        written.append(target)
-    return written
+        return target
+    return side_by_side(put, list(tables))
 
 
 def feature_digest() -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from riskmill.functions.features import FEATURES
-from riskmill.operators import bundle, models
+from riskmill.operators import bundle, models, newton
 from riskmill.operators.scaling import apply_scaler
 from riskmill.operators.search import Density, Range, Trial, propose, search
 
@@ -239,3 +239,44 @@ def test_kept_rows_of_many_batches_and_of_empty_partitions(spark):
         assert sum(sizes) == 30000 and max(sizes) <= 10000
         weights = ready.linear.blocks.map(lambda block: float(block[2].sum())).sum()
         assert weights == pytest.approx(30000)
+
+
+def test_fits_of_one_fold_share_their_passes(spark):
+    fold, wanted = counted_fold(spark, spark.sparkContext.accumulator(0)), [models.Logistic(c, l1) for c, l1 in ((1.0, False), (0.1, False), (0.1, True))]
+
+    def jobs(name, fit):
+        spark.sparkContext.setJobGroup(name, "")
+        made = fit()
+        spark.sparkContext.setJobGroup("", "")
+        return made, len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    with models.for_logistic(fold, ("a", "b")) as ready:
+        together, shared = jobs("together", lambda: models.fit_logistics(ready, wanted, ("a", "b")))
+        alone = [jobs(f"alone {i}", lambda: models.fit_logistics(ready, [one], ("a", "b"))[0]) for i, one in enumerate(wanted)]
+    assert shared == max(n for _, n in alone) < sum(n for _, n in alone)
+    for model, (single, _) in zip(together, alone):
+        assert list(model.coefficients) == list(single.coefficients) and model.intercept == single.intercept
+
+
+class Watched(np.ndarray):
+    """Notes how much work a product of it is."""
+
+    work: list = []
+
+    def __array_ufunc__(self, ufunc, method, *inputs, **options):
+        plain = [np.asarray(i) if isinstance(i, Watched) else i for i in inputs]
+        if ufunc is np.matmul:
+            first, second = plain
+            self.work.append((first.ndim + second.ndim, first.size * (second.shape[1] if second.ndim == 2 and first.ndim == 2 else 1), second.size))
+        made = getattr(ufunc, method)(*plain, **options)
+        return made.view(Watched) if isinstance(made, np.ndarray) else made
+
+
+def test_a_pass_leaves_no_product_to_threads_of_the_library(spark):
+    rng = np.random.default_rng(3)
+    x, label, weight, at = rng.normal(size=(10_000, 19)), (rng.random(10_000) < 0.3) * 1.0, rng.random(10_000), rng.normal(size=19) / 9
+    Watched.work.clear()
+    sums, = newton._adder([at])(iter([(x.view(Watched), label.view(Watched), weight.view(Watched))]))
+    assert Watched.work and all(max(first, second) <= (newton.MATRIX_WORK if dims == 4 else newton.VECTOR_WORK) for dims, first, second in Watched.work)
+    chance = 1 / (1 + np.exp(-(x @ at)))
+    assert np.isclose(sums[0][0], weight.sum()) and np.allclose(sums[0][2:21], (weight * (chance - label)) @ x)
+    assert np.allclose(sums[0][21:].reshape(19, 19), (x * (weight * chance * (1 - chance))[:, None]).T @ x)

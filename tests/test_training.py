@@ -13,6 +13,7 @@ from riskmill.lineage import side_by_side
 from riskmill.operators import compare, errors, metrics, training
 from riskmill.operators.models import fit_logistic, fit_trees
 from riskmill.plans import base
+from riskmill.sources import sinks
 
 PER_DAY = 5
 LEARNERS = {"logistic": fit_logistic, training.TREES: lambda fold: fit_trees(fold, max_iter=4)}
@@ -101,3 +102,30 @@ def test_side_by_side_keeps_the_order_and_raises(spark):
     assert side_by_side(lambda x: x * 2, range(7)) == [0, 2, 4, 6, 8, 10, 12] and side_by_side(str, []) == []
     with pytest.raises(ZeroDivisionError):
         side_by_side(lambda x: 1 // x, (2, 1, 0))
+
+
+def test_learners_of_a_fold_are_fitted_at_the_same_time(spark):
+    both = threading.Barrier(2, timeout=60)
+
+    def learn(fold):
+        return both.wait() is not None and fold
+    made = training.fit_learners("rows", {"one": learn, "two": learn})
+    assert made == {"one": "rows", "two": "rows"}
+
+
+def test_tables_are_written_at_the_same_time(spark, tmp_path):
+    both = threading.Barrier(2, timeout=60)
+
+    class Table:
+        """Stands in for a frame and its writer."""
+
+        write = property(lambda self: self)
+
+        def mode(self, _):
+            both.wait()
+            return self
+        format = mode
+
+        def save(self, _):
+            pass
+    assert sinks.write_tables({"a": Table(), "b": Table()}, str(tmp_path)) == [f"{tmp_path}/a", f"{tmp_path}/b"]
