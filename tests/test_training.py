@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from riskmill.functions.features import FEATURES
 from riskmill.lineage import side_by_side
-from riskmill.operators import compare, errors, metrics, training
+from riskmill.operators import compare, errors, metrics, ranking, training
 from riskmill.operators.models import fit_logistic, fit_trees
-from riskmill.plans import base
+from riskmill.plans import base, fitting
 from riskmill.sources import sinks
 
 PER_DAY = 5
@@ -113,6 +113,24 @@ def test_learners_of_a_fold_are_fitted_at_the_same_time(spark):
     assert made == {"one": "rows", "two": "rows"}
 
 
+def test_fitted_queries_read_ranks_from_one_order(spark, run, monkeypatch):
+    """Missed fraud and selection equal those of separate orders, of which they used to make two."""
+    _, scores = run
+    orders, order = [], ranking.ordered_parts
+
+    def counted(rows, *args):
+        orders.append(rows)
+        return order(rows, *args)
+    keys = list(training.KEYS)
+    points = metrics.capacity_sweep(scores, (base.REVIEWS_PER_DAY,), keys).select(*keys, "n_flagged")
+    missed = errors.missed_fraud_ranking(scores.join(points, keys), F.col("n_flagged"), keys).orderBy(*keys).collect()
+    chosen = compare.select_model(metrics.evaluate(scores, base.REVIEWS_PER_DAY), metrics.k_curve(scores, keys)).collect()
+    monkeypatch.setattr(fitting, "_fitted_scores", lambda *_: scores)
+    monkeypatch.setattr(ranking, "ordered_parts", counted)
+    assert fitting.i2_fitted_missed(spark, SMALL).orderBy(*keys).collect() == missed and len(orders) == 1
+    assert fitting.h3_fitted_selection(spark, SMALL).collect() == chosen and len(orders) == 2
+
+
 def test_tables_are_written_at_the_same_time(spark, tmp_path):
     both = threading.Barrier(2, timeout=60)
 
