@@ -39,7 +39,7 @@ class LastFold:
 def store_scores(folded: DataFrame, folds: Iterable[int], path: str, learners: Mapping[str, Learner] = LEARNERS) -> LastFold:
     """Fits every learner on every fold and stores its test scores under ``path``; an interrupted run starts over.
 
-    Folds are fitted at the same time, and so are a fold's learners.
+    Folds are fitted at the same time.
     """
     numbers = list(folds)
     if not numbers:
@@ -57,16 +57,13 @@ def store_scores(folded: DataFrame, folds: Iterable[int], path: str, learners: M
 
 
 def fit_learners(fold: PreparedFold, learners: Mapping[str, Learner]) -> dict[str, object]:
-    """The learners' models by name, fitted at the same time; logistic regressions share their passes over the rows."""
+    """The learners' models by name; logistic regressions are fitted together and share their passes over the rows.
+
+    Beside them trees only queued for the same cores, so the others follow.
+    """
     linear = [name for name, learn in learners.items() if isinstance(learn, Logistic)]
-    groups = [[name] for name in learners if name not in linear] + ([linear] if linear else [])
-
-    def fitted(names: list[str]) -> list[tuple[str, object]]:
-        if names is linear:
-            return list(zip(names, models.fit_logistics(fold, [learners[name] for name in names])))
-        return [(name, learners[name](fold)) for name in names]
-    made = dict(pair for pairs in side_by_side(fitted, groups) for pair in pairs)
-    return {name: made[name] for name in learners}
+    made = dict(zip(linear, models.fit_logistics(fold, [learners[name] for name in linear]))) if linear else {}
+    return {name: made[name] if name in made else learn(fold) for name, learn in learners.items()}
 
 
 def read_scores(spark: SparkSession, path: str) -> DataFrame:

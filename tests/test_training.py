@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from riskmill.functions.features import FEATURES
 from riskmill.lineage import side_by_side
-from riskmill.operators import compare, errors, metrics, ranking, training
-from riskmill.operators.models import fit_logistic, fit_trees
+from riskmill.operators import compare, errors, metrics, models, ranking, training
+from riskmill.operators.models import Logistic, fit_logistic, fit_trees
 from riskmill.plans import base, fitting
 from riskmill.sources import sinks
 
@@ -104,13 +104,11 @@ def test_side_by_side_keeps_the_order_and_raises(spark):
         side_by_side(lambda x: 1 // x, (2, 1, 0))
 
 
-def test_learners_of_a_fold_are_fitted_at_the_same_time(spark):
-    both = threading.Barrier(2, timeout=60)
-
-    def learn(fold):
-        return both.wait() is not None and fold
-    made = training.fit_learners("rows", {"one": learn, "two": learn})
-    assert made == {"one": "rows", "two": "rows"}
+def test_logistic_learners_of_a_fold_are_fitted_together(monkeypatch):
+    calls = []
+    monkeypatch.setattr(models, "fit_logistics", lambda fold, wanted: calls.append(wanted) or [f"{one.strength}" for one in wanted])
+    made = training.fit_learners("rows", {"one": Logistic(), "trees": lambda fold: fold, "two": Logistic(0.1, True)})
+    assert list(made.items()) == [("one", "1.0"), ("trees", "rows"), ("two", "0.1")] and calls == [[Logistic(), Logistic(0.1, True)]]
 
 
 def test_fitted_queries_read_ranks_from_one_order(spark, run, monkeypatch):
