@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 from ledger_cases import rows_of
+from pyspark import StorageLevel
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from riskmill.functions.features import FEATURES
 from riskmill.operators import bundle, models, newton
 from riskmill.operators.scaling import apply_scaler
 from riskmill.operators.search import Density, Range, Trial, propose, search
+from riskmill.session import pin_settings
 
 NAMES = ("a", "b", "c")
 
@@ -280,3 +282,28 @@ def test_a_pass_leaves_no_product_to_threads_of_the_library(spark):
     chance = 1 / (1 + np.exp(-(x @ at)))
     assert np.isclose(sums[0][0], weight.sum()) and np.allclose(sums[0][2:21], (weight * (chance - label)) @ x)
     assert np.allclose(sums[0][21:].reshape(19, 19), (x * (weight * chance * (1 - chance))[:, None]).T @ x)
+
+
+def part_sizes(rows):
+    return [r.n for r in rows.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n")).collect()]
+
+
+def test_large_partitions_of_tree_rows_are_dealt_out(spark, fold):
+    """Row ids that repeat or are null don't gather rows in one partition."""
+    odd = fold.train.withColumn("row_id", F.when(F.col("row_id") < 1000, F.col("row_id") % 3))
+    plain = models.PreparedFold(odd.coalesce(1), fold.test.coalesce(1), 10.0, 10.0)
+    whole, dealt = models.tree_rows(plain, NAMES), models.tree_rows(plain, NAMES, part_rows=300)
+    assert max(part_sizes(whole)) >= 2000 and len(part_sizes(dealt)) == 10 and max(part_sizes(dealt)) < 400
+
+    def values(rows):
+        return [(*r.vector, r.label, r.weight, r.held_out) for r in rows.collect()]
+    assert values(dealt) == values(models.tree_rows(plain, NAMES, part_rows=300))
+    assert sorted(values(dealt)) == sorted(values(whole))
+    assert models.tree_rows(models.PreparedFold(odd.limit(0), odd.limit(0), 1.0, 1.0), NAMES, part_rows=300).count() == 0
+
+
+def test_kept_rows_are_read_in_small_batches(spark):
+    kept = pin_settings(spark).range(0, 5000, 1, 1).persist(StorageLevel.DISK_ONLY)
+    kept.count()
+    assert kept._jdf.queryExecution().withCachedData().cacheBuilder().cachedColumnBuffers().count() == 5
+    kept.unpersist()
