@@ -12,7 +12,7 @@ from riskmill.functions.features import FEATURES
 from riskmill.lineage import side_by_side
 from riskmill.operators import compare, errors, metrics, models, ranking, training
 from riskmill.operators.models import Logistic, fit_logistic, fit_trees
-from riskmill.plans import base, fitting
+from riskmill.plans import base, fitting, storage
 from riskmill.sources import sinks
 
 PER_DAY = 5
@@ -145,3 +145,17 @@ def test_tables_are_written_at_the_same_time(spark, tmp_path):
         def save(self, _):
             pass
     assert sinks.write_tables({"a": Table(), "b": Table()}, str(tmp_path)) == [f"{tmp_path}/a", f"{tmp_path}/b"]
+
+
+def test_the_registered_run_gives_its_ablation_all_rounds(spark, run, monkeypatch):
+    last, scores = run
+    rounds = []
+
+    def noted(fold, names, max_iter):
+        rounds.append(max_iter)
+        return fit_trees(fold, names, max_iter=1, max_depth=2)
+    monkeypatch.setattr(training, "store_scores", lambda *_: last)
+    monkeypatch.setattr(training, "read_scores", lambda *_: scores)
+    monkeypatch.setattr(models, "fit_trees", noted)
+    counts = {r.result: r.n_rows for r in storage.a5_result_tables(spark, SMALL).collect()}
+    assert rounds == [models.TREE_ROUNDS] * 4 and len(counts) == 11 and counts["feature_ablation"] == 4
